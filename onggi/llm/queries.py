@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.llm import tokenization
+from onggi.llm import lookalikes, prose, tokenization
 from onggi.session import table
 
 
@@ -22,11 +22,53 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("same").cast("long")).alias("n_same"))
 
 
+def _lookalike_parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str], str]]:
+    return [
+        (table(spark, sf_dir, "instructions"), "rec_id", ["instruction", "input"], "instructions"),
+        (table(spark, sf_dir, "noisy_pairs"), "pair_id", ["noisy_instruction"], "noisy_pairs"),
+    ]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (lookalikes.lookalike_values(*x) for x in _lookalike_parts(spark, sf_dir))
+    return a.unionByName(b)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of values with one skeleton that are written in several ways."""
+    a, b = (lookalikes.skeletons(*x) for x in _lookalike_parts(spark, sf_dir))
+    return lookalikes.skeleton_groups(a.unionByName(b))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.structural_kinds(table(spark, sf_dir, "documents")).where("kind <> 'prose'")
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_stats": r"""
+            WITH c AS (SELECT lang, list(DISTINCT word) AS common FROM common_words GROUP BY lang),
+            d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+            w AS (SELECT d.*, coalesce(c.common, []) AS common,
+                         list_filter(regexp_split_to_array(t, '[ \t\n\r]+'), lambda x: x <> '') AS ws,
+                         list_filter(regexp_split_to_array(t, '[\n\r]+'), lambda x: regexp_replace(x, '[ \t]+', '', 'g') <> '') AS ls,
+                         length(regexp_replace(t, '[ \t\n\r]+', '', 'g')) AS chars,
+                         length(regexp_replace(t, '[\p{L}\p{N} \t\n\r]+', '', 'g')) AS symbols
+                  FROM d LEFT JOIN c USING (lang))
+            SELECT doc_id, lang, len(ws)::BIGINT AS n_words,
+                   CASE WHEN len(ws) > 0 THEN round(chars / len(ws), 6) END AS mean_word_len,
+                   CASE WHEN chars > 0 THEN round(symbols / chars, 6) END AS symbol_ratio,
+                   CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?。][ \t]*$'))) / len(ls), 6) END AS line_stop_share,
+                   CASE WHEN len(ws) > 0 THEN round(len(list_filter(list_transform(ws, lambda x: regexp_replace(lower(x), '[.,!?]+$', '')),
+                        lambda x: list_contains(common, x))) / len(ws), 6) END AS common_share
+            FROM w""",
         "p7_roundtrip": "SELECT lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY lang",
     }
