@@ -47,18 +47,18 @@ _CLASS |= {chr(o): 2 for o in [*range(0x3131, 0x318F), *range(0x1100, 0x1200)]}
 _CLASS |= {chr(o): 3 for o in [*range(0x3041, 0x3100), *range(0xFF66, 0xFF9E)]} | {"ー": 3}
 _CLASS |= {chr(o): 4 for o in [*range(0x4E00, 0xA000), *range(0xF900, 0xFB00)]}
 _CLASS |= {c: 5 for c in "aeiouyäöüéèêáàóòúíì"} | {c: 6 for c in "bcdfghjklmnpqrstvwxzßñç"}
-_CLASS |= {chr(o): 7 for o in range(65, 91)} | {c: 7 for c in "ÄÖÜÉ"} | {c: 9 for c in "0123456789"} | {c: 10 for c in " \t\n\r　 "}
+_CLASS |= {chr(o): 7 for o in range(65, 91)} | {c: 7 for c in "ÄÖÜÉ"} | {c: 9 for c in "0123456789"} | {c: 10 for c in " \t\n\r\u3000\u00a0"}
 _CLASS |= {c: 11 for c in ".!?。！？…~"} | {c: 12 for c in "\"',、，“”‘’「」()"}
 for _o in [*range(0x80, 0xA0), *range(0xA1, 0x180)]:
     _CLASS.setdefault(chr(_o), 8)
 #: Marks that show nothing and full-width letters count as what they stand for.
-_IGNORED = re.compile("[­​-‏⁠﻿̀-ͯ️\u0000]")
+_IGNORED = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\ufe0f\u0000]")
 _WIDE = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | {0xFF0E: ".", 0x3000: " ", 0x00A0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x3164: " "}
 # Letters of other scripts that look like a Latin one.
 _WIDE |= str.maketrans("аеорсухіѕјһԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕКМНОРСТУХІЅЈ", "aeopcyxisjhdABEZHIKMNOPTYXoABEKMHOPCTYXISJ")
 _TRANSLATED = re.compile("[" + "".join(map(chr, _WIDE)) + "]")
 
-_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣○●■□▶▷※☞✓+→]|\(?\d{1,3}[.)]|[①-⑳]|[가-힣][.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s+")
 #: Strings that look like special tokens stand between texts.
 _SPECIAL = re.compile(r"<\|[a-zA-Z_]{1,24}\|>|</?s>|\[/?INST\]")

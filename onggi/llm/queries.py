@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.llm import lookalikes, prose, tokenization
+from onggi.llm import lookalikes, pairs, prose, tokenization
 from onggi.session import table
 
 
@@ -40,6 +40,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.skeleton_groups(a.unionByName(b))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "instructions"))
+
+
+def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects per source: the narrow result joined back by id, counted before the shuffle."""
+    records = table(spark, sf_dir, "instructions")
+    return pairs.broken_pairs(records).join(records.select("rec_id", "source"), "rec_id").groupBy("source", "defect").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.structural_kinds(table(spark, sf_dir, "documents")).where("kind <> 'prose'")
 
@@ -49,7 +59,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
