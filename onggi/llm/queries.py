@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.llm import lookalikes, pairs, prose, tokenization
+from onggi.llm import crosssplit, lookalikes, pairs, prose, tokenization
 from onggi.session import table
 
 
@@ -22,6 +22,20 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("same").cast("long")).alias("n_same"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = crosssplit.same_exchanges(table(spark, sf_dir, "instructions"))
+    return pairs.select(F.least("e_id", "r_id").alias("rec_id_a"), F.greatest("e_id", "r_id").alias("rec_id_b"))
+
+
+def p1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation split and source: records that stand in train too, pairs, and mean overlap."""
+    records = table(spark, sf_dir, "instructions")
+    pairs = crosssplit.same_exchanges(records)
+    per_record = pairs.groupBy("e_id").agg(F.count(F.lit(1)).alias("n"), F.max("overlap").alias("overlap"))
+    named = per_record.join(records.select(F.col("rec_id").alias("e_id"), "split", "source"), "e_id")
+    return named.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
+
+
 def _lookalike_parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str], str]]:
     return [
         (table(spark, sf_dir, "instructions"), "rec_id", ["instruction", "input"], "instructions"),
@@ -59,7 +73,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
+    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
