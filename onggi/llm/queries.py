@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.llm import crosssplit, lookalikes, pairs, prose, tokenization
+from onggi.llm import crosssplit, leakage, lookalikes, pairs, prose, tokenization
 from onggi.session import table
 
 
@@ -54,6 +54,19 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.skeleton_groups(a.unionByName(b))
 
 
+def _test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_kind, item_id, text): clean questions, their choices, and outputs of validation and test records."""
+    mcq = table(spark, sf_dir, "mcq_items").where("noise_type IS NULL OR noise_type = 'clean'")
+    texts = F.concat(F.array("question"), F.coalesce("choices", F.array().cast("array<string>")))
+    questions = mcq.select(F.lit("mcq").alias("item_kind"), F.col("id").alias("item_id"), F.explode(texts).alias("text"))
+    held_out = table(spark, sf_dir, "instructions").where("split IN ('validation', 'test')")
+    return questions.unionByName(held_out.select(F.lit("instruction").alias("item_kind"), F.col("rec_id").cast("string").alias("item_id"), F.col("output").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), _test_items(spark, sf_dir)).select("doc_id", "item_kind", "item_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, sf_dir, "instructions"))
 
@@ -73,7 +86,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
+    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
