@@ -7,8 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.llm import crosssplit, leakage, lookalikes, pairs, prose, tokenization
-from onggi.session import table
+from onggi.llm import budget, crosssplit, leakage, lookalikes, mixing, packing, pairs, prose, tokenization
+from onggi.session import materialize, table
+
+
+def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = table(spark, sf_dir, "source_info")
+    records, docs = table(spark, sf_dir, "instructions"), table(spark, sf_dir, "documents")
+    text = F.concat_ws("\n", "instruction", "input", "output")
+    a = budget.sliced(records, F.concat(F.lit("r"), F.col("rec_id").cast("string")), text, F.col("source"), F.col("lang"), info)
+    b = budget.sliced(docs, F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("text"), F.col("source"), F.col("lang"), info)
+    return a.unionByName(b)
+
+
+def p5_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens per source, language and domain."""
+    return budget.TokenBudget.in_checkpoint_folder(spark).update(_budget_documents(spark, sf_dir))
+
+
+def p5_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and characters of the same slices, which SQL can tell."""
+    docs = _budget_documents(spark, sf_dir)
+    return docs.groupBy("source", "lang", "domain_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen records with their repeats."""
+    records = mixing.sized_records(table(spark, sf_dir, "instructions"))
+    return mixing.mix(records, table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "rec_id")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = mixing.sized_records(table(spark, sf_dir, "instructions"))
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mixing_report(mixing.mix(records, targets), targets)
+
+
+def p6_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source's records are needed."""
+    plan = mixing.mixing_plan(mixing.sized_records(table(spark, sf_dir, "instructions")), table(spark, sf_dir, "mix_targets"))
+    return plan.select("source", "max_repeats", "n_records", "size", F.round("repeats", 6).alias("repeats"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialize(tokenization.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")), "pack-sizes")
+    return packing.pack(sizes, table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece."""
+    return _packed(spark, sf_dir).select("pack_name", "doc_id", "piece_no", F.col("size").alias("n_tokens"), "container")
+
+
+def p8_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fills(_packed(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +138,29 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_stats": p9_stats}
+    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_budget": p5_budget, "p5_slices": p5_slices, "p6_mix": p6_mix, "p6_shares": p6_shares, "p6_plan": p6_plan, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_containers": p8_containers, "p8_fills": p8_fills, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_slices": r"""
+            WITH d AS (SELECT concat_ws(chr(10), instruction, input, output) AS t, nullif(regexp_replace(lower(regexp_replace(source, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '[- ]+', '_', 'g'), '') AS source, CASE nullif(regexp_extract(lower(regexp_replace(lang, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '^[a-z]+', 0), '')
+                WHEN 'kor' THEN 'ko' WHEN 'korean' THEN 'ko' WHEN 'eng' THEN 'en' WHEN 'english' THEN 'en' WHEN 'jpn' THEN 'ja' WHEN 'japanese' THEN 'ja' WHEN 'jp' THEN 'ja'
+                WHEN 'ger' THEN 'de' WHEN 'deu' THEN 'de' WHEN 'german' THEN 'de' ELSE nullif(regexp_extract(lower(regexp_replace(lang, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '^[a-z]+', 0), '') END AS lang FROM instructions
+            UNION ALL SELECT coalesce(text, ''), nullif(regexp_replace(lower(regexp_replace(source, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '[- ]+', '_', 'g'), ''), CASE nullif(regexp_extract(lower(regexp_replace(lang, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '^[a-z]+', 0), '')
+                WHEN 'kor' THEN 'ko' WHEN 'korean' THEN 'ko' WHEN 'eng' THEN 'en' WHEN 'english' THEN 'en' WHEN 'jpn' THEN 'ja' WHEN 'japanese' THEN 'ja' WHEN 'jp' THEN 'ja'
+                WHEN 'ger' THEN 'de' WHEN 'deu' THEN 'de' WHEN 'german' THEN 'de' ELSE nullif(regexp_extract(lower(regexp_replace(lang, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '^[a-z]+', 0), '') END FROM documents)
+            SELECT coalesce(d.source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(domain_name, 'unknown') AS domain_name,
+                   count(*) AS n_docs, sum(length(t))::BIGINT AS n_chars
+            FROM d LEFT JOIN source_info i ON d.source = i.source GROUP BY ALL""",
+        "p6_plan": r"""
+            WITH r AS (SELECT nullif(regexp_replace(lower(regexp_replace(source, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '[- ]+', '_', 'g'), '') AS source, length(output) AS size FROM instructions
+                       WHERE length(regexp_replace(output, '[ \t\r\n]+', '', 'g')) > 0),
+            p AS (SELECT m.source, target_share, max_repeats, count(size) AS n_records, coalesce(sum(size), 0)::BIGINT AS size
+                  FROM mix_targets m LEFT JOIN r USING (source) GROUP BY ALL),
+            s AS (SELECT min(size * max_repeats / target_share) AS scale FROM p WHERE size > 0)
+            SELECT source, max_repeats, n_records, size,
+                   round(CASE WHEN size > 0 THEN least(target_share * scale / size, max_repeats::DOUBLE) ELSE 0.0 END, 6) AS repeats FROM p, s""",
         "p9_stats": r"""
             WITH c AS (SELECT lang, list(DISTINCT word) AS common FROM common_words GROUP BY lang),
             d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
