@@ -139,29 +139,34 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
 
 
 def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX) -> DataFrame:
-    """(e, r, e_id, r_id): pairs of different classes, an evaluation one and a training one, that may be near copies."""
+    """(e_id, r_id): pairs of different classes, an evaluation one and a training one, that may be near copies."""
     per_class = rows.groupBy("cls").agg(
         F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.first("digests").alias("digests"), F.first("lens").alias("lens")
     )
-    chunks = per_class.select("cls", "e_id", "r_id", F.explode(F.map_from_entries(F.array_distinct(F.arrays_zip("digests", "lens")))).alias("d", "n"))
+    #: A class is known by its least record of either side from here on.
+    chunks = per_class.select("e_id", "r_id", F.explode(F.map_from_entries(F.array_distinct(F.arrays_zip("digests", "lens")))).alias("d", "n"))
     chunks = materialize(chunks, "split-chunks")
     df = chunks.groupBy("d").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("e_id").isNotNull()).alias("in_e"), F.max(F.col("r_id").isNotNull()).alias("in_r"))
-    total = per_class.agg(F.count(F.lit(1)).alias("m"))
+    df = df.where("in_e").drop("in_e")
+    total = rows.agg(F.approx_count_distinct("cls", 0.01).alias("m"))
     rarity = F.pow(F.greatest(F.lit(0.0), F.log(F.greatest(F.col("m"), F.lit(2)) / F.col("df")) / F.log(F.greatest(F.col("m"), F.lit(2)))), F.lit(RARITY_POWER))
-    e_chunks = chunks.where("e_id IS NOT NULL").join(df, "d").crossJoin(F.broadcast(total)).withColumn("w", F.col("n") * rarity)
+    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total)).withColumn("w", F.col("n") * rarity)
     #: The rarest chunks first, up to the prefix of the weight. Chunks on one side only weigh but need no join.
-    order = Window.partitionBy("cls").orderBy("df", "d")
-    whole = Window.partitionBy("cls")
+    order = Window.partitionBy("e_id").orderBy("df", "d")
+    whole = Window.partitionBy("e_id")
     e_prefix = (
         e_chunks.withColumn("before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("all_w", F.sum("w").over(whole))
         .where((F.col("before") <= prefix * F.col("all_w")) & F.col("in_r"))
-        .select("d", F.col("cls").alias("e"), "e_id", "w", "all_w")
+        .select("d", "e_id", "w", "all_w")
     )
-    postings = chunks.where("r_id IS NOT NULL").select("d", F.col("cls").alias("r"), "r_id")
-    shared = e_prefix.join(postings, "d").where("e <> r").groupBy("e", "r", "e_id", "r_id").agg(F.sum("w").alias("shared"), F.max("all_w").alias("all_w"))
+    e_prefix = materialize(e_prefix, "split-prefix")
+    #: Postings without a partner leave before the shuffle where the digests sought fit a filter.
+    sought = e_prefix.select("d").distinct()
+    postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", F.col("e_id").alias("own")).join(sought, "d", "left_semi")
+    shared = e_prefix.join(postings, "d").where(~F.col("e_id").eqNullSafe(F.col("own"))).groupBy("e_id", "r_id").agg(F.sum("w").alias("shared"), F.max("all_w").alias("all_w"))
     #: What lies beyond the prefix can add at most its own weight.
-    return shared.where(F.col("shared") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9).select("e", "r", "e_id", "r_id")
+    return shared.where(F.col("shared") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9).select("e_id", "r_id")
 
 
 def _jamo(text: str) -> str:
@@ -269,7 +274,7 @@ def same_exchanges(df: DataFrame, id_col: str = "rec_id", split_col: str = "spli
     needed = pairs.select(F.col("e_id").alias("id")).union(pairs.select("r_id")).distinct()
     found = materialize(texts.join(materialize(needed, "split-needed"), "id"), "split-texts")
     side = lambda p, k: found.select(F.col("id").alias(k), *[F.col(f"f{i}").alias(f"{p}{i}") for i in range(3)])
-    both = pairs.join(side("a", "e_id"), "e_id").join(side("b", "r_id"), "r_id").select("e", "r", *[f"a{i}" for i in range(3)], *[f"b{i}" for i in range(3)])
+    both = pairs.join(side("a", "e_id"), "e_id").join(side("b", "r_id"), "r_id").select("e_id", "r_id", *[f"a{i}" for i in range(3)], *[f"b{i}" for i in range(3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,23 +287,26 @@ def same_exchanges(df: DataFrame, id_col: str = "rec_id", split_col: str = "spli
                     subs.append(words)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(overlaps, pa.float64()), pa.array(subs, pa.list_(pa.list_(pa.string())))], names=["e", "r", "overlap", "subs"]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(overlaps, pa.float64()), pa.array(subs, pa.list_(pa.list_(pa.string())))], names=["e_id", "r_id", "overlap", "subs"]
             )
 
-    checked = materialize(both.mapInArrow(run, "e string, r string, overlap double, subs array<array<string>>"), "split-checked")
+    checked = materialize(both.mapInArrow(run, f"e_id {id_type}, r_id {id_type}, overlap double, subs array<array<string>>"), "split-checked")
     #: How many records hold each word that stands for another one; only those words are counted.
     words = materialize(checked.select(F.explode(F.flatten("subs")).alias("w")).distinct(), "split-words")
     tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *[df[f] for f in fields])), r"[^\p{L}\p{N}]+"))
     counts = df.select(F.explode(tokens).alias("w")).join(words, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
-    groups = checked.where(F.size("subs") > 0).select("e", "r", F.posexplode("subs").alias("k", "g"))
-    judged = groups.select("e", "r", "k", F.explode("g").alias("w")).join(usual.withColumn("usual", F.lit(True)), "w", "left").groupBy("e", "r", "k").agg(F.max(F.coalesce("usual", F.lit(False))).alias("ok"))
-    bad = judged.where(~F.col("ok")).select("e", "r").distinct()
-    near = checked.join(bad, ["e", "r"], "left_anti").select("e", "r", "overlap")
+    groups = checked.where(F.size("subs") > 0).select("e_id", "r_id", F.posexplode("subs").alias("k", "g"))
+    judged = groups.select("e_id", "r_id", "k", F.explode("g").alias("w")).join(usual.withColumn("usual", F.lit(True)), "w", "left").groupBy("e_id", "r_id", "k").agg(F.max(F.coalesce("usual", F.lit(False))).alias("ok"))
+    bad = judged.where(~F.col("ok")).select("e_id", "r_id").distinct()
+    near = checked.join(bad, ["e_id", "r_id"], "left_anti").select("e_id", "r_id", "overlap")
+    #: Members of the classes come back: first the class of each representative, then all its records of that side.
+    near = materialize(near, "split-near")
     members = rows.select("id", "train", "cls")
     e_members = members.where(~F.col("train")).select(F.col("id").alias("e_id"), F.col("cls").alias("e"))
     r_members = members.where("train").select(F.col("id").alias("r_id"), F.col("cls").alias("r"))
+    classed = near.join(e_members, "e_id").join(r_members, "r_id").select("e", "r", "overlap")
     equal = e_members.join(r_members.withColumnRenamed("r", "e"), "e").select("e_id", "r_id", F.lit(1.0).alias("overlap"))
-    almost = near.join(e_members, "e").join(r_members, "r").select("e_id", "r_id", "overlap")
+    almost = classed.join(e_members, "e").join(r_members, "r").select("e_id", "r_id", "overlap")
     return equal.unionByName(almost).select(F.col("e_id").cast(id_type).alias("e_id"), F.col("r_id").cast(id_type).alias("r_id"), "overlap")
