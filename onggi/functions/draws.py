@@ -21,10 +21,8 @@ def base(seed: int, *key: Column | str) -> Column:
 
 def draw(base: Column, position: Column, stream: int) -> Column:
     """An integer in [0, MODULUS) for one position; another stream is another draw."""
-    x = (base + (position.cast("bigint") + 1) * (STEP % MODULUS) % MODULUS + F.lit(stream * STREAM % MODULUS)) % MODULUS
-    y = x * x % MODULUS
-    z = (y + x) * MULTIPLIER % MODULUS
-    return z * z % MODULUS
+    x = (base + (position.cast("bigint") + 1) * STEP % MODULUS + F.lit(stream * STREAM % MODULUS)) % MODULUS
+    return x * x % MODULUS * MULTIPLIER % MODULUS
 
 
 def below(p: float) -> int:

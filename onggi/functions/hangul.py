@@ -122,7 +122,7 @@ def compose_text(text: Column) -> Column:
 
         return F.array_join(F.transform(a, one), "")
 
-    return F.when(F.coalesce(text, F.lit("")) == "", text).otherwise(let(characters(text), body))
+    return let(characters(text), body)
 
 
 def pattern(kind: str, text: Column, longest: int | None = 16) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as in the str methods of the record formats: more than the class of regular expressions has.
-WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_CLASS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_CLASS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # The system prompt and the two chat templates.
 SYSTEM_PROMPT = "당신은 한국어로 정확하고 도움이 되는 답변을 제공하는 AI 어시스턴트입니다."
@@ -28,13 +28,13 @@ def strip(x: Column) -> Column:
 
 def normalize_lines(x: Column) -> Column:
     """Remove zero-width and null characters, fold blanks, at most one empty line in a row, strip."""
-    t = F.regexp_replace(as_text(x), "[\\x00​﻿]", "")
+    t = F.regexp_replace(as_text(x), r"[\x00\u200b\ufeff]", "")
     return strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def normalize_flat(x: Column) -> Column:
     """The same with all white space folded to single spaces."""
-    t = F.regexp_replace(as_text(x), "[\\x00​﻿]", "")
+    t = F.regexp_replace(as_text(x), r"[\x00\u200b\ufeff]", "")
     return strip(F.regexp_replace(t, f"[{_CLASS}]+", " "))
 
 

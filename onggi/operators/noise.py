@@ -50,7 +50,7 @@ def _each(text: Column, base: Column, body: Callable[[Column, Column, Column, Co
     def bound(x: Column) -> Column:
         return F.array_join(F.transform(x["a"], lambda c, i: body(x["b"], x["a"], c, i)), "")
 
-    return F.when(text == "", text).otherwise(let(F.struct(characters(text).alias("a"), base.alias("b")), bound))
+    return let(F.struct(characters(text).alias("a"), base.alias("b")), bound)
 
 
 def spacing(text: Column, base: Column, drop: float, insert: float) -> Column:
@@ -130,16 +130,15 @@ def light_spacing(text: Column, base: Column, p: float) -> Column:
 
 def pronunciation(text: Column, base: Column, p: float) -> Column:
     """Each spelling that is present is replaced once with p, one after the other; then finals are dropped with 0.35 p."""
-    out = text
-    for k, (a, b) in enumerate(PRONUNCIATIONS):
-        hit = draws.draw(base, F.lit(k), 3) < draws.below(p)
-        out = let(out, lambda t, a=a, b=b, hit=hit: F.when(hit & (F.instr(t, a) > 0), F.concat(F.substring_index(t, a, 1), F.lit(b), _after_first(t, a))).otherwise(t))
-    drop = lambda b, _, c, i: F.when(is_syllable(c) & (draws.draw(b, i, 0) < draws.below(p * 0.35)), compose(initial_of(c), vowel_of(c), F.lit(0))).otherwise(c)
-    return _each(out, base, drop)
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (draws.draw(base, F.lit(k), 3) < draws.below(p)).alias("hit")) for k, (a, b) in enumerate(PRONUNCIATIONS)])
 
+    def replace_first(t: Column, x: Column) -> Column:
+        at = F.call_function("instr", t, x["a"])
+        return F.when(x["hit"] & (at > 0), F.concat(F.substring(t, F.lit(1), at - 1), x["b"], F.substring(t, at + F.length(x["a"]), F.length(t)))).otherwise(t)
 
-def _after_first(t: Column, a: str) -> Column:
-    return F.substring(t, F.instr(t, a) + len(a), F.length(t))
+    out = F.aggregate(steps, text, replace_first)
+    drop = lambda b, _, c, i: F.when(is_syllable(c) & (draws.draw(b, i, 0) < draws.below(p * 0.35)), compose(initial_of(c), vowel_of(c), F.lit(0))).otherwise(c)
+    return _each(out, base, drop)
 
 
 def corrupt_pair_text(text: Column, noise: str, base: Callable[[str], Column], p: float = 0.12, drop: float = 0.18, insert: float = 0.015) -> Column:
@@ -153,9 +152,8 @@ def corrupt_pair_text(text: Column, noise: str, base: Callable[[str], Column], p
     if noise == "jong":
         return final(text, base("jong"), p)
     if noise == "mixed":
-        t = let(spacing(text, base("mixed-spacing"), drop * 0.75, insert * 0.75), lambda x: vowel(x, base("mixed-vowel"), p * 0.5))
-        t = let(t, lambda x: consonant(x, base("mixed-consonant"), p * 0.4))
-        return let(t, lambda x: final(x, base("mixed-jong"), p * 0.5))
+        t = vowel(spacing(text, base("mixed-spacing"), drop * 0.75, insert * 0.75), base("mixed-vowel"), p * 0.5)
+        return final(consonant(t, base("mixed-consonant"), p * 0.4), base("mixed-jong"), p * 0.5)
     raise ValueError(f"unknown noise type: {noise}")
 
 
@@ -170,8 +168,8 @@ def corrupt_bench_text(text: Column, noise: str, base: Callable[[str], Column],
     if noise == "pronunciation":
         return pronunciation(text, base("pronunciation"), p)
     if noise == "mixed":
-        t = let(light_spacing(text, base("mixed-spacing"), p), lambda x: pronunciation(x, base("mixed-pronunciation"), p))
-        return let(t, lambda x: jamo(x, base("mixed-jamo"), p * 0.7))
+        t = pronunciation(light_spacing(text, base("mixed-spacing"), p), base("mixed-pronunciation"), p)
+        return jamo(t, base("mixed-jamo"), p * 0.7)
     raise ValueError(f"unknown noise type: {noise}")
 
 
@@ -230,6 +228,10 @@ def bench_variants(items: DataFrame, noise_types: Sequence[str] = BENCH_NOISES,
     return rows.withColumns(new)
 
 
+def _count_hits(ratio: float) -> Callable[[Column], Column]:
+    return lambda x: F.size(F.filter(x["a"], lambda c, i: is_syllable(c) & (draws.draw(x["b"], i, 0) < draws.below(ratio)))).cast("bigint")
+
+
 def substitute_jamo(
     df: DataFrame, key: str = "rec_id", fields: Sequence[str] = ("instruction", "input"), input_ratio: float = 0.10, output_ratio: float = 0.0, include_output: bool = False,
     mark: bool = True, clean_fields: bool = False, clean_copies: bool = False, skip_unchanged: bool = False, seed: int = 42,
@@ -248,13 +250,9 @@ def substitute_jamo(
         b = draws.base(seed, F.col(key), f, "jamo")
         text = jamo(old, b, ratio) if ratio > 0 else old
 
-        def count(x: Column, ratio: float = ratio) -> Column:
-            hits = F.filter(x["a"], lambda c, i: is_syllable(c) & (draws.draw(x["b"], i, 0) < draws.below(ratio)))
-            return F.size(hits).cast("bigint")
-
         new[f] = text
         new[f"{f}_hangul"] = F.size(F.filter(characters(old), is_syllable)).cast("bigint")
-        new[f"{f}_changed"] = let(F.struct(characters(old).alias("a"), b.alias("b")), count) if ratio > 0 else F.lit(0).cast("bigint")
+        new[f"{f}_changed"] = let(F.struct(characters(old).alias("a"), b.alias("b")), _count_hits(ratio)) if ratio > 0 else F.lit(0).cast("bigint")
         changed = changed | (text != old)
     if mark:
         new |= {

@@ -1,19 +1,687 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from onggi.functions import draws, hangul, text
+from onggi.operators import mcq, metrics, noise, normalize, pack, scoring, tokens
+from onggi.plans import oracle as o
+from onggi.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def records(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "instructions")
+
+
+def clean_items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mcq_items").where("noise_type IS NULL OR noise_type = 'clean'")
+
+
+# --- text functions -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {o.lines_sql('text')} AS t FROM documents")
+def normalize_keep_newlines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.normalize_lines(F.col("text")).alias("t"))
+
+
+@query(f"SELECT doc_id, {o.flat_sql('text')} AS t FROM documents")
+def normalize_flatten(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.normalize_flat(F.col("text")).alias("t"))
+
+
+_OUT = "src AS (SELECT rec_id AS k, coalesce(output, '') AS t FROM instructions)"
+
+
+@query(o.with_([_OUT, *o.plain_stage("r", "src", f"CASE WHEN {o.SYL} THEN {o.JAMO} ELSE c END")], "SELECT k AS rec_id, md5(t) AS jamo_md5, length(t) AS n FROM r"))
+def hangul_decompose(s: SparkSession, d: str) -> DataFrame:
+    t = hangul.decompose_text(text.as_text(F.col("output")))
+    return records(s, d).select("rec_id", t.alias("t")).select("rec_id", F.md5("t").alias("jamo_md5"), F.length("t").cast("bigint").alias("n"))
+
+
+@query(
+    o.with_(
+        [_OUT, *o.plain_stage("r", "src", f"CASE WHEN {o.SYL} THEN {o.JAMO} ELSE c END"), *o.compose_stage("c", "r")],
+        "SELECT count(*) AS n, count(*) FILTER (WHERE c.t = src.t) AS n_same, md5(string_agg(md5(c.t), '' ORDER BY k)) AS digest FROM c JOIN src USING (k)",
+    )
+)
+def hangul_compose_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Texts that come back unchanged from separate jamo."""
+    old = text.as_text(F.col("output"))
+    rows = records(s, d).select("rec_id", old.alias("old"), hangul.compose_text(hangul.decompose_text(old)).alias("new"))
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_id", F.md5("new").alias("m")))), lambda x: x["m"]), ""))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old") == F.col("new")).alias("n_same"), digest.alias("digest"))
+
+
+@query(
+    o.with_(
+        ["src AS (SELECT pair_id AS k, coalesce(noisy_instruction, '') AS t FROM noisy_pairs)", *o.compose_stage("c", "src")],
+        "SELECT pair_id, c.t AS composed, c.t <> coalesce(noisy_instruction, '') AS changed FROM noisy_pairs JOIN c ON k = pair_id",
+    )
+)
+def compose_normalize(s: SparkSession, d: str) -> DataFrame:
+    new = hangul.compose_text(text.as_text(F.col("noisy_instruction")))
+    return table(s, d, "noisy_pairs").select("pair_id", new.alias("composed"), (new != text.as_text(F.col("noisy_instruction"))).alias("changed"))
+
+
+@query()
+def nfkc_normalize(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "mcq_items").select("id", "noise_type", "question")
+    return normalize.normalize_compatibility(items, ["question"])
+
+
+@query(
+    o.with_(
+        ["a AS MATERIALIZED (SELECT id, noise_type, choices, row_number() OVER () AS k, coalesce(question, '') AS t, question FROM mcq_items)", *o.compose_stage("c", "a")],
+        "SELECT id, noise_type, CASE WHEN question IS NULL THEN NULL ELSE t END AS question, true AS normalized FROM c",
+    )
+)
+def normalize_records(s: SparkSession, d: str) -> DataFrame:
+    return normalize.normalize_record(table(s, d, "mcq_items")).select("id", "noise_type", "question", "normalized")
+
+
+@query()
+def normalize_nested_records(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "mcq_items")
+    nested = items.select("id", "noise_type", F.struct("question", "choices", "source").alias("body"))
+    return normalize.normalize_nested(nested).select("id", "noise_type", "body.question", "body.choices", "body.source")
+
+
+@query(
+    "WITH p AS (SELECT *, CASE WHEN {b} <> '' THEN {a} || chr(10) || chr(10) || {b} ELSE {a} END AS u FROM instructions), "
+    "q AS (SELECT rec_id, '<|system|>' || chr(10) || {sys} || chr(10) || '<|user|>' || chr(10) || u || chr(10) || '<|assistant|>' || chr(10) AS s, "
+    "'<|im_start|>system' || chr(10) || {sys} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || u || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS w, {out} AS o FROM p) "
+    "SELECT rec_id, s AS prompt_simple, w AS prompt_qwen, s || o || '</s>' AS full_simple, w || o || '<|im_end|>' AS full_qwen FROM q".format(
+        a=o.lines_sql("instruction"), b=o.lines_sql("input"), out=o.lines_sql("output"), sys=o.literal(text.SYSTEM_PROMPT)
+    )
+)
+def prompts(s: SparkSession, d: str) -> DataFrame:
+    a, b, c = F.col("instruction"), F.col("input"), F.col("output")
+    return records(s, d).select(
+        "rec_id", text.prompt(a, b).alias("prompt_simple"), text.prompt(a, b, "qwen").alias("prompt_qwen"), text.full_text(a, b, c, eos="</s>").alias("full_simple"), text.full_text(a, b, c, "qwen").alias("full_qwen")
+    )
+
+
+@query(
+    "WITH j AS (SELECT rec_id, array_to_string(list_filter([coalesce(instruction, ''), coalesce(input, ''), coalesce(output, '')], lambda x: x <> ''), chr(10)) AS t FROM instructions) "
+    f"SELECT rec_id, replace({o.strip_sql('t')}, chr(13) || chr(10), chr(10)) AS corpus FROM j WHERE {o.strip_sql('t')} <> ''"
+)
+def instruction_to_corpus(s: SparkSession, d: str) -> DataFrame:
+    rows = records(s, d).select("rec_id", text.corpus_text(F.col("instruction"), F.col("input"), F.col("output")).alias("corpus"))
+    return rows.where("corpus IS NOT NULL")
+
+
+@query("SELECT DISTINCT source, translate(source, '/.: ', '____') AS safe, 'run.' || substr(md5(source), 1, 8) || '.v1' AS cache FROM instructions WHERE source IS NOT NULL")
+def safe_names(s: SparkSession, d: str) -> DataFrame:
+    src = F.col("source")
+    rows = records(s, d).where("source IS NOT NULL").select("source").distinct()
+    return rows.select("source", text.safe_name(src).alias("safe"), text.cache_name(F.lit("run"), src, F.lit("v1")).alias("cache"))
+
+
+# --- noise --------------------------------------------------------------------------------------------------------
+
+
+def _pair_base(field: str, key: str = "k") -> Callable[[str], str]:
+    return lambda stage: o.base_sql("'42'", key, f"'{field}'", f"'{stage}'")
+
+
+_A = f"src AS (SELECT rec_id::VARCHAR AS k, {o.lines_sql('instruction')} AS t FROM instructions)"
+
+
+def _register_pair_noise() -> None:
+    for kind in noise.PAIR_NOISES:
+
+        def run(s: SparkSession, d: str, kind: str = kind) -> DataFrame:
+            t = text.normalize_lines(F.col("instruction"))
+            noisy = noise.corrupt_pair_text(F.col("t"), kind, lambda stage: draws.base(42, F.col("rec_id"), "instruction", stage))
+            return records(s, d).select("rec_id", t.alias("t")).select("rec_id", noisy.alias("noisy"))
+
+        QUERIES[f"noise_{kind}_a"] = run
+        SQL[f"noise_{kind}_a"] = o.with_([_A, *o.pair_noise("r", "src", kind, _pair_base("instruction"))], "SELECT k::BIGINT AS rec_id, t AS noisy FROM r")
+
+
+_register_pair_noise()
+
+_ITEMS = "src AS MATERIALIZED (SELECT id, task, row_number() OVER () AS k, coalesce(question, '') AS t FROM mcq_items WHERE noise_type IS NULL OR noise_type = 'clean')"
+
+
+def _bench_base(kind: str, field: str) -> Callable[[str], str]:
+    return lambda stage: o.base_sql("'42'", "task", "id", f"'{kind}'", f"'{field}'", f"'{stage}'")
+
+
+@query(
+    o.with_(
+        [_ITEMS, *[c for kind in noise.BENCH_NOISES[1:] for c in o.bench_noise(f"r_{kind}", "src", kind, _bench_base(kind, "question"))]],
+        "SELECT id, task, 'clean' AS noise_type, t AS question FROM src " + " ".join(f"UNION ALL SELECT id, task, '{kind}', t FROM r_{kind}" for kind in noise.BENCH_NOISES[1:]),
+    )
+)
+def bench_variants(s: SparkSession, d: str) -> DataFrame:
+    items = clean_items(s, d).withColumn("question", text.as_text(F.col("question")))
+    return noise.bench_variants(items).select("id", "task", "noise_type", "question")
+
+
+@query()
+def bench_variants_with_choices(s: SparkSession, d: str) -> DataFrame:
+    return noise.bench_variants(clean_items(s, d), corrupt_choices=True).select("id", "noise_type", "question", "choices")
+
+
+_PAIR_SRC = (
+    f"p AS (SELECT rec_id, {o.lines_sql('instruction')} AS ci, {o.lines_sql('input')} AS cn, {o.lines_sql('output')} AS co, source FROM instructions), "
+    "f AS (SELECT * FROM p WHERE co <> '' AND length(ci) + length(cn) BETWEEN 4 AND 4096)"
+)
+
+
+def _pairs_sql(kinds: tuple[str, ...], chosen: str, select: str) -> str:
+    ctes = [_PAIR_SRC, f"w AS ({chosen})"]
+    for kind in kinds:
+        for f, col in (("instruction", "ci"), ("input", "cn")):
+            ctes.append(f"s_{kind}_{f} AS (SELECT rec_id::VARCHAR AS k, {col} AS t FROM w WHERE noise_type = '{kind}')")
+            ctes += o.pair_noise(f"r_{kind}_{f}", f"s_{kind}_{f}", kind, _pair_base(f))
+    parts = " UNION ALL ".join(
+        f"SELECT w.*, a.t AS noisy_instruction, b.t AS noisy_input FROM w JOIN r_{k}_instruction a ON a.k = w.rec_id::VARCHAR JOIN r_{k}_input b ON b.k = a.k WHERE noise_type = '{k}'" for k in kinds
+    )
+    ctes.append(f"pairs AS (SELECT * FROM ({parts}) WHERE ci <> noisy_instruction OR cn <> noisy_input)")
+    return o.with_(ctes, select)
+
+
+_DRAWN = f"SELECT f.*, {o.base_sql(chr(39) + '42' + chr(39), 'rec_id::VARCHAR', chr(39) + 'noise_type' + chr(39))} AS b, {o.draw_cols('d', 0, 'b', '0')}, {list(noise.PAIR_NOISES)!r}[d * 5 // {o.M} + 1] AS noise_type FROM f"
+_ALL = f"SELECT f.*, unnest({list(noise.PAIR_NOISES)!r}) AS noise_type FROM f"
+
+
+@query(_pairs_sql(noise.PAIR_NOISES, _DRAWN, "SELECT rec_id, rec_id::VARCHAR || ':' || noise_type AS pair_id, ci AS clean_instruction, cn AS clean_input, noisy_instruction, noisy_input, co AS output FROM pairs"))
+def noisy_pairs(s: SparkSession, d: str) -> DataFrame:
+    return noise.noisy_pairs(records(s, d)).select("rec_id", "pair_id", "clean_instruction", "clean_input", "noisy_instruction", "noisy_input", "output")
+
+
+@query(_pairs_sql(noise.PAIR_NOISES, _ALL, "SELECT noise_type, source, count(*) AS n_pairs, count(DISTINCT rec_id) AS n_records FROM pairs GROUP BY ALL"))
+def noisy_pairs_all_types(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of all noise types, counted by type and source."""
+    rows = noise.noisy_pairs(records(s, d), all_types=True)
+    return rows.groupBy("noise_type", "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("rec_id").alias("n_records"))
+
+
+@query(
+    _pairs_sql(
+        noise.PAIR_NOISES, _DRAWN,
+        "SELECT (SELECT count(*) FROM instructions) AS n_read, (SELECT count(*) FROM pairs) AS n_written, (SELECT count(*) FROM f) AS n_usable, "
+        "(SELECT count(*) FROM instructions) - (SELECT count(DISTINCT rec_id) FROM pairs) AS n_skipped",
+    )
+)
+def pair_run_counters(s: SparkSession, d: str) -> DataFrame:
+    df = records(s, d)
+    rows = noise.noisy_pairs(df, keep_unchanged=True).select("rec_id", "text_changed")
+    read = df.agg(F.count(F.lit(1)).alias("n_read"))
+    counts = rows.agg(F.count_if("text_changed").alias("n_written"), F.count(F.lit(1)).alias("n_usable"), F.countDistinct(F.when(F.col("text_changed"), F.col("rec_id"))).alias("kept"))
+    return counts.crossJoin(F.broadcast(read)).select("n_read", "n_written", "n_usable", (F.col("n_read") - F.col("kept")).alias("n_skipped"))
+
+
+@query(
+    "WITH k AS (SELECT unnest(['spacing', 'vowel', 'consonant', 'jong', 'mixed', 'jamo']) AS noise_type) "
+    "SELECT k.noise_type, count(p.pair_id) AS n_pairs, count(p.pair_id) FILTER (WHERE text_changed) AS n_changed FROM k LEFT JOIN noisy_pairs p USING (noise_type) GROUP BY ALL"
+)
+def noise_type_counts(s: SparkSession, d: str) -> DataFrame:
+    """Counts of requested noise types, also of those without pairs."""
+    kinds = s.createDataFrame([(k,) for k in (*noise.PAIR_NOISES, "jamo")], "noise_type string")
+    counts = table(s, d, "noisy_pairs").groupBy("noise_type").agg(F.count("pair_id").alias("n"), F.count_if("text_changed").alias("c"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return kinds.join(counts, "noise_type", "left").select("noise_type", zero("n").alias("n_pairs"), zero("c").alias("n_changed"))
+
+
+def _jamo_fields(select: str) -> str:
+    ctes = ["src AS (SELECT rec_id::VARCHAR AS k, coalesce(instruction, '') AS t FROM instructions)", "srd AS (SELECT rec_id::VARCHAR AS k, coalesce(input, '') AS t FROM instructions)"]
+    ctes += o.jamo_stage("a", "src", _pair_base("instruction")("jamo"), 0.10) + o.jamo_stage("b", "srd", _pair_base("input")("jamo"), 0.10)
+    return o.with_(ctes, select)
+
+
+@query(_jamo_fields("SELECT a.k::BIGINT AS rec_id, a.t AS instruction, b.t AS input, a.t <> src.t OR b.t <> srd.t AS jamo_changed FROM a JOIN b USING (k) JOIN src USING (k) JOIN srd USING (k)"))
+def jamo_substitute(s: SparkSession, d: str) -> DataFrame:
+    return noise.substitute_jamo(records(s, d)).select("rec_id", "instruction", "input", "jamo_changed")
+
+
+@query(
+    _jamo_fields(
+        f"SELECT (SELECT count(*) FROM a_o WHERE {o.SYL})::BIGINT AS instruction_hangul, (SELECT count(*) FROM a_o WHERE {o.SYL} AND d0 < {o.below(0.10)})::BIGINT AS instruction_changed, "
+        f"(SELECT count(*) FROM b_o WHERE {o.SYL})::BIGINT AS input_hangul, (SELECT count(*) FROM b_o WHERE {o.SYL} AND d0 < {o.below(0.10)})::BIGINT AS input_changed"
+    )
+)
+def jamo_substitution_stats(s: SparkSession, d: str) -> DataFrame:
+    rows = noise.substitute_jamo(records(s, d))
+    return rows.agg(*[F.sum(f"{f}_{k}").alias(f"{f}_{k}") for f in ("instruction", "input") for k in ("hangul", "changed")])
+
+
+@query(
+    _jamo_fields(
+        "SELECT rec_id, 0 AS copy, instruction, false AS jamo_substitution FROM instructions UNION ALL SELECT a.k::BIGINT, 1, a.t, true FROM a"
+    )
+)
+def jamo_substitute_clean_copy(s: SparkSession, d: str) -> DataFrame:
+    return noise.substitute_jamo(records(s, d), clean_copies=True).select("rec_id", "copy", "instruction", "jamo_substitution")
+
+
+@query()
+def normalize_roundtrip_rate(s: SparkSession, d: str) -> DataFrame:
+    """Per field: texts that composition brings back after jamo noise."""
+    rows = noise.substitute_jamo(records(s, d), clean_fields=True)
+    return rows.agg(*[F.round(F.avg((hangul.compose_text(F.col(f)) == F.col(f"clean_{f}")).cast("int")), 6).alias(f"{f}_rate") for f in ("instruction", "input")])
+
+
+# --- multiple choice ----------------------------------------------------------------------------------------------
+
+
+def raw_mcq(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as records of several shapes, as sources deliver them."""
+    items = clean_items(s, d).select("id", "task", "subset", "question", "choices", "answer", "source")
+    digit = F.pmod(F.length("id") + F.coalesce("answer", F.lit(0)), F.lit(3))
+    letter = F.substring(F.lit("ABCDEFGH"), F.col("answer") + 1, 1)
+    shaped = F.when(digit == 0, F.to_json(F.struct("id", "question", "choices", "answer"))).when(
+        digit == 1, F.to_json(F.struct("id", F.col("question").alias("query"), F.to_json("choices").alias("options"), letter.alias("label")))
+    )
+    shaped = shaped.otherwise(F.to_json(F.struct("id", F.col("question").alias("passage"), F.col("choices").alias("candidates"), F.element_at("choices", F.col("answer") + 1).alias("target"))))
+    return items.select(F.lit("other").alias("task"), "subset", F.lit(0).alias("idx"), "source", shaped.alias("record"))
+
+
+@query(
+    f"WITH m AS (SELECT *, list_transform(choices, lambda c: {o.strip_sql('c')}) AS cc FROM mcq_items WHERE (noise_type IS NULL OR noise_type = 'clean') AND answer IS NOT NULL AND len(choices) >= 2 AND {o.strip_sql('question')} <> '') "
+    f"SELECT id, 'other' AS task, subset, {o.strip_sql('question')} AS question, cc AS choices, "
+    f"CASE WHEN (length(id) + answer) % 3 = 2 AND NOT regexp_matches({o.strip_sql('choices[answer + 1]')}, '^([0-9]+|[A-Ea-e])$') THEN list_position(cc, {o.strip_sql('choices[answer + 1]')})::INT - 1 ELSE answer END AS answer, source FROM m"
+)
+def mcq_extract(s: SparkSession, d: str) -> DataFrame:
+    return mcq.extract_items(raw_mcq(s, d))
+
+
+_ANSWERS = "(VALUES ('0'), ('1'), ('2'), ('4'), ('5'), ('9'), ('A'), ('b'), ('E'), ('x'), (' 3 '), ('')) v(a)"
+
+
+@query(
+    f"WITH i AS (SELECT id, choices, len(choices) AS n, list_transform(choices, lambda c: {o.strip_sql('c')}) AS cc FROM mcq_items WHERE noise_type IS NULL OR noise_type = 'clean'), "
+    f"x AS (SELECT i.*, a, {o.strip_sql('a')} AS s FROM i, {_ANSWERS} UNION ALL SELECT i.*, choices[2], {o.strip_sql('choices[2]')} FROM i) "
+    "SELECT id, a AS given, (CASE WHEN regexp_matches(s, '^[0-9]+$') AND s::BIGINT < n THEN s::INT WHEN regexp_matches(s, '^[0-9]+$') AND s::BIGINT BETWEEN 1 AND n THEN s::INT - 1 "
+    "WHEN length(s) = 1 AND instr('ABCDEabcde', s) > 0 AND (instr('ABCDEabcde', s) - 1) % 5 < n THEN (instr('ABCDEabcde', s) - 1) % 5 "
+    "WHEN list_position(cc, s) > 0 THEN list_position(cc, s) - 1 END)::INT AS answer FROM x"
+)
+def mcq_answer_resolve(s: SparkSession, d: str) -> DataFrame:
+    forms = ["0", "1", "2", "4", "5", "9", "A", "b", "E", "x", " 3 ", ""]
+    given = F.concat(F.array(*map(F.lit, forms)), F.array(F.get("choices", F.lit(1))))
+    rows = clean_items(s, d).select("id", "choices", F.explode(given).alias("given"))
+    return rows.select("id", "given", mcq.resolve_answer(F.col("given"), F.col("choices")).alias("answer"))
+
+
+@query("SELECT min(id) AS id, question, choices, answer FROM mcq_items WHERE noise_type IS NULL OR noise_type = 'clean' GROUP BY question, choices, answer")
+def mcq_dedup(s: SparkSession, d: str) -> DataFrame:
+    return mcq.first_of_duplicates(clean_items(s, d).select("id", "question", "choices", "answer"))
+
+
+@query(
+    f"SELECT id, noise_type, '질문: ' || {o.strip_sql('question')} || chr(10) || '선택지:' || chr(10) || array_to_string(list_transform(choices, lambda c, i: chr((64 + i)::INT) || '. ' || c), chr(10)) || chr(10) || '정답:' AS prompt FROM mcq_items"
+)
+def mcq_prompt(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mcq_items").select("id", "noise_type", mcq.prompt_prefix(F.col("question"), F.col("choices")).alias("prompt"))
+
+
+_RIGHT = "coalesce(gold = pred, false)::INT"
+
+
+@query(f"SELECT subset, count(*) AS n, sum({_RIGHT})::BIGINT AS n_right, avg({_RIGHT}) AS accuracy FROM mcq_results GROUP BY ROLLUP (subset)")
+def mcq_accuracy(s: SparkSession, d: str) -> DataFrame:
+    return metrics.accuracy(table(s, d, "mcq_results"), "gold", "pred", "subset")
+
+
+@query("SELECT result_id, list_position(scores, list_max(scores))::INT - 1 AS best FROM mcq_results")
+def mcq_best_choice(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mcq_results").select("result_id", mcq.best_choice(F.col("scores")).alias("best"))
+
+
+@query("SELECT result_id, id, subset, noise_type, gold, pred FROM mcq_results ORDER BY result_id LIMIT 50")
+def head_examples(s: SparkSession, d: str) -> DataFrame:
+    """The first 50 examples of a report."""
+    return mcq.limited(table(s, d, "mcq_results").select("result_id", "id", "subset", "noise_type", "gold", "pred"), "result_id", 50)
+
+
+# --- tokens and vocabularies --------------------------------------------------------------------------------------
+
+_WORDS = "SELECT DISTINCT unnest(regexp_split_to_array(output, '[ \\t\\r\\n]+')) AS token FROM instructions WHERE output IS NOT NULL"
+
+
+def _pattern_sql(kind: str, src: str, longest: int | None, none: str | None = None) -> list[str]:
+    part = {"CHO": f"substr('{hangul.INITIALS}', ini::INT + 1, 1)", "JUNG": f"substr('{hangul.VOWELS}', vow::INT + 1, 1)", "JONG": f"CASE WHEN fin = 0 THEN '_' ELSE substr('{''.join(hangul.FINALS)}', fin::INT, 1) END"}[kind]
+    limit = f"HAVING count(*) <= {longest}" if longest else ""
+    return [
+        f"e_{kind} AS (SELECT token, unnest(string_split(token, '')) AS c, generate_subscripts(string_split(token, ''), 1) AS i FROM {src})", f"f_{kind} AS (SELECT *, {o.PARTS} FROM e_{kind} WHERE {o.SYL})",
+        f"p_{kind} AS (SELECT token, '<{kind}:' || string_agg({part}, '' ORDER BY i) || '>' AS label FROM f_{kind} GROUP BY token {limit})",
+    ]
+
+
+def _patterns_sql(source: str, longest: int) -> list[str]:
+    return [f"w AS ({source})", *[c for k in hangul.KINDS for c in _pattern_sql(k, "w", longest)]]
+
+
+def _labels(longest: int, source: str = _WORDS) -> tuple[list[str], str]:
+    return _patterns_sql(source, longest), " UNION ALL ".join(f"SELECT token, '{k}' AS kind, label FROM p_{k}" for k in hangul.KINDS)
+
+
+@query(o.with_(_labels(16)[0], _labels(16)[1]))
+def jamo_patterns_16(s: SparkSession, d: str) -> DataFrame:
+    return tokens.patterns(tokens.distinct_tokens(records(s, d), "output"), 16)
+
+
+@query(o.with_(_labels(8)[0], _labels(8)[1]))
+def jamo_patterns_8(s: SparkSession, d: str) -> DataFrame:
+    return tokens.patterns(tokens.distinct_tokens(records(s, d), "output"), 8)
+
+
+_BASE_WORDS = "SELECT word AS token FROM common_words"
+
+
+def _vocabs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    base = tokens.vocabulary(table(s, d, "common_words").select(F.col("word").alias("token")))
+    return base, tokens.vocabulary(tokens.distinct_tokens(records(s, d), "output"))
+
+
+@query(o.with_(_patterns_sql(_BASE_WORDS, 16), f"SELECT DISTINCT label FROM ({_labels(16)[1]})"))
+def vocab_base(s: SparkSession, d: str) -> DataFrame:
+    return _vocabs(s, d)[0]
+
+
+@query(o.with_(_patterns_sql(f"{_WORDS} UNION SELECT word FROM common_words", 16), f"SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM (SELECT DISTINCT label FROM ({_labels(16)[1]}))"))
+def vocab_union_ids(s: SparkSession, d: str) -> DataFrame:
+    a, b = _vocabs(s, d)
+    return tokens.label_ids(a.unionByName(b).distinct())
+
+
+@query()
+def vocab_difference(s: SparkSession, d: str) -> DataFrame:
+    a, b = _vocabs(s, d)
+    return tokens.difference(b, a)
+
+
+def _renamed(ctes: list[str], mark: str) -> tuple[list[str], str]:
+    """The same CTEs under other names."""
+    out = []
+    for c in ctes:
+        for k in hangul.KINDS:
+            for x in "efp":
+                c = c.replace(f"{x}_{k}", f"{mark}{x}_{k}")
+        out.append(c.replace("w AS (", f"{mark}w AS (", 1).replace("FROM w)", f"FROM {mark}w)"))
+    return out, " UNION ALL ".join(f"SELECT token, '{k}' AS kind, label FROM {mark}p_{k}" for k in hangul.KINDS)
+
+
+_BASE_CTES, _BASE_LABELS = _renamed(_patterns_sql(_BASE_WORDS, 16), "b")
+SQL["vocab_difference"] = o.with_([*_patterns_sql(_WORDS, 16), *_BASE_CTES], f"SELECT DISTINCT label FROM ({_labels(16)[1]}) WHERE label NOT IN (SELECT label FROM ({_BASE_LABELS}))")
+
+_TYPO_WORDS = "SELECT unnest(regexp_split_to_array(correct_sentence, '[ \\t\\r\\n]+')) AS token FROM typo_pairs WHERE correct_sentence IS NOT NULL"
+
+
+@query(
+    o.with_(
+        [f"occ AS (SELECT token, count(*) AS n FROM ({_TYPO_WORDS}) GROUP BY 1)", *_patterns_sql("SELECT token FROM occ", 16), *_renamed(_patterns_sql(_WORDS, 16), "v")[0]],
+        f"SELECT kind, sum(n)::BIGINT AS n_occurrences, sum(CASE WHEN label IN (SELECT label FROM ({_renamed(_patterns_sql(_WORDS, 16), 'v')[1]})) THEN n ELSE 0 END)::BIGINT AS n_hits, "
+        f"round(n_hits / n_occurrences, 9) AS coverage FROM occ JOIN ({_labels(16)[1]}) USING (token) GROUP BY kind",
+    )
+)
+def vocab_coverage(s: SparkSession, d: str) -> DataFrame:
+    """How much of the typo corpus the vocabulary of the outputs covers."""
+    held_out = tokens.distinct_tokens(table(s, d, "typo_pairs"), "correct_sentence")
+    return tokens.coverage(held_out, _vocabs(s, d)[1])
+
+
+def _jamo_label_sql(flavour: str) -> str:
+    miss = lambda k: f"coalesce(p_{k}.label, '<{k}:_>')" if flavour == "sft" else f"p_{k}.label"
+    vctes, vlabels = _renamed(_patterns_sql(_WORDS, 16), "v")
+    ctes = [f"w AS (SELECT DISTINCT token FROM ({_TYPO_WORDS}) WHERE token <> '')", *[c for k in hangul.KINDS for c in _pattern_sql(k, "w", None)], *vctes]
+    ctes.append(f"ids AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM (SELECT DISTINCT label FROM ({vlabels})))")
+    joins = " ".join(f"LEFT JOIN p_{k} ON p_{k}.token = w.token LEFT JOIN ids i_{k} ON i_{k}.label = {miss(k)}" for k in hangul.KINDS)
+    return o.with_(ctes, "SELECT w.token, " + ", ".join(f"coalesce(i_{k}.id, -100) AS {k.lower()}" for k in hangul.KINDS) + f" FROM w {joins}")
+
+
+@query(_jamo_label_sql("cpt"))
+def jamo_labels_cpt(s: SparkSession, d: str) -> DataFrame:
+    ids = tokens.label_ids(_vocabs(s, d)[1])
+    return tokens.jamo_labels(tokens.distinct_tokens(table(s, d, "typo_pairs"), "correct_sentence"), ids, "cpt")
+
+
+@query(_jamo_label_sql("sft"))
+def jamo_labels_sft(s: SparkSession, d: str) -> DataFrame:
+    ids = tokens.label_ids(_vocabs(s, d)[1])
+    return tokens.jamo_labels(tokens.distinct_tokens(table(s, d, "typo_pairs"), "correct_sentence"), ids, "sft")
+
+
+# --- packing and examples -----------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS ts FROM documents), "
+    "o AS (SELECT doc_id, ts, sum(len(ts) + 1) OVER (ORDER BY doc_id) - len(ts) - 1 AS off FROM l WHERE len(ts) > 0), "
+    "p AS (SELECT off + unnest(range(len(ts) + 1)) AS g, unnest(list_append(ts, '</s>')) AS token FROM o), "
+    "b AS (SELECT (g // 128)::BIGINT AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY g)) AS digest FROM p GROUP BY 1) SELECT block, n, digest FROM b WHERE n >= 16"
+)
+def pack_blocks(s: SparkSession, d: str) -> DataFrame:
+    blocks = pack.pack_blocks(table(s, d, "documents"), "doc_id", tokens.word_tokens(F.col("text")), "</s>", 128, 16)
+    return blocks.select("block", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+_NI, _NN, _NO = o.lines_sql("instruction"), o.lines_sql("input"), o.lines_sql("output")
+
+
+def _sft_sql(source: str, key: str, max_length: int, a: str, b: str) -> list[str]:
+    """CTEs up to `x`: one row per key with its ids, prompt length and reason to skip."""
+    na, nb = o.lines_sql(a), o.lines_sql(b)
+    nl = "chr(10)"
+    return [
+        f"n AS (SELECT {key} AS k, {na} AS a, {nb} AS b, {_NO} AS c FROM {source})",
+        f"q AS (SELECT k, a = '' AND b = '' OR c = '' AS empty, '<|system|>' || {nl} || {o.literal(text.SYSTEM_PROMPT)} || {nl} || '<|user|>' || {nl} || CASE WHEN b <> '' THEN a || {nl} || {nl} || b ELSE a END || {nl} || '<|assistant|>' || {nl} AS p, c FROM n)",
+        f"x AS (SELECT k, empty, length(p) AS plen, substr(p || c || '</s>', 1, {max_length}) AS t, "
+        f"CASE WHEN empty THEN 'empty' WHEN length(p) >= {max_length} THEN 'long_prompt' END AS skip_reason FROM q)",
+    ]
+
+
+@query(
+    o.with_(
+        _sft_sql("instructions", "rec_id", 256, "instruction", "input"),
+        "SELECT k AS rec_id, skip_reason, CASE WHEN skip_reason IS NULL THEN list_transform(string_split(t, ''), lambda c: unicode(c)::INT) END AS input_ids, "
+        "CASE WHEN skip_reason IS NULL THEN list_transform(string_split(t, ''), lambda c, i: CASE WHEN i <= plen THEN -100 ELSE unicode(c)::INT END) END AS labels FROM x",
+    )
+)
+def sft_items(s: SparkSession, d: str) -> DataFrame:
+    return pack.sft_examples(records(s, d), eos="</s>", max_length=256).select("rec_id", "skip_reason", "input_ids", "labels")
+
+
+@query(o.with_(_sft_sql("instructions", "rec_id", 128, "instruction", "input"), "SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n FROM x GROUP BY 1"))
+def sft_skip_reasons(s: SparkSession, d: str) -> DataFrame:
+    return pack.skip_counts(pack.sft_examples(records(s, d), eos="</s>", max_length=128))
+
+
+@query(
+    o.with_(
+        [
+            *_sft_sql("noisy_pairs", "pair_id", 256, "coalesce(clean_instruction, instruction)", "coalesce(clean_input, input)"),
+            *[c.replace("n AS (", "n2 AS (", 1).replace("q AS (", "q2 AS (", 1).replace("x AS (", "x2 AS (", 1).replace("FROM n)", "FROM n2)").replace("FROM q)", "FROM q2)") for c in _sft_sql("noisy_pairs", "pair_id", 256, "noisy_instruction", "noisy_input")],
+        ],
+        "SELECT x.k AS pair_id, coalesce(noise_type, 'unknown') AS noise_type, CASE WHEN x.skip_reason = 'empty' THEN 'empty' WHEN x2.skip_reason = 'empty' THEN 'missing_pair' "
+        "WHEN x.skip_reason IS NOT NULL OR x2.skip_reason IS NOT NULL THEN 'encoding' END AS skip_reason, CASE WHEN x.skip_reason IS NULL THEN length(x.t) END AS clean_n, CASE WHEN x2.skip_reason IS NULL THEN length(x2.t) END AS noisy_n "
+        "FROM x JOIN x2 ON x.k = x2.k JOIN noisy_pairs p ON p.pair_id = x.k",
+    )
+)
+def paired_sft(s: SparkSession, d: str) -> DataFrame:
+    rows = pack.paired_examples(table(s, d, "noisy_pairs"), eos="</s>", max_length=256)
+    return rows.select("pair_id", "noise_type", "skip_reason", F.when(F.col("clean_input_ids").isNotNull(), F.size("clean_input_ids").cast("bigint")).alias("clean_n"), F.when(F.col("noisy_input_ids").isNotNull(), F.size("noisy_input_ids").cast("bigint")).alias("noisy_n"))
+
+
+def _collate_sql(multiple: int) -> str:
+    width = f"ceil(max(len(ids)) OVER (PARTITION BY batch) / {multiple})::INT * {multiple}"
+    return (
+        "WITH t AS (SELECT result_id, list_transform(string_split(coalesce(id, ''), ''), lambda c: unicode(c)::INT) AS ids FROM mcq_results WHERE coalesce(id, '') <> ''), "
+        f"b AS (SELECT *, ((row_number() OVER (ORDER BY result_id) - 1) // 16)::BIGINT AS batch FROM t), w AS (SELECT *, {width} AS w FROM b) "
+        "SELECT batch, result_id, list_concat(ids, list_transform(range(w - len(ids)), lambda x: 0::INT)) AS ids, list_concat(ids, list_transform(range(w - len(ids)), lambda x: (-100)::INT)) AS labels FROM w"
+    )
+
+
+def _collated(s: SparkSession, d: str, multiple: int) -> DataFrame:
+    rows = table(s, d, "mcq_results").where("coalesce(id, '') <> ''").select("result_id", tokens.token_ids(tokens.character_tokens(F.col("id"))).alias("ids"))
+    return pack.collate(rows.withColumn("labels", F.col("ids")), "result_id", {"ids": 0, "labels": -100}, 16, multiple)
+
+
+@query(_collate_sql(8))
+def collate_multiple8(s: SparkSession, d: str) -> DataFrame:
+    return _collated(s, d, 8)
+
+
+@query(_collate_sql(1))
+def collate_plain(s: SparkSession, d: str) -> DataFrame:
+    return _collated(s, d, 1)
+
+
+# --- measures -----------------------------------------------------------------------------------------------------
+
+_COUNTS = "u AS (SELECT c AS token, count(*) AS n FROM (SELECT unnest(string_split(correct_sentence, '')) AS c FROM typo_pairs) WHERE c <> '' GROUP BY 1), tot AS (SELECT sum(n) AS total, count(*) AS kinds FROM u)"
+
+
+def _score_sql(col: str, name: str) -> str:
+    return (
+        f"{name}c AS (SELECT rn, unnest(string_split({col}, '')) AS token FROM d), "
+        f"{name} AS (SELECT rn, count(*) AS n, sum(ln((coalesce(u.n, 0) + 1) / (total + kinds + 1))) AS s FROM {name}c LEFT JOIN u USING (token), tot WHERE token <> '' GROUP BY rn HAVING count(*) >= 2)"
+    )
+
+
+_SCORED = f"d AS (SELECT *, row_number() OVER (ORDER BY id, error_sentence, correct_sentence, dataset, error_type) AS rn FROM typo_pairs WHERE coalesce(error_sentence, '') <> '' AND coalesce(correct_sentence, '') <> ''), {_COUNTS}, {_score_sql('error_sentence', 'se')}, {_score_sql('correct_sentence', 'sc')}"
+
+
+def scored_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Typo pairs with the unigram scores of both sentences; repeated rows stay rows of their own."""
+    pairs = table(s, d, "typo_pairs")
+    usable = pairs.where("coalesce(error_sentence, '') <> '' AND coalesce(correct_sentence, '') <> ''")
+    counts = scoring.unigram_counts(pairs, "correct_sentence")
+    texts = usable.select("error_sentence").union(usable.select("correct_sentence")).toDF("t").distinct()
+    score = scoring.unigram_scores(texts, "t", "t", counts).select("t", "avg_logprob", "n_tokens", "sum_logprob")
+    a = score.toDF("error_sentence", "error_logprob", "error_tokens", "error_sum")
+    b = score.toDF("correct_sentence", "correct_logprob", "correct_tokens", "correct_sum")
+    return usable.join(a, "error_sentence").join(b, "correct_sentence")
+
+
+@query(
+    f"WITH {_SCORED}, r AS (SELECT dataset, error_type, round(sc.s / sc.n, 9) AS lc, round(se.s / se.n, 9) AS le, lc - le AS delta, exp(-le) AS pe, exp(-lc) AS pc FROM d JOIN se USING (rn) JOIN sc USING (rn)) "
+    "SELECT (grouping(dataset) * 2 + grouping(error_type))::BIGINT AS grain, dataset, error_type, count(*) AS n, round(avg((delta > 0)::INT), 6) AS preference_accuracy, round(avg(delta), 6) AS mean_delta, "
+    "round(avg(pe), 4) AS mean_ppl_error, round(avg(pc), 4) AS mean_ppl_correct FROM r GROUP BY GROUPING SETS ((), (dataset), (error_type))"
+)
+def pair_preference_grouping_sets(s: SparkSession, d: str) -> DataFrame:
+    rows = scored_pairs(s, d).where("error_tokens >= 2 AND correct_tokens >= 2")
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("error_logprob", "correct_logprob")})  # sums in any order
+    out = metrics.pair_preference(rows, "error_logprob", "correct_logprob", "dataset", "error_type")
+    return out.select("grain", "dataset", "error_type", "n", *[F.round(c, r).alias(c) for c, r in (("preference_accuracy", 6), ("mean_delta", 6), ("mean_ppl_error", 4), ("mean_ppl_correct", 4))])
+
+
+@query(f"WITH {_SCORED} SELECT dataset, sum(sc.n)::BIGINT AS n_tokens, round(-sum(sc.s) / sum(sc.n), 6) AS loss, round(exp(-sum(sc.s) / sum(sc.n)), 4) AS ppl FROM d JOIN sc USING (rn) GROUP BY 1")
+def ppl(s: SparkSession, d: str) -> DataFrame:
+    rows = scored_pairs(s, d).where("correct_tokens >= 2").withColumn("loss", -F.col("correct_sum"))
+    out = metrics.perplexity(rows, "loss", "correct_tokens", "dataset")
+    return out.select("dataset", "n_tokens", F.round("loss", 6).alias("loss"), F.round("ppl", 4).alias("ppl"))
+
+
+_PAIRED = (
+    "r AS (SELECT id, subset, coalesce(noise_type, 'clean') AS noise, max(coalesce(gold = pred, false)::INT) AS ok FROM mcq_results GROUP BY ALL), "
+    "j AS (SELECT n.subset, n.noise, c.ok AS base, n.ok AS other FROM r n JOIN r c ON c.id = n.id AND c.subset = n.subset AND c.noise = 'clean' WHERE n.noise <> 'clean'), "
+    "g AS (SELECT subset, noise, count(*) AS n, count(*) FILTER (WHERE other = 1 AND base = 0) AS other_only, count(*) FILTER (WHERE base = 1 AND other = 0) AS base_only, avg(base) AS base_acc, avg(other) AS other_acc FROM j GROUP BY ALL)"
+)
+_TERMS = (
+    "t AS (SELECT subset, noise, other_only + base_only AS m, least(other_only, base_only) AS k, unnest(range(0, least(other_only, base_only) + 1)) AS i FROM g), "
+    "l AS (SELECT subset, noise, sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) AS s FROM t GROUP BY ALL), "
+    "p AS (SELECT g.*, CASE WHEN other_only = base_only THEN 1.0 ELSE least(1.0, 2 * s) END AS p FROM g JOIN l USING (subset, noise))"
+)
+
+
+def paired_results(s: SparkSession, d: str) -> DataFrame:
+    """Per item and noise: whether it is solved clean and with noise (best of repeated deliveries)."""
+    right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).cast("int")
+    r = table(s, d, "mcq_results").groupBy("id", "subset", F.coalesce("noise_type", F.lit("clean")).alias("noise")).agg(F.max(right).alias("ok"))
+    clean = r.where("noise = 'clean'").select("id", "subset", (F.col("ok") == 1).alias("base"))
+    return r.where("noise <> 'clean'").select("id", "subset", "noise", (F.col("ok") == 1).alias("other")).join(clean, ["id", "subset"])
+
+
+@query(f"WITH {_PAIRED}, {_TERMS} SELECT subset, noise, n, other_only, base_only, round(other_acc - base_acc, 9) AS delta, round(p, 8) AS p FROM p")
+def mcnemar(s: SparkSession, d: str) -> DataFrame:
+    out = metrics.paired_comparison(paired_results(s, d), "base", "other", "subset", "noise")
+    return out.select("subset", "noise", "n", "other_only", "base_only", F.round("delta", 9).alias("delta"), F.round("p", 8).alias("p"))
+
+
+@query(
+    f"WITH {_PAIRED}, {_TERMS}, k AS (SELECT *, count(*) OVER () AS mm, row_number() OVER (ORDER BY p) AS rk FROM p), v AS (SELECT *, p * mm / rk AS v FROM k) "
+    "SELECT subset, noise, round(least(1.0, min(v) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 7) AS q FROM v"
+)
+def bh_fdr(s: SparkSession, d: str) -> DataFrame:
+    out = metrics.false_discovery(metrics.paired_comparison(paired_results(s, d), "base", "other", "subset", "noise"))
+    return out.select("subset", "noise", F.round("q", 7).alias("q"))
+
+
+@query(
+    f"WITH {_PAIRED} SELECT subset, " + ", ".join(f"max(base_acc) FILTER (WHERE noise = '{n}') AS {n}, max(other_acc) FILTER (WHERE noise = '{n}') AS {n}_norm, max(other_acc - base_acc) FILTER (WHERE noise = '{n}') AS {n}_norm_delta" for n in ("jamo", "mixed", "spacing")) + " FROM g GROUP BY subset"
+)
+def norm_summary_pivot(s: SparkSession, d: str) -> DataFrame:
+    rows = metrics.paired_comparison(paired_results(s, d), "base", "other", "subset", "noise")
+    return metrics.summary_table(rows, ["subset"], "noise", ["jamo", "mixed", "spacing"], "base_acc", "other_acc")
+
+
+@query(
+    "WITH e AS (SELECT CASE WHEN noise_type IS NULL OR noise_type = 'clean' THEN 'clean' ELSE 'noisy_' || noise_type END AS name, avg(1 - coalesce(gold = pred, false)::INT) AS value FROM mcq_results GROUP BY 1) "
+    "SELECT name, round(value, 9) AS value, round(CASE WHEN name LIKE 'noisy%' AND (SELECT value FROM e WHERE name = 'clean') <> 0 THEN (value / (SELECT value FROM e WHERE name = 'clean') - 1) * 100 END, 6) AS degradation_pct FROM e"
+)
+def degradation(s: SparkSession, d: str) -> DataFrame:
+    kind = F.col("noise_type")
+    name = F.when(kind.isNull() | (kind == "clean"), "clean").otherwise(F.concat(F.lit("noisy_"), kind))
+    wrong = 1 - F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).cast("int")
+    rows = table(s, d, "mcq_results").groupBy(name.alias("name")).agg(F.avg(wrong).alias("value"))
+    return metrics.degradation(rows, "name", "value").select("name", F.round("value", 9).alias("value"), F.round("degradation_pct", 6).alias("degradation_pct"))
+
+
+@query(
+    "WITH x AS (SELECT DISTINCT i.id, n.noise_type FROM mcq_items i, (SELECT DISTINCT noise_type FROM mcq_items WHERE noise_type IS NOT NULL) n) "
+    "SELECT x.id, x.noise_type FROM x ANTI JOIN (SELECT DISTINCT id, noise_type FROM mcq_results) r ON r.id = x.id AND r.noise_type = x.noise_type"
+)
+def missing_results_anti(s: SparkSession, d: str) -> DataFrame:
+    """Items and noise types that no run has scored. The grid is the items times the few noise types."""
+    items = table(s, d, "mcq_items")
+    kinds = items.where("noise_type IS NOT NULL").select("noise_type").distinct()
+    grid = items.select("id").distinct().crossJoin(kinds)
+    return metrics.missing_results(grid, table(s, d, "mcq_results").select("id", "noise_type").distinct(), "id", "noise_type")
+
+
+@query(
+    "SELECT source, count(*) AS n, count(*) FILTER (WHERE coalesce(output, '') = '') AS n_empty, sum(length(coalesce(instruction, '')) + length(coalesce(input, '')))::BIGINT AS prompt_chars, "
+    "count(*) FILTER (WHERE length(coalesce(instruction, '')) + length(coalesce(input, '')) BETWEEN 4 AND 4096) AS n_in_range FROM instructions GROUP BY source"
+)
+def source_counts(s: SparkSession, d: str) -> DataFrame:
+    chars = F.length(text.as_text(F.col("instruction"))) + F.length(text.as_text(F.col("input")))
+    return records(s, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(text.as_text(F.col("output")) == "").alias("n_empty"), F.sum(chars).cast("bigint").alias("prompt_chars"), F.count_if(chars.between(4, 4096)).alias("n_in_range")
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return noisy_pairs(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["Column", "flagship", "oracle_sql", "queries"]
