@@ -44,7 +44,7 @@ _CLASSES = "ㄱㄱㄴㄷㄷㄴㅁㅂㅂㅅㅅㅇㅈㅈㅈㄱㄷㅂㅎ"
 _CLASS_OF = np.array([ord(c) for c in _CLASSES], np.uint64)
 _EASY = re.compile(r"[\t\n\r -~가-힣ぁ-ヿ一-鿿、。ä-ÿÄÖÜßéèñç]*")
 _REST = re.compile(r"[\W_]+")
-_VOWELS = "ᅡ-ᅵ"
+_VOWELS = "\u1161-\u1175"
 #: A separate final consonant after a vowel, unless a vowel claims it, belongs to the syllable.
 _FINAL_OF = {chr(0x1100 + j): chr(0x11A8 + i) for i, j in zip((0, 1, 3, 6, 7, 15, 16, 18, 19, 20, 21, 22, 23, 24, 25, 26), (0, 1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 14, 15, 16, 17, 18), strict=True)}
 _LOOSE_FINAL = re.compile(f"(?<=[{_VOWELS}])([{''.join(_FINAL_OF)}])(?![{_VOWELS}])")
