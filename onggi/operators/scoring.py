@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from onggi.operators.tokens import Tokenizer, character_tokens
 
@@ -16,7 +17,7 @@ UNSCORABLE = -1e9
 
 def with_scores(df: DataFrame, prefix: str, text: str, out: str, scorer: Callable[[Sequence[str], Sequence[str]], Sequence[float]]) -> DataFrame:
     """Adds scorer(prefixes, texts), called per Arrow batch; the only place where a model is called."""
-    schema = df.schema.add(out, "double")
+    schema = StructType([*df.schema, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -72,11 +72,31 @@ def sniffed_csv(spark: SparkSession, path: str, sample_chars: int = 4096) -> Dat
         separator = csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
     except csv.Error:
         separator = ","
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", "MS949" if encoding == "cp949" else "UTF-8").option("multiLine", True).option("escape", '"')
-    df = reader.csv(path)
+    if encoding == "cp949":
+        return _decoded_csv(spark, path, separator, encoding)
+    df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("escape", '"').csv(path)
     return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
 
 
+def _decoded_csv(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
+    """A CSV file in an encoding that the built-in reader does not take; a file is one task, as with multi-line CSV."""
+    with open(path.removeprefix("file://"), encoding=encoding, newline="") as f:
+        names = next(csv.reader(f, delimiter=separator), [])
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = list(csv.DictReader(io.StringIO(content.decode(encoding), newline=""), delimiter=separator))
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], pa.string()) for n in names], names=names)
+
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 def first_split(spark: SparkSession, folder: str, split: str = "test", exists: Callable[[str], bool] | None = None) -> DataFrame | None:
     """The first split of an ordered list that a folder has, each as <folder>/<split>."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs  # type: ignore[union-attr]
