@@ -7,8 +7,8 @@
 3. Chunk digests are joined across splits. A chunk weighs its length times a power of its rarity, and a pair must share
    `threshold` of the weight of the evaluation record. By the prefix rule it is enough to join the rarest chunks of each
    evaluation class up to `prefix` of its weight: a pair that shares less than threshold - (1 - prefix) there cannot
-   reach the threshold. Nothing is capped, and chunks that a third of all records hold are never joined unless a record
-   consists of nothing else.
+   reach the threshold. Pairs that share `whole` of the characters are kept whatever their rarity, by the same rule over
+   lengths, so near copies that hold a third of all records are found. Nothing is capped.
 4. Candidates are checked on their texts: numbers agree, what differs is a misspelling, a short insertion, a moved
    sentence or a usual word for another one; never a name for another name, the task or the answer. The shared chunk
    lengths give the overlap fractions.
@@ -36,7 +36,7 @@ from onggi.llm.lookalikes import skeleton
 from onggi.session import materialize
 
 WINDOW, DIVISOR = 4, 8
-THRESHOLD, PREFIX, RARITY_POWER = 0.4, 0.8, 3.0
+THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.8, 3.0
 
 # Classes of initial consonants (plain, aspirated and tense together; the two liquids together).
 _INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -138,7 +138,7 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
     return part.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>")
 
 
-def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX) -> DataFrame:
+def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX, whole: float = WHOLE) -> DataFrame:
     """(e_id, r_id): pairs of different classes, an evaluation one and a training one, that may be near copies."""
     per_class = rows.groupBy("cls").agg(
         F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.first("digests").alias("digests"), F.first("lens").alias("lens")
@@ -150,23 +150,30 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     df = df.where("in_e").drop("in_e")
     total = rows.agg(F.approx_count_distinct("cls", 0.01).alias("m"))
     rarity = F.pow(F.greatest(F.lit(0.0), F.log(F.greatest(F.col("m"), F.lit(2)) / F.col("df")) / F.log(F.greatest(F.col("m"), F.lit(2)))), F.lit(RARITY_POWER))
-    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total)).withColumn("w", F.col("n") * rarity)
-    #: The rarest chunks first, up to the prefix of the weight. Chunks on one side only weigh but need no join.
+    #: A chunk that train lacks tells little: it weighs half.
+    weight = F.col("n") * rarity * F.when(F.col("in_r"), 1.0).otherwise(0.5)
+    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total)).withColumn("w", weight)
+    #: The rarest chunks first, up to the prefix of the weight, and at least so many that a pair which shares `whole` of
+    #: the characters shares one of them (near copies of which there are very many have only common chunks).
     order = Window.partitionBy("e_id").orderBy("df", "d")
-    whole = Window.partitionBy("e_id")
-    e_prefix = (
-        e_chunks.withColumn("before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("all_w", F.sum("w").over(whole))
-        .where((F.col("before") <= prefix * F.col("all_w")) & F.col("in_r"))
-        .select("d", "e_id", "w", "all_w")
-    )
-    e_prefix = materialize(e_prefix, "split-prefix")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = Window.partitionBy("e_id")
+    sums = e_chunks.select(
+        "e_id", "d", "n", "w", "in_r", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"),
+        F.sum("w").over(all_rows).alias("all_w"), F.sum("n").over(all_rows).alias("all_n"),
+    )
+    taken = sums.where((F.col("before_w") <= prefix * F.col("all_w")) | (F.col("before_n") <= (1 - whole) * F.col("all_n")))
+    taken = taken.withColumn("beyond_n", F.col("all_n") - F.sum("n").over(all_rows))
+    e_prefix = materialize(taken.where("in_r").select("d", "e_id", "n", "w", "all_w", "all_n", "beyond_n"), "split-prefix")
     #: Postings without a partner leave before the shuffle where the digests sought fit a filter.
     sought = e_prefix.select("d").distinct()
     postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", F.col("e_id").alias("own")).join(sought, "d", "left_semi")
-    shared = e_prefix.join(postings, "d").where(~F.col("e_id").eqNullSafe(F.col("own"))).groupBy("e_id", "r_id").agg(F.sum("w").alias("shared"), F.max("all_w").alias("all_w"))
-    #: What lies beyond the prefix can add at most its own weight.
-    return shared.where(F.col("shared") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9).select("e_id", "r_id")
+    joined = e_prefix.join(postings, "d").where(~F.col("e_id").eqNullSafe(F.col("own")))
+    shared = joined.groupBy("e_id", "r_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("all_w", "all_n", "beyond_n")])
+    #: What lies beyond the prefix can add at most its own weight, or its own characters.
+    by_weight = F.col("w") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9
+    by_length = F.col("n") + F.col("beyond_n") >= whole * F.col("all_n")
+    return shared.where(by_weight | by_length).select("e_id", "r_id")
 
 
 def _jamo(text: str) -> str:
