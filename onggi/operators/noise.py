@@ -173,6 +173,11 @@ def corrupt_bench_text(text: Column, noise: str, base: Callable[[str], Column],
     raise ValueError(f"unknown noise type: {noise}")
 
 
+def once(**columns: Column) -> Column:
+    """Columns computed once: as a generator's output they are neither copied into later expressions nor into filters."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def noisy_pairs(
     df: DataFrame, key: str = "rec_id", noise_types: Sequence[str] = PAIR_NOISES, all_types: bool = False, noise_fields: Sequence[str] = ("instruction", "input"),
     p: float = 0.12, drop: float = 0.18, insert: float = 0.015, min_chars: int = 4, max_chars: int = 4096, keep_unchanged: bool = False, noisy_as_main: bool = False, seed: int = 42,
@@ -204,7 +209,7 @@ def noisy_pairs(
             out = out.when(F.col("noise_type") == t, corrupt_pair_text(text, t, lambda stage: draws.base(seed, F.col(key), field, stage), p, drop, insert))
         return out.otherwise(text)
 
-    rows = rows.withColumns({"noisy_instruction": noisy("instruction"), "noisy_input": noisy("input")})
+    rows = rows.select("*", once(noisy_instruction=noisy("instruction"), noisy_input=noisy("input")))
     rows = rows.withColumn("text_changed", (F.col("clean_instruction") != F.col("noisy_instruction")) | (F.col("clean_input") != F.col("noisy_input")))
     rows = rows.withColumn("pair_id", F.concat_ws(":", F.col(key).cast("string"), F.col("noise_type")))
     side = "noisy" if noisy_as_main else "clean"
@@ -243,25 +248,27 @@ def substitute_jamo(
     out = df
     if clean_fields:
         out = out.withColumns({f"clean_{f}": as_text(F.col(f)) for f in ("instruction", "input", "output") if f in df.columns})
-    new: dict[str, Column] = {}
+    made: dict[str, Column] = {}
     changed = F.lit(False)
     for f, ratio in work:
         old = as_text(F.col(f))
         b = draws.base(seed, F.col(key), f, "jamo")
-        text = jamo(old, b, ratio) if ratio > 0 else old
-
-        new[f] = text
-        new[f"{f}_hangul"] = F.size(F.filter(characters(old), is_syllable)).cast("bigint")
-        new[f"{f}_changed"] = let(F.struct(characters(old).alias("a"), b.alias("b")), _count_hits(ratio)) if ratio > 0 else F.lit(0).cast("bigint")
-        changed = changed | (text != old)
+        made[f"__{f}"] = jamo(old, b, ratio) if ratio > 0 else old
+        made[f"{f}_hangul"] = F.size(F.filter(characters(old), is_syllable)).cast("bigint")
+        made[f"{f}_changed"] = let(F.struct(characters(old).alias("a"), b.alias("b")), _count_hits(ratio)) if ratio > 0 else F.lit(0).cast("bigint")
+        changed = changed | (F.col(f"__{f}") != old)
+    names = [*out.columns, *[n for n in made if not n.startswith("__")]]
+    done = out.select("*", once(**made)).withColumn("__any", changed)
+    new: dict[str, Column] = {f: F.col(f"__{f}") for f, _ in work}
     if mark:
         new |= {
             "jamo_substitution": F.lit(True), "jamo_input_ratio": F.lit(float(input_ratio)), "jamo_output_ratio": F.lit(float(output_ratio if include_output else 0.0)),
-            "jamo_include_output": F.lit(include_output), "jamo_changed": changed,
+            "jamo_include_output": F.lit(include_output), "jamo_changed": F.col("__any"),
         }
-    done = out.withColumns(new)
+    done = done.withColumns(new)
     if skip_unchanged:
-        done = done.where(changed)
+        done = done.where("__any")
+    done = done.select(*names, *[n for n in new if n not in names])
     if not clean_copies:
         return done
     zero = {f"{f}_{k}": F.lit(0).cast("bigint") for f, _ in work for k in ("hangul", "changed")}
