@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onggi.functions.hangul import let
 from onggi.functions.text import strip
+from onggi.operators.noise import once
 
 # The keys under which records hold a question, choices and an answer, in the order in which they count.
 QUESTION_KEYS = ("question", "query", "input", "premise", "sentence", "context", "paragraph", "passage")
@@ -29,15 +31,17 @@ def resolve_answer(answer: Column, choices: Column, base: str = "reference") ->
     """The 0-based index that an answer names: a number, a letter A to E, or the text of a choice; null if none does.
 
     base: `reference` reads a number as 0-based where that is in range, else as 1-based; `0` and `1` fix it."""
-    s, n = strip(answer), F.size(choices)
-    number = F.when(s.rlike("^[0-9]{1,9}$"), s.cast("int"))
-    zero, one = F.when((number >= 0) & (number < n), number), F.when((number >= 1) & (number <= n), number - 1)
-    by_number = {"reference": F.coalesce(zero, one), "0": zero, "1": one}[base]
-    letter = F.when((F.length(s) == 1) & (F.instr(F.lit("ABCDEabcde"), s) > 0), (F.instr(F.lit("ABCDEabcde"), s) - 1) % 5)
-    by_letter = F.when(letter < n, letter)
-    position = F.array_position(F.transform(choices, strip), s)
-    by_text = F.when(position > 0, position - 1)
-    return F.coalesce(by_number, by_letter, by_text).cast("int")
+
+    def resolve(x: Column) -> Column:
+        s, n = x["s"], F.size(x["c"])
+        number = F.when(s.rlike("^[0-9]{1,9}$"), s.cast("int"))
+        zero, one = F.when((number >= 0) & (number < n), number), F.when((number >= 1) & (number <= n), number - 1)
+        by_number = {"reference": F.coalesce(zero, one), "0": zero, "1": one}[base]
+        letter = F.when((F.length(s) == 1) & (F.instr(F.lit("ABCDEabcde"), s) > 0), (F.instr(F.lit("ABCDEabcde"), s) - 1) % 5)
+        by_text = F.nullif(F.array_position(x["t"], s), F.lit(0)) - 1
+        return F.coalesce(by_number, F.when(letter < n, letter), by_text).cast("int")
+
+    return let(F.struct(strip(answer).alias("s"), choices.alias("c"), F.transform(choices, strip).alias("t")), resolve)
 
 
 def _get(v: Column, key: str) -> Column:
@@ -56,27 +60,27 @@ def extract_items(raw: DataFrame, record: str = "record", task: str = "task", su
     rows = raw.select(F.col(task).alias("task"), F.col(subset).alias("subset"), F.col(index).alias("idx"), F.col(source).alias("source"), v.alias("v"))
     v = F.col("v")
     sub = F.lower("subset")
-    question = F.coalesce(*[F.when(strip(_get(v, k)) != "", _get(v, k)) for k in QUESTION_KEYS])
-    as_list = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.from_json(F.try_variant_get(v, f"$.{k}", "string"), "array<string>"))
-    letters = F.filter(F.array(*[F.when(strip(_get(v, k)) != "", _get(v, k)) for k in LETTER_KEYS]), lambda x: x.isNotNull())
-    #: Of several keys with choices the last one counts.
-    choices = F.coalesce(*[as_list(k) for k in reversed(CHOICE_KEYS)], F.when(F.size(letters) >= 2, letters))
-    choices = F.when(F.size(choices) >= 2, choices)
-    rows = rows.withColumns({"q": question, "c": choices})
-    answer = F.coalesce(*[resolve_answer(_get(v, k), F.col("c")) for k in ANSWER_KEYS])
+    known = dict.fromkeys((*QUESTION_KEYS, *LETTER_KEYS, *ANSWER_KEYS, "id", *[k for parts, _, options, own in NAMED_SUBSETS.values() for k in (*[k for _, k in parts], *(options if own else ()))]))
+    #: Each field is read once; later expressions name its column. Field names differ by more than their case, so they are numbered.
+    at = {k: f"__{i}" for i, k in enumerate(known)}
+    rows = rows.select("*", once(**{at[k]: _get(v, k) for k in known}, **{f"__c{i}": F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.from_json(F.try_variant_get(v, f"$.{k}", "string"), "array<string>")) for i, k in enumerate(CHOICE_KEYS)}))
+    get = lambda k: F.col(at[k])
+    filled = lambda k: F.when(strip(get(k)) != "", get(k))
+    is_named = (F.col("task") == "kobest") & sub.isin(*NAMED_SUBSETS)
     named_q, named_c = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.array(F.lit("")))
     for name, (parts, closing, options, from_record) in NAMED_SUBSETS.items():
-        here = (F.col("task") == "kobest") & (sub == name)
-        named_q = named_q.when(here, F.concat(*[x for label, k in parts for x in (F.lit(label), _python_text(_get(v, k)))], F.lit(closing)))
-        named_c = named_c.when(here, F.array(*[_python_text(_get(v, k)) if from_record else F.lit(k) for k in options]))
-    is_named = (F.col("task") == "kobest") & sub.isin(*NAMED_SUBSETS)
-    rows = rows.withColumn("nc", named_c).withColumns(
-        {
-            "question": strip(F.when(is_named, named_q).otherwise(F.col("q"))),
-            "answer": F.when(is_named, resolve_answer(_get(v, "label"), F.col("nc"))).otherwise(answer),
-            "choices": F.when(is_named, F.col("nc")).otherwise(F.transform("c", strip)),
-            "id": F.coalesce(_get(v, "id"), F.concat_ws("-", F.col("subset"), F.col("idx").cast("string"))),
-        }
+        here = is_named & (sub == name)
+        named_q = named_q.when(here, F.concat(*[x for label, k in parts for x in (F.lit(label), _python_text(get(k)))], F.lit(closing)))
+        named_c = named_c.when(here, F.array(*[_python_text(get(k)) if from_record else F.lit(k) for k in options]))
+    #: Of several keys with choices the last one counts.
+    letters = F.filter(F.array(*[filled(k) for k in LETTER_KEYS]), lambda x: x.isNotNull())
+    listed = F.coalesce(*[F.col(f"__c{i}") for i in reversed(range(len(CHOICE_KEYS)))], letters)
+    rows = rows.select("*", once(question=strip(F.when(is_named, named_q).otherwise(F.coalesce(*[filled(k) for k in QUESTION_KEYS]))), __all=F.when(is_named, named_c).otherwise(listed)))
+    rows = rows.withColumn("__all", F.when(F.size("__all") >= 2, F.col("__all")))
+    given = [F.when(is_named, get("label")).otherwise(get(k)) for k in ANSWER_KEYS]
+    rows = rows.select("*", once(answer=F.coalesce(*[resolve_answer(g, F.col("__all")) for g in given])))
+    rows = rows.withColumns(
+        {"choices": F.when(is_named, F.col("__all")).otherwise(F.transform("__all", strip)), "id": F.coalesce(get("id"), F.concat_ws("-", F.col("subset"), F.col("idx").cast("string")))}
     )
     usable = F.col("answer").isNotNull() & (is_named | (F.col("question") != "")) & F.col("choices").isNotNull()
     return rows.where(usable).select(*ID_FIELDS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from onggi.functions import draws, hangul, text
 from onggi.operators import mcq, metrics, noise, normalize, pack, scoring, tokens
 from onggi.plans import oracle as o
-from onggi.session import table
+from onggi.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def records(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "instructions")
+    return spread(table(s, d, "instructions"))
 
 
 def clean_items(s: SparkSession, d: str) -> DataFrame:
@@ -40,12 +40,12 @@ def clean_items(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {o.lines_sql('text')} AS t FROM documents")
 def normalize_keep_newlines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.normalize_lines(F.col("text")).alias("t"))
+    return spread(table(s, d, "documents")).select("doc_id", text.normalize_lines(F.col("text")).alias("t"))
 
 
 @query(f"SELECT doc_id, {o.flat_sql('text')} AS t FROM documents")
 def normalize_flatten(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.normalize_flat(F.col("text")).alias("t"))
+    return spread(table(s, d, "documents")).select("doc_id", text.normalize_flat(F.col("text")).alias("t"))
 
 
 _OUT = "src AS (SELECT rec_id AS k, coalesce(output, '') AS t FROM instructions)"
@@ -520,7 +520,7 @@ def sft_skip_reasons(s: SparkSession, d: str) -> DataFrame:
     )
 )
 def paired_sft(s: SparkSession, d: str) -> DataFrame:
-    rows = pack.paired_examples(table(s, d, "noisy_pairs"), eos="</s>", max_length=256)
+    rows = pack.paired_examples(spread(table(s, d, "noisy_pairs")), eos="</s>", max_length=256)
     return rows.select("pair_id", "noise_type", "skip_reason", F.when(F.col("clean_input_ids").isNotNull(), F.size("clean_input_ids").cast("bigint")).alias("clean_n"), F.when(F.col("noisy_input_ids").isNotNull(), F.size("noisy_input_ids").cast("bigint")).alias("noisy_n"))
 
 

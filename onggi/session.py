@@ -34,6 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer parts than there are cores a part per core, ahead of costly work on each row.
+
+    A file with few row groups is one task however large the cluster is; tables of many parts stay as they are, so this
+    never shuffles a large table. Filters and column pruning still reach the scan below."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores or parts == 0 else df.repartition(cores)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
