@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onggi.llm import budget, crosssplit, leakage, lookalikes, mixing, packing, pairs, prose, tokenization
-from onggi.session import materialize, table
+from onggi.session import materialize, spread, table
 
 
 def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = table(spark, sf_dir, "source_info")
-    records, docs = table(spark, sf_dir, "instructions"), table(spark, sf_dir, "documents")
+    records, docs = spread(table(spark, sf_dir, "instructions")), spread(table(spark, sf_dir, "documents"))
     text = F.concat_ws("\n", "instruction", "input", "output")
     a = budget.sliced(records, F.concat(F.lit("r"), F.col("rec_id").cast("string")), text, F.col("source"), F.col("lang"), info)
     b = budget.sliced(docs, F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("text"), F.col("source"), F.col("lang"), info)
@@ -50,7 +50,7 @@ def p6_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialize(tokenization.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")), "pack-sizes")
+    sizes = materialize(tokenization.token_counts(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")), "pack-sizes")
     return packing.pack(sizes, table(spark, sf_dir, "pack_sizes"))
 
 
@@ -64,18 +64,18 @@ def p8_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenization.encode_documents(table(spark, sf_dir, "documents"))
+    return tokenization.encode_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: documents, and those that encoding and decoding give back unchanged."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text")
     back = tokenization.roundtrip(docs)
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("same").cast("long")).alias("n_same"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = crosssplit.same_exchanges(table(spark, sf_dir, "instructions"))
+    pairs = crosssplit.same_exchanges(spread(table(spark, sf_dir, "instructions")))
     return pairs.select(F.least("e_id", "r_id").alias("rec_id_a"), F.greatest("e_id", "r_id").alias("rec_id_b"))
 
 
@@ -90,8 +90,8 @@ def p1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookalike_parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str], str]]:
     return [
-        (table(spark, sf_dir, "instructions"), "rec_id", ["instruction", "input"], "instructions"),
-        (table(spark, sf_dir, "noisy_pairs"), "pair_id", ["noisy_instruction"], "noisy_pairs"),
+        (spread(table(spark, sf_dir, "instructions")), "rec_id", ["instruction", "input"], "instructions"),
+        (spread(table(spark, sf_dir, "noisy_pairs")), "pair_id", ["noisy_instruction"], "noisy_pairs"),
     ]
 
 
@@ -116,11 +116,11 @@ def _test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), _test_items(spark, sf_dir)).select("doc_id", "item_kind", "item_id")
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents")), _test_items(spark, sf_dir)).select("doc_id", "item_kind", "item_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.broken_pairs(table(spark, sf_dir, "instructions"))
+    return pairs.broken_pairs(spread(table(spark, sf_dir, "instructions")))
 
 
 def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +130,11 @@ def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.structural_kinds(table(spark, sf_dir, "documents")).where("kind <> 'prose'")
+    return prose.structural_kinds(spread(table(spark, sf_dir, "documents"))).where("kind <> 'prose'")
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return prose.text_statistics(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "common_words"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
