@@ -200,16 +200,19 @@ def noisy_pairs(
         index = draws.choice(draws.draw(draws.base(seed, F.col(key), "noise_type"), F.lit(0), 0), len(noise_types))
         rows = rows.withColumn("noise_type", F.element_at(F.array(*map(F.lit, noise_types)), index + 1))
 
-    def noisy(field: str) -> Column:
-        text = F.col(f"clean_{field}")
-        if field not in noise_fields:
-            return text
-        out = F.when(F.lit(False), text)
+    #: The fields of a record go through one expression, as elements of an array.
+    def noisy(x: Column) -> Column:
+        out = F.when(F.lit(False), x["t"])
         for t in noise_types:
-            out = out.when(F.col("noise_type") == t, corrupt_pair_text(text, t, lambda stage: draws.base(seed, F.col(key), field, stage), p, drop, insert))
-        return out.otherwise(text)
-
-    rows = rows.select("*", once(noisy_instruction=noisy("instruction"), noisy_input=noisy("input")))
+            out = out.when(F.col("noise_type") == t, corrupt_pair_text(x["t"], t, lambda stage: draws.base(seed, F.col(key), x["f"], stage), p, drop, insert))
+        return out.otherwise(x["t"])
+
+    chosen = [f for f in ("instruction", "input") if f in noise_fields]
+    if chosen:
+        texts = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"clean_{f}").alias("t")) for f in chosen])
+        rows = rows.select("*", once(__noisy=F.transform(texts, noisy)))
+    new = {f"noisy_{f}": F.element_at("__noisy", chosen.index(f) + 1) if f in chosen else F.col(f"clean_{f}") for f in ("instruction", "input")}
+    rows = rows.withColumns(new).drop("__noisy")
     rows = rows.withColumn("text_changed", (F.col("clean_instruction") != F.col("noisy_instruction")) | (F.col("clean_input") != F.col("noisy_input")))
     rows = rows.withColumn("pair_id", F.concat_ws(":", F.col(key).cast("string"), F.col("noise_type")))
     side = "noisy" if noisy_as_main else "clean"
