@@ -27,16 +27,16 @@ NAMED_SUBSETS: dict[str, tuple[tuple[tuple[str, str], ...], str, tuple[str, ...]
 }
 
 
-def resolve_answer(answer: Column, choices: Column, base: str = "reference") -> Column:
+def resolve_answer(answer: Column, choices: Column, base: str = "either") -> Column:
     """The 0-based index that an answer names: a number, a letter A to E, or the text of a choice; null if none does.
 
-    base: `reference` reads a number as 0-based where that is in range, else as 1-based; `0` and `1` fix it."""
+    base: `either` reads a number as 0-based where that is in range, else as 1-based; `0` and `1` fix it."""
 
     def resolve(x: Column) -> Column:
         s, n = x["s"], F.size(x["c"])
         number = F.when(s.rlike("^[0-9]{1,9}$"), s.cast("int"))
         zero, one = F.when((number >= 0) & (number < n), number), F.when((number >= 1) & (number <= n), number - 1)
-        by_number = {"reference": F.coalesce(zero, one), "0": zero, "1": one}[base]
+        by_number = {"either": F.coalesce(zero, one), "0": zero, "1": one}[base]
         letter = F.when((F.length(s) == 1) & (F.instr(F.lit("ABCDEabcde"), s) > 0), (F.instr(F.lit("ABCDEabcde"), s) - 1) % 5)
         by_text = F.nullif(F.array_position(x["t"], s), F.lit(0)) - 1
         return F.coalesce(by_number, F.when(letter < n, letter), by_text).cast("int")

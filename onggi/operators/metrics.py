@@ -13,6 +13,25 @@ def perplexity(df: DataFrame, loss: str, n_tokens: str, *by: str) -> DataFrame:
     return g.select(*by, "n_tokens", mean.alias("loss"), F.when(mean < 100, F.exp(mean)).otherwise(F.lit(float("inf"))).alias("ppl"))
 
 
+def perplexity_of_loss(loss: Column) -> Column:
+    """exp of a mean loss; infinite where that is not a finite number."""
+    value = F.exp(loss)
+    return F.when(value.isNull() | F.isnan(value), None).otherwise(value)
+
+
+def supervised_tokens(labels: Column, ignored: int = -100) -> Column:
+    """Labels that count towards a loss after the shift by one: all but the first, without ignored ones."""
+    return F.size(F.filter(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != ignored)).cast("bigint")
+
+
+def weighted_loss(main: Column, weights: dict[str, float]) -> Column:
+    """The main loss and weighted auxiliary ones; absent ones count nothing."""
+    out = main
+    for name, w in weights.items():
+        out = out + F.coalesce(F.col(name), F.lit(0.0)) * w
+    return out
+
+
 def accuracy(df: DataFrame, gold: str, pred: str, *by: str) -> DataFrame:
     """(by, n, accuracy) per group and over all (by null), in one pass; rows without a prediction are wrong."""
     right = F.coalesce(F.col(gold) == F.col(pred), F.lit(False)).cast("int")

@@ -524,6 +524,32 @@ def paired_sft(s: SparkSession, d: str) -> DataFrame:
     return rows.select("pair_id", "noise_type", "skip_reason", F.when(F.col("clean_input_ids").isNotNull(), F.size("clean_input_ids").cast("bigint")).alias("clean_n"), F.when(F.col("noisy_input_ids").isNotNull(), F.size("noisy_input_ids").cast("bigint")).alias("noisy_n"))
 
 
+@query(
+    o.with_(
+        _sft_sql("instructions", "rec_id", 256, "instruction", "input"),
+        "SELECT k AS rec_id, CASE WHEN skip_reason IS NULL THEN length(t) - greatest(plen, 1) END AS n_supervised FROM x WHERE skip_reason IS NULL",
+    )
+)
+def supervised_tokens(s: SparkSession, d: str) -> DataFrame:
+    rows = pack.sft_examples(records(s, d), eos="</s>", max_length=256).where("skip_reason IS NULL")
+    return rows.select("rec_id", metrics.supervised_tokens(F.col("labels")).alias("n_supervised"))
+
+
+@query(
+    o.with_(
+        _sft_sql("noisy_pairs", "pair_id", 256, "noisy_instruction", "noisy_input"),
+        "SELECT pair_id, pos, input_id, label FROM (SELECT k AS pair_id, unnest(range(20)) AS pos, t, plen FROM x WHERE skip_reason IS NULL), "
+        "LATERAL (SELECT unicode(substr(t, pos::INT + 1, 1)) AS input_id, CASE WHEN pos < plen THEN -100 ELSE unicode(substr(t, pos::INT + 1, 1)) END AS label) WHERE pos < length(t)",
+    )
+)
+def alignment_rows(s: SparkSession, d: str) -> DataFrame:
+    """The first 20 positions of every noisy example, for inspection."""
+    noisy = spread(table(s, d, "noisy_pairs"))
+    rows = pack.sft_examples(noisy, "pair_id", eos="</s>", max_length=256, fields=("noisy_instruction", "noisy_input", "output")).where("skip_reason IS NULL")
+    out = pack.aligned_tokens(rows, "pair_id", 20, input_id=F.col("input_ids"), label=F.col("labels"))
+    return out.select("pair_id", F.col("pos").cast("bigint").alias("pos"), "input_id", "label")
+
+
 def _collate_sql(multiple: int) -> str:
     width = f"ceil(max(len(ids)) OVER (PARTITION BY batch) / {multiple})::INT * {multiple}"
     return (

@@ -145,3 +145,25 @@ def test_scores(spark):
     got = {r.k: r for r in scoring.unigram_scores(df, "k", "t", scoring.unigram_counts(df, "t")).collect()}
     assert got[1].n_tokens == 2 and got[2].n_tokens == 0 and got[2].avg_logprob == float("-inf")
     assert scoring.with_scores(df, "t", "t", "s", lambda p, t: [float(len(x)) for x in t]).orderBy("k").first().s == 2.0
+
+
+def test_losses(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None, [-100, -100, 5, 6]), (800.0, 0.0, 1.0, [7])], "lm double, cho double, jung double, labels array<int>")
+    got = df.select(metrics.weighted_loss(F.col("lm"), {"cho": 0.5, "jung": 0.1}).alias("w"), metrics.supervised_tokens(F.col("labels")).alias("n"), metrics.perplexity_of_loss(F.col("lm")).alias("p")).collect()
+    assert (got[0].w, got[0].n, got[1].n, got[1].p) == (2.0, 2, 0, float("inf"))
+
+
+def test_pipeline_keeps_its_stages(spark, tmp_path):
+    from onggi.plans import pipeline
+
+    rows = [(i, f"질문 {i} 하나", None, "긴 대답이 여기에 있습니다 " * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "rec_id bigint, instruction string, input string, output string")
+    folder = f"file://{tmp_path}/stages"
+    a = pipeline.run(spark, df, "t", pipeline.PipelineSettings(block_size=32), folder=folder)
+    assert {k: v.count() > 0 for k, v in a.items()} == dict.fromkeys(a, True)
+    assert all(len(r.tokens) == 32 or len(r.tokens) >= 16 for r in a["blocks"].collect())
+    again = pipeline.run(spark, df.limit(0), "t", pipeline.PipelineSettings(block_size=32), folder=folder)
+    assert again["corpus"].count() == 40
+    assert pipeline.run(spark, df.limit(0), "t", pipeline.PipelineSettings(block_size=16), folder=folder)["corpus"].count() == 0
+    with pytest.raises(ValueError):
+        pipeline.run(spark, df.drop("output"), "t")
