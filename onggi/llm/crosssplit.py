@@ -44,6 +44,8 @@ _CLASSES = "ㄱㄱㄴㄷㄷㄴㅁㅂㅂㅅㅅㅇㅈㅈㅈㄱㄷㅂㅎ"
 _CLASS_OF = np.array([ord(c) for c in _CLASSES], np.uint64)
 _EASY = re.compile(r"[\t\n\r -~가-힣ぁ-ヿ一-鿿、。ä-ÿÄÖÜßéèñç]*")
 _REST = re.compile(r"[\W_]+")
+#: Fields and sentences end chunks too, so a sentence that stands elsewhere keeps its chunks.
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+").split
 _VOWELS = "\u1161-\u1175"
 #: A separate final consonant after a vowel, unless a vowel claims it, belongs to the syllable.
 _FINAL_OF = {chr(0x1100 + j): chr(0x11A8 + i) for i, j in zip((0, 1, 3, 6, 7, 15, 16, 18, 19, 20, 21, 22, 23, 24, 25, 26), (0, 1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 14, 15, 16, 17, 18), strict=True)}
@@ -88,8 +90,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests and lengths of the chunks of all texts, and the number of chunks up to the end of each text.
+def chunk(texts: list[str], borders: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests and lengths of the chunks of all texts, and the number of chunks up to the end of each text. `borders`: more
+    positions in the joined texts where a chunk ends.
 
     All texts are cut at once: a position is a border if the hash of the characters around it is a multiple of the
     divisor, so equal passages are cut alike wherever they stand. Digests come from one prefix sum of a polynomial."""
@@ -111,9 +114,11 @@ def chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         is_border[at + WINDOW // 2] = True
     is_border[starts] = True
     is_border[n] = True
-    borders = np.flatnonzero(is_border)
+    if borders:
+        is_border[np.array(borders)] = True
+    cuts = np.flatnonzero(is_border)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n)[:n], dtype=np.uint64)))
-    lo, hi = borders[:-1], borders[1:]
+    lo, hi = cuts[:-1], cuts[1:]
     digests = _mix((prefix[hi] - prefix[lo]) * _powers(_INVERSE, n)[lo] + (hi - lo).astype(np.uint64))
     return digests, hi - lo, np.concatenate((np.zeros(1, np.int64), np.searchsorted(hi, ends, side="right")))
 
@@ -123,10 +128,18 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [letters("".join(map(composed, x))) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            for a in range(0, len(texts), 1000):
-                part = texts[a : a + 1000]
-                digests, lens, ends = chunk(part)
+            raw = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
+            for a in range(0, len(raw), 1000):
+                part: list[str] = []
+                borders: list[int] = []
+                total = 0
+                for x in raw[a : a + 1000]:
+                    pieces = [letters(p) for p in _SENTENCES("\n".join(map(composed, x)))]
+                    for p in pieces:
+                        total += len(p)
+                        borders.append(total)
+                    part.append("".join(pieces))
+                digests, lens, ends = chunk(part, borders)
                 keep = pa.array([bool(t) for t in part], pa.bool_())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t)) for v, t in ((digests.view(np.int64), pa.int64()), (lens, pa.int32()))]
                 cls = pa.array([xxhash.xxh3_128_hexdigest(t) for t in part], pa.string())

@@ -31,7 +31,7 @@ def table(spark, rows):
 
 
 def found(spark, rows):
-    return {(min(r.e_id, r.r_id), max(r.e_id, r.r_id)) for r in cs.same_exchanges(table(spark, rows), least_df=2).collect()}
+    return {(min(r.e_id, r.r_id), max(r.e_id, r.r_id)) for r in cs.same_exchanges(table(spark, rows)).collect()}
 
 
 def noise_rows(n=60):
@@ -43,7 +43,7 @@ def noise_rows(n=60):
 def test_pairs(spark):
     a, b, c = A
     rows = [
-        (1, "test", a, b, c), (2, "train", a, b, c), (3, "train", a, b, c), (4, "train", None, a, c), (5, "train", "Q. " + a, "", c + " 도움이 되었기를 바랍니다."), (6, "train", a, b, c.replace("학생들이", "학쌩들니").replace("하얀", "햐얀").replace("함께", "함꼐")),
+        (1, "test", a, b, c), (2, "train", a, b, c), (3, "train", a, b, c), (4, "train", None, a, c), (5, "train", "Q. " + a, "", c + " 도움이 되었기를 바랍니다."), (6, "train", a, b, c.replace("학생들이", "학쌩들이").replace("하얀", "햐얀").replace("함께", "함꼐")),
         (7, "train", a.replace("가람", "소라"), b, c.replace("가람", "소라")), (8, "train", a, b, c.replace("312", "313")), (9, "train", a, b, "전혀 다른 답을 여기에 길게 적어 두었습니다. 비가 내리고 바람이 붑니다."),
         (10, "train", a, b, c.replace("함께", "더불어")), (11, "validation", a, b, c.split(". ")[1] + " " + c.split(". ")[0] + "."), (12, "other", a, b, c), (13, "test", None, " ", None), (14, "train", None, None, ""),
     ]
