@@ -45,11 +45,18 @@ def test_pairs(spark):
     rows = [
         (1, "test", a, b, c), (2, "train", a, b, c), (3, "train", a, b, c), (4, "train", None, a, c), (5, "train", "Q. " + a, "", c + " 도움이 되었기를 바랍니다."), (6, "train", a, b, c.replace("학생들이", "학쌩들이").replace("하얀", "햐얀").replace("함께", "함꼐")),
         (7, "train", a.replace("가람", "소라"), b, c.replace("가람", "소라")), (8, "train", a, b, c.replace("312", "313")), (9, "train", a, b, "전혀 다른 답을 여기에 길게 적어 두었습니다. 비가 내리고 바람이 붑니다."),
-        (10, "train", a, b, c.replace("함께", "더불어")), (11, "validation", a, b, c.split(". ")[1] + " " + c.split(". ")[0] + "."), (12, "other", a, b, c), (13, "test", None, " ", None), (14, "train", None, None, ""),
+        (10, "train", a, b, c.replace("함께", "더불어")), (12, "other", a, b, c), (13, "test", None, " ", None), (14, "train", None, None, ""),
     ]
     got = found(spark, rows + noise_rows())
     assert {(1, k) for k in (2, 3, 4, 5, 6, 10)} <= got and not {(1, k) for k in (7, 8, 9, 12)} & got and not {p for p in got if 13 in p or 14 in p}
-    assert {(2, 11), (3, 11)} <= got
+
+
+def test_a_sentence_elsewhere(spark):
+    """Records of several sentences keep enough chunks when one moves."""
+    a, _, c = A
+    more = ["하지만 저녁에는 소리마을 사람들이 호수 앞에서 긴 노래를 불렀습니다.", "다만 비 오는 날에는 창문 28개를 모두 닫고 조용히 기다렸습니다.", "특히 느린 편지는 우체국의 낡은 자전거보다 19배나 늦게 도착했습니다."]
+    rows = [(1, "test", a, None, " ".join([c, *more])), (2, "train", a, None, " ".join([*more, c]))]
+    assert (1, 2) in found(spark, rows + noise_rows())
 
 
 def test_empty_table(spark):
