@@ -8,7 +8,8 @@
    `threshold` of the weight of the evaluation record. By the prefix rule it is enough to join the rarest chunks of each
    evaluation class up to `prefix` of its weight: a pair that shares less than threshold - (1 - prefix) there cannot
    reach the threshold. Pairs that share `whole` of the characters are kept whatever their rarity, by the same rule over
-   lengths, so near copies that hold a third of all records are found. Nothing is capped.
+   lengths, so near copies that hold a third of all records are found. An edit breaks one or two chunks, which leaves a
+   short record about half of its characters. Chunks of many training records are spread by record. Nothing is capped.
 4. Candidates are checked on their texts: numbers agree, what differs is a misspelling, a short insertion, a moved
    sentence or a usual word for another one; never a name for another name, the task or the answer. The shared chunk
    lengths give the overlap fractions.
@@ -36,7 +37,9 @@ from onggi.llm.lookalikes import skeleton
 from onggi.session import materialize
 
 WINDOW, DIVISOR = 4, 8
-THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.8, 3.0
+THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.5, 3.0
+#: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
+HOT = 20_000
 
 # Classes of initial consonants (plain, aspirated and tense together; the two liquids together).
 _INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -159,16 +162,19 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy("e_id")
     sums = e_chunks.select(
-        "e_id", "d", "n", "w", "in_r", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"),
+        "e_id", "d", "n", "w", "df", "in_r", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"),
         F.sum("w").over(all_rows).alias("all_w"), F.sum("n").over(all_rows).alias("all_n"),
     )
     taken = sums.where((F.col("before_w") <= prefix * F.col("all_w")) | (F.col("before_n") <= (1 - whole) * F.col("all_n")))
     taken = taken.withColumn("beyond_n", F.col("all_n") - F.sum("n").over(all_rows))
-    e_prefix = materialize(taken.where("in_r").select("d", "e_id", "n", "w", "all_w", "all_n", "beyond_n"), "split-prefix")
+    salts = F.ceil(F.col("df") / HOT).cast("int").alias("salts")
+    e_prefix = materialize(taken.where("in_r").select("d", "e_id", "n", "w", "all_w", "all_n", "beyond_n", salts), "split-prefix")
     #: Postings without a partner leave before the shuffle where the digests sought fit a filter.
-    sought = e_prefix.select("d").distinct()
-    postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", F.col("e_id").alias("own")).join(sought, "d", "left_semi")
-    joined = e_prefix.join(postings, "d").where(~F.col("e_id").eqNullSafe(F.col("own")))
+    sought = e_prefix.select("d", "salts").distinct()
+    postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", F.col("e_id").alias("own")).join(sought, "d")
+    postings = postings.select("d", "r_id", "own", F.pmod(F.xxhash64("r_id"), "salts").cast("int").alias("salt"))
+    salted = e_prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    joined = salted.join(postings, ["d", "salt"]).where(~F.col("e_id").eqNullSafe(F.col("own")))
     shared = joined.groupBy("e_id", "r_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("all_w", "all_n", "beyond_n")])
     #: What lies beyond the prefix can add at most its own weight, or its own characters.
     by_weight = F.col("w") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9

@@ -81,3 +81,16 @@ def test_brute_force_finds_no_more(spark):
 
 def test_query_is_registered():
     assert "p1_found" in q.queries()
+
+
+def test_short_edited_records_of_a_large_group(spark):
+    """Half of the table are near copies of each other, so what they share weighs nothing; an edit beside the only word
+    that differs leaves an evaluation record some common chunks only."""
+    rng = random.Random(8)
+    w = lambda: "".join(chr(rng.randint(0xAC00, 0xD7A3)) for _ in range(3))
+    names = [w() for _ in range(150)]
+    text = lambda name, usual: ["도서관의 하얀 창문을 천천히 소개해 주세요.", "", f"조용한 마을의 {name} {usual} 낡은 자전거를 고쳤습니다. 저녁에는 모두 돌아갔습니다."]
+    rows = [(i, "train", *text(n, "함께")) for i, n in enumerate(names)] + [(1000 + i, "test", *text(n, "더불어")) for i, n in enumerate(names[:40])] + noise_rows(100)
+    mates = {(i, 1000 + i) for i in range(40) if cs.compare(*([cs.composed(t) for t in text(names[i], u)] for u in ("더불어", "함께")))[0]}
+    assert len(mates) == 40
+    assert len(mates & found(spark, rows)) >= 38
