@@ -1,8 +1,9 @@
 """Prompt and response pairs whose response is no usable answer, with the kind of defect.
 
 empty           no content: null, blank or a mere placeholder.
-echo            only repeats the instruction, the input or both. Responses are compressed with their prompt as a zstandard
-                dictionary; one that needs next to nothing is a copy, and is checked against the prompt's parts, form aside.
+echo            only repeats the instruction, the input or both. Responses of any length are compressed with their prompt
+                as a zstandard dictionary; one that needs next to nothing is a candidate, and is checked against the
+                prompt's parts, form and small slips aside.
 refusal         declines to answer, by dictionaries of four languages; a refusal that is only quoted is none.
 wrong_language  mainly in another language than the prompt and than the one that is asked for; code has no language.
 truncated       breaks off inside a sentence, list or code. Whether a text may end where it ends is told by a model of
@@ -16,6 +17,7 @@ exclude `truncated`; `refusal` and `wrong_language` may come together.
 
 from __future__ import annotations
 
+import difflib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -117,11 +119,24 @@ def is_empty(output: str | None) -> bool:
     return not bare and not any(unicodedata.category(c) in ("So", "Sm", "Sk") for c in t if c not in "`^~") or bare in PLACEHOLDERS
 
 
-def dictionary_share(prompt: str, output: str) -> float:
-    """Bytes that the response needs with its prompt as a dictionary, as a share of its own bytes."""
+def dictionary_bytes(prompt: str, output: str) -> int:
+    """Bytes that the response needs with its prompt as a dictionary."""
     raw = output.encode("utf-8")
     comp = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(prompt.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
-    return (len(comp.compress(raw)) - 9) / max(1, len(raw))
+    return len(comp.compress(raw)) - 9
+
+
+def dictionary_share(prompt: str, output: str) -> float:
+    """The same as a share of its own bytes."""
+    return dictionary_bytes(prompt, output) / max(1, len(output.encode("utf-8")))
+
+
+def _slips_only(part: str, output: str) -> bool:
+    """Whether a short response is a part of its prompt but for a letter more, less or another; numbers must agree."""
+    if abs(len(part) - len(output)) > 1 or re.sub(r"\D", "", part) != re.sub(r"\D", "", output):
+        return False
+    a, b = unicodedata.normalize("NFD", part), unicodedata.normalize("NFD", output)
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.88
 
 
 def is_echo(instruction: str, inp: str, output: str) -> bool:
@@ -131,8 +146,9 @@ def is_echo(instruction: str, inp: str, output: str) -> bool:
     shortest = min((len(x) for x in (a, b) if x), default=0)
     if len(o) < 4 or not shortest or len(o) < 0.9 * shortest:
         return False
-    #: A response that needs more than this share of its bytes beside the prompt holds words of its own.
-    if len(o) > 60 and dictionary_share(a + " " + b, o) > 0.25:
+    #: A response that needs more than this share of its bytes beside the prompt, and the few of any frame and of a slip,
+    #: holds words of its own.
+    if dictionary_bytes(a + " " + b, o) > 0.25 * len(o.encode("utf-8")) + 16:
         return False
     rest, parts = o, set()
     while rest:
@@ -143,8 +159,9 @@ def is_echo(instruction: str, inp: str, output: str) -> bool:
         else:
             break
     if rest and not (parts and len(rest) <= 2):
-        near = lambda x: len(x) > 20 and abs(len(x) - len(o)) * 20 <= len(x) and dictionary_share(x, o) <= 0.12
-        parts = {"instruction"} if near(a) else {"input"} if near(b) else {"instruction", "input"} if a and b and near(a + b) else set()
+        near = lambda x: abs(len(x) - len(o)) * 20 <= len(x) and dictionary_share(x, o) <= 0.12 if len(x) > 20 else len(x) >= 4 and _slips_only(x, o)
+        #: A short input with a letter changed may be what was asked for (a correction, another form of a word).
+        parts = {"instruction"} if near(a) else {"input"} if near(b) and (len(b) > 20 or not a) else {"instruction", "input"} if a and b and near(a + b) else set()
     if not parts:
         return False
     return "instruction" in parts or not (COPY_ASKED.search(instruction) or CORRECTION_ASKED.search(instruction) and not _misspelt(inp))

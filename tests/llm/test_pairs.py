@@ -33,3 +33,15 @@ def test_table(spark):
     got = pairs.broken_pairs(df).collect()
     assert sum(r.rec_id == 0 for r in got) == 2 and not [r for r in got if r.rec_id == 99]
     assert pairs.broken_pairs(df.limit(0)).count() == 0
+
+
+def test_every_response_is_compressed_with_its_prompt(monkeypatch):
+    seen = []
+    measure = pairs.dictionary_bytes
+    monkeypatch.setattr(pairs, "dictionary_bytes", lambda prompt, output: seen.append(output) or measure(prompt, output))
+    assert pairs.defects_of("책을 읽으세요.", None, "책을 읽으세요.", CTX) == ["echo"] and seen
+
+
+@pytest.mark.parametrize(("instruction", "output", "expected"), [(Q, "도서관을 소개헤 주세요.", ["echo"]), (Q, "도서관을 소개해 주세오", ["echo"]), ("7번 문제를 푸세요.", "8번 문제를 푸세요.", []), (Q, "도서관을 설명해 주세요.", [])])
+def test_short_near_copies(instruction, output, expected):
+    assert pairs.defects_of(instruction, None, output, CTX) == expected
