@@ -45,6 +45,8 @@ _emoji = re.compile("(?<=[←-⯿〰〽㊗㊙\U0001f000-\U0001faff#*0-9\ufe0f\u2
 _wide = re.compile("[！-～｡-ﾟ￠-￦￨-￮\U0001d400-\U0001d7ffﬀ-ﬆ]")
 _jamo = re.compile("[\u1100-\u115e\u1161-\u11ff\ua960-\ua97c\ud7b0-\ud7fb]")
 _plain = re.compile("[\t\n\r -~¡-¬®-İĲ-ɐɒ-ɠɢ-ʯ、-ヿㄱ-ㅣ㈀-㋾㎀-㏾一-鿿가-힣]*")
+#: Other hyphens within words and numbers; dashes, minus signs and quotation marks stand for themselves.
+_hyphen = re.compile("(?<=[^\\W_])[‐‑](?=[^\\W_])")
 _word = re.compile("[A-Za-zÀ-ɏɐ-ʯ\u0300-\u036fͰ-ϿЀ-ԯ]+")
 
 
@@ -81,6 +83,28 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", t)
 
 
+def differs(text: str) -> bool:
+    """Whether some character of a text is not its own prototype: its skeleton is not its decomposition, or it is itself
+    written with parts (a separate jamo is the prototype of its letter)."""
+    if text.isascii() and not _nothing.search(text) and not _blank.search(text):
+        return False
+    return skeleton(text) != unicodedata.normalize("NFD", text) or unicodedata.normalize("NFC", text) != text or bool(_jamo.search(text))
+
+
+def _beside(text: str, start: int, end: int) -> tuple[str, str]:
+    return text[max(0, start - 1) : start], text[end : end + 1]
+
+
+def _single(letter: str, before: str, after: str) -> bool:
+    """Whether a single look-alike letter takes a Latin one's place beside Hangul, Latin letters or digits. Small Greek
+    letters are symbols there (χ2, κ값), except between digits."""
+    if ord(letter) not in PROTOTYPES:
+        return False
+    if letter.isupper() or _script(letter) == "C":
+        return any("가" <= c <= "힣" or c.isascii() and c.isalnum() for c in (before, after) if c)
+    return before.isdigit() and after.isdigit()
+
+
 def stands_for_another(text: str) -> bool:
     """Whether a text holds a character or sequence that stands for another one, or one that shows nothing or a blank."""
     if _plain.fullmatch(text):
@@ -92,6 +116,8 @@ def stands_for_another(text: str) -> bool:
         return True
     if unicodedata.normalize("NFC", text) != text:
         return True
+    if _hyphen.search(text):
+        return True
     if not _lookalike.search(text):
         return False
     for m in _word.finditer(text):
@@ -100,8 +126,11 @@ def stands_for_another(text: str) -> bool:
         if len(scripts) > 1:
             if _lookalike.search(w):
                 return True
-        elif scripts <= {"G", "C"} and len(w) > 1 and w.isupper() and all(ord(c) in PROTOTYPES for c in w):
-            nearby = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
+        elif scripts <= {"G", "C"} and len(w) == 1:
+            if _single(w, *_beside(text, m.start(), m.end())):
+                return True
+        elif scripts <= {"G", "C"} and w.isupper() and all(ord(c) in PROTOTYPES for c in w):
+            nearby = "".join(_beside(text, m.start(), m.end()))
             if any("가" <= c <= "힣" or c.isascii() and c.isalnum() for c in nearby):
                 return True
     # Latin letters of their own alphabet that take another one's place, such as a dotless i within an English word.
@@ -118,11 +147,11 @@ def _long(df: DataFrame, key: str, fields: list[str], label: str) -> DataFrame:
 def lookalike_values(df: DataFrame, key: str, fields: list[str], label: str) -> DataFrame:
     """(tbl, row_key, field_name) of every value that holds what stands for another character; one narrow pass.
 
-    The skeleton decides first: a text that is its own plain form can hold nothing of the kind."""
+    The skeleton decides first: a text of prototypes only can hold nothing of the kind. The context rejects from the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = pa.array([t is not None and (not t.isascii() or skeleton(t) != t) and stands_for_another(t) for t in b.column(3).to_pylist()], pa.bool_())
+            kept = pa.array([t is not None and differs(t) and stands_for_another(t) for t in b.column(3).to_pylist()], pa.bool_())
             yield b.select([0, 1, 2]).filter(kept)
 
     return _long(df, key, fields, label).mapInArrow(run, "tbl string, row_key string, field_name string")

@@ -29,3 +29,20 @@ def test_tables(spark):
     groups = lk.skeleton_groups(lk.skeletons(df, "rec_id", ["instruction"], "t")).collect()
     assert [(r.n_forms, r.n_values) for r in groups] == [(2, 3)]
     assert lk.lookalike_values(df.limit(0), "rec_id", ["input"], "t").count() == 0
+
+
+@pytest.mark.parametrize(("text", "expected"), [("А등급", 1), ("2О24년", 1), ("Ε열", 1), ("2ο24", 1), ("e‑mail", 1), ("A‐1", 1), ("χ2 검정", 0), ("κ값", 0), ("и с о", 0), ("3–5 −2", 0), ("ㅋㅋ", 0), ("ᄒ", 1)])
+def test_skeleton_candidates(spark, text, expected):
+    """Values come from the skeleton; the context rule only rejects."""
+    df = spark.createDataFrame([(1, text)], "rec_id int, instruction string")
+    assert lk.lookalike_values(df, "rec_id", ["instruction"], "t").count() == expected
+    assert lk.differs(text) or not expected
+
+
+def test_nothing_is_reported_without_the_skeleton(monkeypatch):
+    monkeypatch.setattr(lk, "skeleton", lambda text: unicodedata.normalize("NFD", text))
+    assert not lk.differs("Ехрlаіn")
+
+
+def test_skeleton_keeps_all_cases():
+    assert all(lk.differs(t) for t, found in CASES if found)
