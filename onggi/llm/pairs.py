@@ -4,7 +4,8 @@ empty           no content: null, blank or a mere placeholder.
 echo            only repeats the instruction, the input or both. Responses of any length are compressed with their prompt
                 as a zstandard dictionary; one that needs next to nothing is a candidate, and is checked against the
                 prompt's parts, form and small slips aside.
-refusal         declines to answer, by dictionaries of four languages; a refusal that is only quoted is none.
+refusal         declines to answer, by dictionaries of four languages, whatever the length; one that is only quoted is none,
+                and neither is one whose other sentences, by and large, answer.
 wrong_language  mainly in another language than the prompt and than the one that is asked for; code has no language.
 truncated       breaks off inside a sentence, list or code. Whether a text may end where it ends is told by a model of
                 terminal contexts: how often, over all responses, a sentence ends after a word (or a syllable pair).
@@ -38,6 +39,15 @@ REFUSALS = re.compile(
     r"|お答え(?:する(?:こと)?は?|は)?(?:できません|できかねます|いたしかねます)|お手伝い(?:は)?(?:できません|できかねます)|回答(?:は|を)?(?:できません|差し控え|控え)|お応えできません|対応(?:は)?できません|ご案内できません",
     re.IGNORECASE,
 )
+# Words of the sentences around a refusal, which apologise, give reasons or name alternatives.
+_DECLINES = re.compile(
+    r"죄송|미안|유감|양해|아쉽|불가|어렵|어려운|어려울|곤란|할 수 없|없습니다|않습니다|못합니다|정책|규정|지침|원칙|제한|위험|안전|민감|개인 ?정보|전문가|의사|변호사|기관|문의|대신|다른 (?:질문|주제|방법)|바랍니다|감사"
+    r"|sorry|apolog|unfortunately|regret|policy|policies|guideline|cannot|can ?['’]?t|unable|not able|won['’]t|restrict|harm|unsafe|danger|privacy|sensitive|professional|expert|lawyer|doctor|instead|consult|understand|appreciate|thank"
+    r"|leider|tut mir|entschuldig|bedau|richtlinie|nicht möglich|gefähr|schädlich|fachleute|arzt|anwalt|stattdessen|verständnis|danke"
+    r"|申し訳|すみません|残念|できません|できかね|方針|規定|危険|専門家|医師|弁護士|代わり|ご了承|ご理解|ありがとう",
+    re.IGNORECASE,
+)
+_SENTENCE = re.compile(r"[.!?。！？]+\s*|\n+")
 #: What asks for the prompt's own words.
 COPY_ASKED = re.compile(
     r"그대로|똑같이|되풀이|따라\s*(?:쓰|적|말)|받아\s*(?:적|쓰)|옮겨\s*(?:적|쓰)|베껴|반복해|복사|인용|뽑으|뽑아|발췌|골라|찾아 쓰|verbatim|repeat|copy|quote|extract|echo|word for word|wiederhol|zitier|abschreib|そのまま|繰り返|引用|書き写|抜き出",
@@ -172,17 +182,33 @@ def _misspelt(text: str) -> bool:
     return bool(re.search("[ㄱ-ㅣ]", text))
 
 
-def is_refusal(output: str) -> bool:
-    m = REFUSALS.search(output)
-    if not m or len(output) > 400:
-        return False
+def _quoted(output: str, m: re.Match[str]) -> bool:
+    """Whether an opening quote comes before a match, and its closing one after."""
     before = output[: m.start()]
-    #: Quoted: an opening quote comes before, and its closing one after.
     for o, c in ("''", '""', "‘’", "“”", "「」", "『』"):
         if o in before and (before.count(o) % 2 if o == c else before.rfind(o) > before.rfind(c)):
             if c in output[m.end() : m.end() + 20]:
-                return False
-    return len(re.split(r"[.!?。]\s*", before)) <= 3
+                return True
+    return False
+
+
+def is_refusal(output: str) -> bool:
+    """Whether a response declines: within its first three sentences, or later if few sentences before it answer; and
+    if no long answer follows. Sentences that apologise, give reasons or name alternatives do not answer."""
+    #: Sentences of the whole response, told only where a refusal is found.
+    whole: list[bool] = []
+    for m in REFUSALS.finditer(output):
+        if _quoted(output, m):
+            continue
+        before = [x for x in _SENTENCE.split(output[: m.start()]) if x.strip()]
+        if _SENTENCE.split(output[: m.start()])[-1].strip():
+            before = before[:-1]
+        answering = sum(not _DECLINES.search(x) for x in before)
+        if len(before) <= 2 or answering <= 2 and answering * 2 <= len(before):
+            whole = whole or [not _DECLINES.search(x) and not REFUSALS.search(x) for x in _SENTENCE.split(output) if x.strip()]
+            if sum(whole) <= max(6, 0.7 * len(whole)):
+                return True
+    return False
 
 
 def wrong_language(instruction: str, inp: str, output: str) -> bool:

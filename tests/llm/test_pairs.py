@@ -45,3 +45,16 @@ def test_every_response_is_compressed_with_its_prompt(monkeypatch):
 @pytest.mark.parametrize(("instruction", "output", "expected"), [(Q, "도서관을 소개헤 주세요.", ["echo"]), (Q, "도서관을 소개해 주세오", ["echo"]), ("7번 문제를 푸세요.", "8번 문제를 푸세요.", []), (Q, "도서관을 설명해 주세요.", [])])
 def test_short_near_copies(instruction, output, expected):
     assert pairs.defects_of(instruction, None, output, CTX) == expected
+
+
+REASONS = "죄송합니다. 이 주제는 매우 민감합니다. 저희 정책에 따라 위험한 내용은 다루지 않습니다. "
+ANSWER = "도서관은 마을 한가운데 있습니다. 아침 아홉 시에 문을 엽니다. 책은 열흘 동안 빌립니다. 신문도 함께 읽습니다. "
+
+
+@pytest.mark.parametrize(("output", "expected"), [
+    ("그 요청은 도와드릴 수 없습니다. " + REASONS * 10, True), (REASONS + "그 요청은 도와드릴 수 없습니다.", True), (REASONS * 10 + "그 요청은 도와드릴 수 없습니다.", True),
+    (ANSWER + "다만 예약은 도와드릴 수 없습니다.", False), (ANSWER * 10 + "다만 예약은 도와드릴 수 없습니다.", False), ("안내문 '도와드릴 수 없습니다'가 보입니다. " + ANSWER, False), ("예약은 도와드릴 수 없습니다. " + ANSWER * 10, False),
+    ("안내문 '도와드릴 수 없습니다'가 보입니다. 저는 그 요청을 도와드릴 수 없습니다.", True),
+])
+def test_refusals_of_any_length(output, expected):
+    assert pairs.is_refusal(output) == expected
