@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onggi.session import materialize
+
 # Placeholders (form aside), and words of refusals.
 PLACEHOLDERS = frozenset("없음 빈칸 공란 미정 무 내용없음 해당없음 답변없음 none null nan na nil empty tbd todo undefined blank keine leer なし 無し 未定 空欄".split())
 REFUSALS = re.compile(
@@ -231,17 +233,32 @@ Contexts = dict[str, tuple[int, int]]
 _CTX = r"([가-힣]{2}|[A-Za-zÄÖÜäöüß']{2,14})"
 
 
-def terminal_contexts(df: DataFrame, output_col: str = "output", most: int = 50_000) -> DataFrame:
+def terminal_contexts(df: DataFrame, output_col: str = "output", least: int = 5) -> DataFrame:
     """(ctx, n_final, n_inner): how often a context ends a sentence and how often another word follows, over all texts.
 
-    Built-in expressions only; counts are combined before the shuffle. A context is kept if it makes up at least one
-    part in `most` of all, so there are never more than `most` rows, whatever the size of the table."""
+    Built-in expressions only; counts are combined before the shuffle. A context that occurs `least` times is told by
+    the model, whatever the size of the table."""
     text = F.coalesce(df[output_col], F.lit(""))
     final = F.transform(F.regexp_extract_all(text, F.lit(_CTX + r"[.!?。]"), 1), lambda c: F.struct(F.lower(c).alias("ctx"), F.lit(1).alias("f")))
     inner = F.transform(F.regexp_extract_all(text, F.lit(_CTX + r"\s+(?=[가-힣A-Za-z0-9])"), 1), lambda c: F.struct(F.lower(c).alias("ctx"), F.lit(0).alias("f")))
     rows = df.select(F.explode(F.concat(final, inner)).alias("x")).groupBy("x.ctx").agg(F.sum("x.f").alias("n_final"), F.sum(1 - F.col("x.f")).alias("n_inner"))
-    total = rows.agg(F.sum(F.col("n_final") + F.col("n_inner")).alias("total"))
-    return rows.crossJoin(F.broadcast(total)).where((F.col("n_final") + F.col("n_inner")) * most >= F.col("total")).drop("total")
+    return rows.where(F.col("n_final") + F.col("n_inner") >= least)
+
+
+class Asked(dict):
+    """A model without contexts that keeps which context was asked for, and the limit below which it breaks off."""
+
+    ctx: str | None = None
+    limit = 0.0
+
+
+def _breaks(contexts: Contexts, ctx: str, limit: float) -> bool | None:
+    """Whether a text that ends in a context breaks off; None if the model does not know it."""
+    if isinstance(contexts, Asked):
+        contexts.ctx, contexts.limit = ctx, limit
+        return None
+    f, n = contexts.get(ctx, (0, 0))
+    return (f + 0.5) / (f + n + 1) < limit if f + n >= 5 else None
 
 
 def is_truncated(output: str, contexts: Contexts, limit: float = 0.06) -> bool:
@@ -287,10 +304,8 @@ def is_truncated(output: str, contexts: Contexts, limit: float = 0.06) -> bool:
             return len(items[-1].split()) < min(len(x.split()) for x in items[:-1])
         if not earlier and len(words) <= 3 and not cut and not any(_PARTICLE.search(w) for w in words[:-1]):
             return False
-        f, n = contexts.get(words[-1][-2:], (0, 0))
-        if f + n >= 5:
-            return (f + 0.5) / (f + n + 1) < limit
-        return not _PREDICATE.search(words[-1])
+        known = _breaks(contexts, words[-1][-2:], limit)
+        return not _PREDICATE.search(words[-1]) if known is None else known
     if script == "ja":
         if not earlier and len(segment) < 12 and not cut:
             return False
@@ -301,10 +316,8 @@ def is_truncated(output: str, contexts: Contexts, limit: float = 0.06) -> bool:
         return False
     if cut:
         return True
-    f, n = contexts.get(words[-1].strip("\"'()").lower(), (0, 0))
-    if f + n >= 5:
-        return (f + 0.5) / (f + n + 1) < 2 * limit
-    return True
+    known = _breaks(contexts, words[-1].strip("\"'()").lower(), 2 * limit)
+    return True if known is None else known
 
 
 def defects_of(instruction: str | None, inp: str | None, output: str | None, contexts: Contexts) -> list[str]:
@@ -326,20 +339,29 @@ def defects_of(instruction: str | None, inp: str | None, output: str | None, con
 def broken_pairs(df: DataFrame, id_col: str = "rec_id", instruction_col: str = "instruction", input_col: str = "input", output_col: str = "output") -> DataFrame:
     """(id, defect): one row per record and defect. One pass for the model, one narrow pass for the records.
 
-    The model has at most 50,000 short rows (see terminal_contexts), so it goes to every task with the function."""
-    contexts: Contexts = {r[0]: (r[1], r[2]) for r in terminal_contexts(df, output_col).collect()}
-    model = df.sparkSession.sparkContext.broadcast(contexts)
+    A record whose end the model must judge asks for one context, which is joined with the counts."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx = model.value
         for batch in batches:
-            rows, names = [], []
+            rows, names, ctxs, limits, otherwise = [], [], [], [], []
             for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                for d in defects_of(*x, ctx):
+                asked = Asked()
+                found = defects_of(*x, asked)
+                told = "truncated" in found
+                for d in [*found, *(["truncated"] if asked.ctx is not None and not told else [])]:
+                    ask = d == "truncated" and asked.ctx is not None
                     rows.append(i)
                     names.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string())], names=["id", "defect"])
+                    ctxs.append(asked.ctx if ask else None)
+                    limits.append(asked.limit)
+                    otherwise.append(told or not ask)
+            columns = [pa.array(names, pa.string()), pa.array(ctxs, pa.string()), pa.array(limits, pa.float64()), pa.array(otherwise, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["id", "defect", "ctx", "ctx_limit", "otherwise"])
 
     cols = [df[c].alias(n) for c, n in ((id_col, "id"), (instruction_col, "a"), (input_col, "b"), (output_col, "o"))]
-    return df.select(*cols).mapInArrow(run, f"id {id_type}, defect string").withColumnRenamed("id", id_col)
+    found = materialize(df.select(*cols).mapInArrow(run, f"id {id_type}, defect string, ctx string, ctx_limit double, otherwise boolean"), "pair-defects")
+    total = F.col("n_final") + F.col("n_inner")
+    judged = found.where("ctx IS NOT NULL").join(terminal_contexts(df, output_col), "ctx", "left")
+    judged = judged.where(F.coalesce((F.col("n_final") + 0.5) / (total + 1) < F.col("ctx_limit"), F.col("otherwise")))
+    return found.where("ctx IS NULL").select("id", "defect").unionByName(judged.select("id", "defect")).withColumnRenamed("id", id_col)

@@ -58,3 +58,12 @@ ANSWER = "도서관은 마을 한가운데 있습니다. 아침 아홉 시에 
 ])
 def test_refusals_of_any_length(output, expected):
     assert pairs.is_refusal(output) == expected
+
+
+def test_contexts_do_not_depend_on_the_size(spark):
+    """A context that ends five sentences is known beside a million other occurrences."""
+    many = "the big red dog and the old cat saw " * 12000
+    rows = [(i, Q, f"It was read by all of us in the small archive. We read it {i} times.") for i in range(6)] + [(50 + i, Q, many + ".") for i in range(10)] + [(99, Q, "It is a big house. We all went with them to the small archive")]
+    df = spark.createDataFrame(rows, "rec_id bigint, instruction string, output string").selectExpr("*", "CAST(NULL AS string) AS input")
+    got = {(r.rec_id, r.defect) for r in pairs.broken_pairs(df).collect()}
+    assert (99, "truncated") not in got and (99, "wrong_language") in got
