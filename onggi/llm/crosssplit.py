@@ -11,8 +11,8 @@
    lengths, so near copies that hold a third of all records are found. An edit breaks one or two chunks, which leaves a
    short record about half of its characters. Chunks of many training records are spread by record. Nothing is capped.
 4. Candidates are checked on their texts: numbers agree, what differs is a misspelling, a short insertion, a moved
-   sentence or a usual word for another one; never a name for another name, the task or the answer. The shared chunk
-   lengths give the overlap fractions.
+   sentence or a usual word for another one; never a name for another name, the task or the answer. The lengths
+   of all chunks that a pair shares, as a share of the evaluation record, give the overlap fractions.
 
 Defined results: records without a letter or digit match nothing; repeated records are reported once each; records that
 are neither train, validation nor test take no part; an empty table gives an empty table; only the named columns are
@@ -321,5 +321,13 @@ def same_exchanges(df: DataFrame, id_col: str = "rec_id", split_col: str = "spli
     r_members = members.where("train").select(F.col("id").alias("r_id"), F.col("cls").alias("r"))
     classed = near.join(e_members, "e_id").join(r_members, "r_id").select("e", "r", "overlap")
     equal = e_members.join(r_members.withColumnRenamed("r", "e"), "e").select("e_id", "r_id", F.lit(1.0).alias("overlap"))
+    classed = classed.drop("overlap").distinct()
+    #: The share of the evaluation record's chunk lengths that the training record has too.
+    lists = rows.groupBy("cls").agg(F.first("digests").alias("digests"), F.first("lens").alias("lens"))
+    e_lists = lists.select(F.col("cls").alias("e"), F.col("digests").alias("e_digests"), F.col("lens").alias("e_lens"))
+    both_lists = classed.join(e_lists, "e").join(lists.select(F.col("cls").alias("r"), F.col("digests").alias("r_digests")), "r")
+    lengths = F.transform("e_digests", lambda d, i: F.when(F.array_contains("r_digests", d), F.element_at("e_lens", i + 1)).otherwise(0))
+    add = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    classed = both_lists.select("e", "r", (add(lengths) / add(F.col("e_lens"))).alias("overlap"))
     almost = classed.join(e_members, "e").join(r_members, "r").select("e_id", "r_id", "overlap")
     return equal.unionByName(almost).select(F.col("e_id").cast(id_type).alias("e_id"), F.col("r_id").cast(id_type).alias("r_id"), "overlap")

@@ -94,3 +94,15 @@ def test_short_edited_records_of_a_large_group(spark):
     mates = {(i, 1000 + i) for i in range(40) if cs.compare(*([cs.composed(t) for t in text(names[i], u)] for u in ("더불어", "함께")))[0]}
     assert len(mates) == 40
     assert len(mates & found(spark, rows)) >= 38
+
+
+def test_overlap_is_the_share_of_chunk_lengths(spark):
+    a, b, c = A
+    rows = [(1, "test", a, b, c), (2, "train", a, b, c), (6, "train", a, b, c.replace("함께", "더불어")), (7, "train", "Q. " + a, b, c)]
+    got = {r.r_id: r.overlap for r in cs.same_exchanges(table(spark, rows + noise_rows())).collect() if r.e_id == 1}
+    texts = {r[0]: cs.letters("".join(map(cs.composed, r[2:5]))) for r in rows}
+    for k in (2, 6, 7):
+        d, n, ends = cs.chunk([texts[1], texts[k]])
+        other = set(d[ends[1] :].tolist())
+        assert abs(got[k] - sum(x for y, x in zip(d[: ends[1]].tolist(), n[: ends[1]].tolist()) if y in other) / len(texts[1])) < 1e-9
+    assert got[2] == 1.0 and got[6] < 1.0
