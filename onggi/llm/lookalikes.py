@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like a Latin letter, in the order of that letter.
+# Letters of other scripts that look like a Latin letter, in the order of that letter: Greek, Cyrillic and
+# further Latin ones, then Armenian, Cherokee, Coptic and Lisu ones.
 LATIN_LOOKALIKES = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМϺ",
-    "N": "Ν", "O": "ΟО", "P": "ΡР", "Q": "Ԛ", "S": "Ѕ", "T": "ΤТ", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іı", "j": "јϳ", "k": "κк", "l": "ӏ", "o": "оο", "p": "рρ",
-    "q": "ԛ", "s": "ѕ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγү",
+    "A": "ΑАᎪⲀꓮ", "B": "ΒВᏴⲂꓐ", "C": "СϹᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻⲎꓧ", "I": "ΙІӀⲒꓲ", "J": "ЈͿᎫꓙ",
+    "K": "ΚКᏦⲔꓗ", "L": "ԼᏞꓡ", "M": "ΜМϺᎷⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ", "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢⲦꓔ",
+    "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ΧХⲬꓫ", "Y": "ΥҮᎩⲨꓬ", "Z": "ΖᏃꓜ",
+    "a": "аɑ", "c": "сϲⲥ", "d": "ԁᏧ", "e": "е", "g": "ɡցᶃ", "h": "һհᏂ", "i": "іıᎥ", "j": "јϳյ", "k": "κк", "l": "ӏ", "n": "ոռ", "o": "оοօⲟ", "p": "рρⲣ",
+    "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγү",
 }
 #: Look-alikes that only stand for the Latin letter in the same word as Latin ones; the others do so anywhere.
 PROTOTYPES = {ord(x): k for k, xs in LATIN_LOOKALIKES.items() for x in xs}
@@ -39,27 +41,19 @@ VARIATION = "\ufe00-\ufe0f\U000e0100-\U000e01ef"
 
 _nothing = re.compile(f"[{INVISIBLE}{CONTROL}{VARIATION}]")
 _blank = re.compile(f"[{BLANK}]")
-_lookalike = re.compile("[" + "".join(map(chr, PROTOTYPES)) + "]")
 #: A joiner or a selector between the parts of an emoji or after a symbol is part of it.
 _emoji = re.compile("(?<=[←-⯿〰〽㊗㊙\U0001f000-\U0001faff#*0-9\ufe0f\u20e3])(?:[\u200d\ufe0e\ufe0f]+(?=[←-⯿\U0001f000-\U0001faff\ufe0f\u20e3])|[\ufe0e\ufe0f])")
-_wide = re.compile("[！-～｡-ﾟ￠-￦￨-￮\U0001d400-\U0001d7ffﬀ-ﬆ]")
 _jamo = re.compile("[\u1100-\u115e\u1161-\u11ff\ua960-\ua97c\ud7b0-\ud7fb]")
-_plain = re.compile("[\t\n\r -~¡-¬®-İĲ-ɐɒ-ɠɢ-ʯ、-ヿㄱ-ㅣ㈀-㋾㎀-㏾一-鿿가-힣]*")
-#: Other hyphens within words and numbers; dashes, minus signs and quotation marks stand for themselves.
-_hyphen = re.compile("(?<=[^\\W_])[‐‑](?=[^\\W_])")
-_word = re.compile("[A-Za-zÀ-ɏɐ-ʯ\u0300-\u036fͰ-ϿЀ-ԯ]+")
 
 
-def _script(ch: str) -> str:
-    o = ord(ch)
-    return "L" if o < 0x250 or 0x250 <= o < 0x2B0 else "M" if o < 0x370 else "G" if o < 0x400 else "C"
-
-
-def _prototypes() -> dict[int, str | None]:
-    table: dict[int, str | None] = dict(PROTOTYPES)
-    table |= {o: chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)}
-    for a, b in ((0xFF61, 0xFFA0), (0xFFE0, 0xFFE7), (0xFFE8, 0xFFEF), (0x1D400, 0x1D800), (0xFB00, 0xFB07)):
-        table |= {o: unicodedata.normalize("NFKD", chr(o)) for o in range(a, b)}
+def _prototypes() -> dict[int, str]:
+    table: dict[int, str] = dict(PROTOTYPES)
+    #: Styled forms of letters (full-width, half-width, mathematical and letter-like ones) by their own decomposition.
+    for o in (*range(0x2102, 0x2140), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800)):
+        if unicodedata.decomposition(chr(o)).startswith(("<font>", "<wide>", "<narrow>")) or 0xFB00 <= o < 0xFB07:
+            table[o] = unicodedata.normalize("NFKD", chr(o))
+    #: Roman numerals and the letters that they look like.
+    table |= {o: unicodedata.normalize("NFKD", chr(o)) for o in range(0x2160, 0x2180)}
     #: A separate letter of the modern alphabet and the same letter of a syllable look alike.
     table |= {o: unicodedata.normalize("NFKD", chr(o)) for o in range(0x3131, 0x3164)}
     table |= {ord(k): v for k, v in {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-"}.items()}
@@ -67,6 +61,13 @@ def _prototypes() -> dict[int, str | None]:
 
 
 _TABLE = _prototypes()
+#: Every character that is not its own prototype.
+_differing = re.compile("[" + "".join(sorted(map(chr, _TABLE))) + INVISIBLE + BLANK + CONTROL + VARIATION + "\u1100-\u11ff\ua960-\ua97c\ud7b0-\ud7fb]")
+_styled = re.compile("[！-～｡-ﾟ￠-￦￨-￮\U0001d400-\U0001d7ffﬀ-ﬆ]")
+_roman, _letterlike = re.compile("[Ⅰ-ⅿ]"), re.compile("[\u2102-\u213f]")
+_own_look = re.compile("[㄰-ㅣ‘’“”‒–−]")
+#: Letters of the scripts that have look-alikes, with styled ones of the same word.
+_word = re.compile("[A-Za-zÀ-ɏɐ-ʯᶀ-ᶿ\u0300-\u036fͰ-ϿЀ-ԯ\u0531-\u0587Ꭰ-Ᏼ\u2102-\u213fⅠ-ⅿⲀ-\u2cffꓐ-ꓽ]+")
 #: A final consonant alone and the initial one look alike: both become the initial.
 _FINALS = {0x11A8 + i: chr(0x1100 + j) for i, j in zip((0, 1, 3, 6, 7, 15, 16, 18, 19, 20, 21, 22, 23, 24, 25, 26), (0, 1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 14, 15, 16, 17, 18), strict=True)}
 _stray_final = re.compile("(?<![\u1161-\u11a7\u11a8-\u11ff])[\u11a8-\u11c2]+")
@@ -83,6 +84,11 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", t)
 
 
+def latin_words(text: str) -> str:
+    """A text with the look-alikes in words that hold a Latin letter replaced by their prototypes."""
+    return _word.sub(lambda m: m.group().translate(PROTOTYPES) if re.search("[A-Za-z]", m.group()) else m.group(), text)
+
+
 def differs(text: str) -> bool:
     """Whether some character of a text is not its own prototype: its skeleton is not its decomposition, or it is itself
     written with parts (a separate jamo is the prototype of its letter)."""
@@ -91,50 +97,77 @@ def differs(text: str) -> bool:
     return skeleton(text) != unicodedata.normalize("NFD", text) or unicodedata.normalize("NFC", text) != text or bool(_jamo.search(text))
 
 
-def _beside(text: str, start: int, end: int) -> tuple[str, str]:
-    return text[max(0, start - 1) : start], text[end : end + 1]
+def _script(ch: str) -> str:
+    o = ord(ch)
+    if 0x300 <= o < 0x370:
+        return "mark"
+    for name, lo, hi in (("Latin", 0, 0x2B0), ("Greek", 0x370, 0x400), ("Cyrillic", 0x400, 0x530), ("Armenian", 0x530, 0x590), ("Cherokee", 0x13A0, 0x1400), ("Latin", 0x1D80, 0x1DC0), ("Coptic", 0x2C80, 0x2D00), ("Lisu", 0xA4D0, 0xA500)):
+        if lo <= o < hi:
+            return name
+    return "styled"
 
 
-def _single(letter: str, before: str, after: str) -> bool:
-    """Whether a single look-alike letter takes a Latin one's place beside Hangul, Latin letters or digits. Small Greek
-    letters are symbols there (χ2, κ값), except between digits."""
-    if ord(letter) not in PROTOTYPES:
-        return False
-    if letter.isupper() or _script(letter) == "C":
-        return any("가" <= c <= "힣" or c.isascii() and c.isalnum() for c in (before, after) if c)
-    return before.isdigit() and after.isdigit()
+def _beside(text: str, start: int, end: int) -> str:
+    return text[max(0, start - 1) : start] + text[end : end + 1]
 
 
-def stands_for_another(text: str) -> bool:
-    """Whether a text holds a character or sequence that stands for another one, or one that shows nothing or a blank."""
-    if _plain.fullmatch(text):
-        return False
-    if _blank.search(text) or _wide.search(text) or _jamo.search(text):
+def _usual(c: str) -> bool:
+    return "가" <= c <= "힣" or c.isascii() and c.isalnum()
+
+
+def _letter_stands(text: str, at: int, word: re.Match[str]) -> bool:
+    """Whether a look-alike letter takes a Latin one's place: its word has letters of another script too, or is a look-alike
+    of a Latin word beside Hangul, Latin letters or digits. A word wholly in another script stands for itself; small Greek
+    letters alone are symbols (χ2, κ값), except between digits."""
+    w, letter = word.group(), text[at]
+    near = _beside(text, word.start(), word.end())
+    scripts = {_script(c) for c in w} - {"mark", "styled"}
+    if scripts == {"Latin"}:
+        #: Letters of the Latin alphabets that take another one's place, such as a dotless i within an English word.
+        return any(c.isascii() and c.isalpha() for c in _beside(text, at, at + 1))
+    if len(scripts) > 1:
         return True
-    bare = _emoji.sub("", text)
-    if _nothing.search(bare):
+    if len(w) == 1:
+        if letter.isupper() or scripts != {"Greek"}:
+            return any(map(_usual, near))
+        return len(near) == 2 and near.isdigit()
+    return w.isupper() and all(ord(c) in PROTOTYPES for c in w) and any(map(_usual, near))
+
+
+def stands(text: str, at: int, words: list[re.Match[str]]) -> bool:
+    """Whether a character that is not its own prototype stands for it in its context. `words` is filled when needed."""
+    ch = text[at]
+    if _blank.match(ch) or _styled.match(ch) or _jamo.match(ch):
         return True
+    if _nothing.match(ch):
+        return True  # joiners of emoji are taken out before
+    if _own_look.match(ch):
+        return False
+    if ch in "‐‑":
+        return 0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum()
+    if not words:
+        words += _word.finditer(text)
+    word = next((m for m in words if m.start() <= at < m.end()), None)
+    if word is None:
+        return False
+    w = word.group()
+    if _roman.match(ch):
+        #: A numeral ends a name (Type Ⅱ); before a letter it stands for one.
+        return at + 1 < word.end() and text[at + 1].isascii()
+    if _letterlike.match(ch):
+        return sum(c.isascii() for c in w) >= 3  # mℓ is a unit, ℝ a symbol
+    return _letter_stands(text, at, word)
+
+
+def stands_for_another(text: str) -> bool:
+    """Whether a text holds a character or sequence that stands for another one, or one that shows nothing or a blank.
+
+    The characters whose prototype is another one are looked at one by one; the context can only reject them."""
     if unicodedata.normalize("NFC", text) != text:
         return True
-    if _hyphen.search(text):
-        return True
-    if not _lookalike.search(text):
-        return False
-    for m in _word.finditer(text):
-        w = m.group()
-        scripts = {_script(c) for c in w} - {"M"}
-        if len(scripts) > 1:
-            if _lookalike.search(w):
-                return True
-        elif scripts <= {"G", "C"} and len(w) == 1:
-            if _single(w, *_beside(text, m.start(), m.end())):
-                return True
-        elif scripts <= {"G", "C"} and w.isupper() and all(ord(c) in PROTOTYPES for c in w):
-            nearby = "".join(_beside(text, m.start(), m.end()))
-            if any("가" <= c <= "힣" or c.isascii() and c.isalnum() for c in nearby):
-                return True
-    # Latin letters of their own alphabet that take another one's place, such as a dotless i within an English word.
-    return bool(re.search("[A-Za-z][ɑɡı]|[ɑɡı][A-Za-z]", text))
+    bare = _emoji.sub("", text)
+    words: list[re.Match[str]] = []
+    return any(stands(bare, m.start(), words) for m in _differing.finditer(bare))
 
 
 def _long(df: DataFrame, key: str, fields: list[str], label: str) -> DataFrame:

@@ -46,3 +46,18 @@ def test_nothing_is_reported_without_the_skeleton(monkeypatch):
 
 def test_skeleton_keeps_all_cases():
     assert all(lk.differs(t) for t, found in CASES if found)
+
+
+@pytest.mark.parametrize(("text", "expected"), [("Ꭺpple", 1), ("ꓮpple", 1), ("Հello", 1), ("pհone", 1), ("tℎis", 1), ("bⅰt", 1), ("TypeⅡ", 0), ("Ⅱ장", 0), ("500mℓ", 0), ("ℝ", 0), ("ᏣᎳᎩ", 0), ("Հայերեն", 0), ("ⲀⲂ계획", 1), ("ｱｲｳ", 1), ("Åland", 1)])
+def test_wider_scripts(spark, text, expected):
+    assert lk.stands_for_another(text) == bool(expected)
+    assert lk.differs(text) or not expected
+
+
+def test_the_skeleton_runs_for_every_value_that_is_reported(spark, monkeypatch):
+    seen = []
+    own = lk.skeleton
+    monkeypatch.setattr(lk, "skeleton", lambda t: seen.append(t) or own(t))
+    found = [t for t, _ in CASES if lk.differs(t) and lk.stands_for_another(t)]
+    assert found and set(found) <= set(seen) | {t for t in found if t.isascii()}
+    assert lk.skeleton("Ꭺꓮpple") == "AApple" and lk.latin_words("привет Ехрlаіn") == "привет Explain"
