@@ -7,12 +7,14 @@
 3. Chunk digests are joined across splits. A chunk weighs its length times a power of its rarity, and a pair must share
    `threshold` of the weight of the evaluation record. By the prefix rule it is enough to join the rarest chunks of each
    evaluation class up to `prefix` of its weight: a pair that shares less than threshold - (1 - prefix) there cannot
-   reach the threshold. Pairs that share `whole` of the characters are kept whatever their rarity, by the same rule over
-   lengths, so near copies that hold a third of all records are found. An edit breaks one or two chunks, which leaves a
-   short record about half of its characters. Chunks of many training records are spread by record. Nothing is capped.
-4. Candidates are checked on their texts: numbers agree, what differs is a misspelling, a short insertion, a moved
-   sentence or a usual word for another one; never a name for another name, the task or the answer. The lengths
-   of all chunks that a pair shares, as a share of the evaluation record, give the overlap fractions.
+   reach the threshold. Pairs that may share `whole` of the characters are kept whatever their rarity, by the same rule
+   over lengths, so near copies that hold a third of all records are found. An edit breaks one or two chunks, which
+   leaves a short record about half of its characters. Chunks of many training records are spread by record. Nothing is
+   capped.
+4. The lengths of all chunks that such a pair shares are summed; as a share of the evaluation record they are its overlap
+   fraction. Pairs that reach neither the threshold of weight nor a fraction of `least` leave.
+5. What is left is checked on its texts: numbers agree, what differs is a misspelling, a short insertion, a moved
+   sentence or a usual word for another one; never a name for another name, the task or the answer.
 
 Defined results: records without a letter or digit match nothing; repeated records are reported once each; records that
 are neither train, validation nor test take no part; an empty table gives an empty table; only the named columns are
@@ -38,6 +40,10 @@ from onggi.session import materialize
 
 WINDOW, DIVISOR = 4, 8
 THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.5, 3.0
+#: The overlap fraction from which a pair is checked on its texts whatever the rarity of what it shares.
+LEAST = 0.3
+#: Records of one exchange share this part of the jamo runs of the shorter one; the comparison asks for it first.
+GRAM, GRAM_SHARE = 4, 0.35
 #: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
 HOT = 20_000
 
@@ -141,8 +147,8 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
     return part.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>")
 
 
-def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX, whole: float = WHOLE) -> DataFrame:
-    """(e_id, r_id): pairs of different classes, an evaluation one and a training one, that may be near copies."""
+def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX, whole: float = WHOLE, least: float = LEAST) -> DataFrame:
+    """(e_id, r_id, overlap): pairs of different classes, an evaluation one and a training one, that may be near copies."""
     per_class = rows.groupBy("cls").agg(
         F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.first("digests").alias("digests"), F.first("lens").alias("lens")
     )
@@ -155,7 +161,8 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     rarity = F.pow(F.greatest(F.lit(0.0), F.log(F.greatest(F.col("m"), F.lit(2)) / F.col("df")) / F.log(F.greatest(F.col("m"), F.lit(2)))), F.lit(RARITY_POWER))
     #: A chunk that train lacks tells little: it weighs half.
     weight = F.col("n") * rarity * F.when(F.col("in_r"), 1.0).otherwise(0.5)
-    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total)).withColumn("w", weight)
+    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total))
+    e_chunks = materialize(e_chunks.select("e_id", "d", "n", "df", "in_r", weight.alias("w")), "split-weights")
     #: The rarest chunks first, up to the prefix of the weight, and at least so many that a pair which shares `whole` of
     #: the characters shares one of them (near copies of which there are very many have only common chunks).
     order = Window.partitionBy("e_id").orderBy("df", "d")
@@ -179,7 +186,14 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     #: What lies beyond the prefix can add at most its own weight, or its own characters.
     by_weight = F.col("w") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9
     by_length = F.col("n") + F.col("beyond_n") >= whole * F.col("all_n")
-    return shared.where(by_weight | by_length).select("e_id", "r_id")
+    pairs = materialize(shared.where(by_weight | by_length).select("e_id", "r_id"), "split-bounded")
+    #: The exact sums over all chunks that a pair shares. Only digests go along, no texts.
+    lists = e_chunks.groupBy("e_id").agg(F.collect_list(F.struct("d", "n", "w")).alias("own"))
+    there = per_class.where("r_id IS NOT NULL").select("r_id", F.col("digests").alias("there"))
+    both = pairs.join(lists, "e_id").join(there, "r_id").withColumn("common", F.filter("own", lambda c: F.array_contains("there", c["d"])))
+    add = lambda c, f: F.aggregate(c, F.lit(0.0), lambda x, y: x + y[f])
+    both = both.select("e_id", "r_id", (add("common", "n") / add("own", "n")).alias("overlap"), (add("common", "w") >= threshold * add("own", "w") - 1e-9).alias("heavy"))
+    return both.where(F.col("heavy") | (F.col("overlap") >= least)).select("e_id", "r_id", "overlap")
 
 
 def _jamo(text: str) -> str:
@@ -205,16 +219,90 @@ def _words_of(text: str) -> tuple[str, list[str], list[int]]:
     return "".join(joined), words, owner
 
 
-def compare(a: list[str], b: list[str]) -> tuple[bool, float, list[list[str]]]:
-    """(may be the same exchange, overlap, substitutions): each substitution is the words of one side that stand for
-    words of the other; the pair is the same exchange if each has a usual word on either side. Texts are composed."""
+def common_blocks(x: str, y: str) -> list[tuple[int, int, int]]:
+    """Equal blocks of the jamo of two texts, in order: runs of equal letters first, then jamo between those."""
+    #: Where each letter's jamo begin.
+    at_x, at_y = [0], [0]
+    for t, at in ((x, at_x), (y, at_y)):
+        n = 0
+        for ch in t:
+            n += len(_jamo(ch)) if ch > "\u00bf" else 1
+            at.append(n)
+    jx, jy = _jamo(x), _jamo(y)
+    found: list[tuple[int, int, int]] = []
+
+    def add(i: int, j: int, n: int) -> None:
+        if found and found[-1][0] + found[-1][2] == i and found[-1][1] + found[-1][2] == j:
+            i, j, n = found[-1][0], found[-1][1], found.pop()[2] + n
+        if n:
+            found.append((i, j, n))
+
+    i = j = 0
+    for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+        a, b, n = at_x[m.a], at_y[m.b], at_x[m.a + m.size] - at_x[m.a]
+        if 0 < n < 5:
+            continue
+        if a > i and b > j:
+            for z in difflib.SequenceMatcher(None, jx[i:a], jy[j:b], autojunk=False).get_matching_blocks():
+                add(i + z.a, j + z.b, z.size)
+        add(a, b, n)
+        i, j = a + n, b + n
+    return found
+
+
+def runs(text: str) -> set[str]:
+    """Runs of GRAM jamo of the letters of a text."""
+    j = _jamo(letters(text))
+    return {j[i : i + GRAM] for i in range(max(1, len(j) - GRAM + 1))}
+
+
+def may_be_same(numbers_a: Counter[str], numbers_b: Counter[str], runs_a: set[str], runs_b: set[str]) -> bool:
+    """What the comparison asks for first, from what is known of each text: numbers agree, and the shorter text shares runs."""
+    if numbers_a != numbers_b and (numbers_a - numbers_b) and (numbers_b - numbers_a):
+        return False
+    return len(runs_a & runs_b) >= GRAM_SHARE * min(len(runs_a), len(runs_b))
+
+
+def _held(part: str, other: str, other_runs: set[str]) -> bool:
+    """Whether a text holds a part elsewhere, small slips aside."""
+    own = {part[i : i + GRAM] for i in range(max(1, len(part) - GRAM + 1))}
+    return part in other or len(part) >= 12 and len(own & other_runs) >= 0.8 * len(own)
+
+
+def _stem_in(word: str, other: str) -> bool:
+    """Whether a text has a word, whatever its ending."""
+    return _jamo(word[: max(2, len(word) - 2)]) in other
+
+
+Region = tuple[int, int, int, int]
+
+
+def _one_sided(r: Region) -> str:
+    """a or b: the side that has more here while the other has next to nothing; else no side."""
+    return "a" if r[3] - r[2] <= 2 < r[1] - r[0] else "b" if r[1] - r[0] <= 2 < r[3] - r[2] else ""
+
+
+def _replacements(regions: list[Region], between: int = 6) -> list[Region]:
+    """What one side has more and what the other has more, with a few equal jamo between, stands for each other."""
+    out: list[Region] = []
+    for r in regions:
+        if out and r[0] - out[-1][1] <= between and {_one_sided(out[-1]), _one_sided(r)} == {"a", "b"}:
+            r = (out[-1][0], r[1], out.pop()[2], r[3])
+        out.append(r)
+    return out
+
+
+def compare(a: list[str], b: list[str]) -> tuple[bool, list[list[str]]]:
+    """(may be the same exchange, substitutions): of each region where words stand for other words, those of the one side
+    and those of the other; the pair is the same exchange if all words of one of the sides are usual. Texts are composed."""
     ja, words_a, owner_a = _words_of(" ".join(a))
     jb, words_b, owner_b = _words_of(" ".join(b))
-    none: tuple[bool, float, list[list[str]]] = (False, 0.0, [])
+    none: tuple[bool, list[list[str]]] = (False, [])
     if not ja or not jb:
         return none
     na, nb = _numbers(" ".join(a)), _numbers(" ".join(b))
-    if (na - nb) and (nb - na):
+    runs_a, runs_b = runs(" ".join(a)), runs(" ".join(b))
+    if not may_be_same(na, nb, runs_a, runs_b):
         return none
     #: The task and the answer, where both records have them in the same field.
     for k, least in ((0, 0.6), (2, 0.55)):
@@ -224,51 +312,55 @@ def compare(a: list[str], b: list[str]) -> tuple[bool, float, list[list[str]]]:
                 jx, jy = _jamo(x), _jamo(y)
                 if not (jx in jy or jy in jx or _alike(x, y) >= 0.75):
                     return none
-            else:
-                m = sum(z.size for z in difflib.SequenceMatcher(None, _jamo(x), _jamo(y), autojunk=False).get_matching_blocks() if z.size >= 2)
-                moved = len(set(_grams(x)) & set(_grams(y))) / max(1, min(len(set(_grams(x))), len(set(_grams(y)))))
-                if max(m / max(1, min(len(_jamo(x)), len(_jamo(y)))), moved) < least and not (x in jb or _jamo(x) in jb):
-                    return none
-    sm = difflib.SequenceMatcher(None, ja, jb, autojunk=False)
-    regions: list[list[int]] = []
-    for tag, i1, i2, j1, j2 in sm.get_opcodes():
-        if tag == "equal":
-            if i2 - i1 >= 3 or not regions:
-                regions.append([])
-                continue
-        if not regions or not regions[-1]:
-            if tag == "equal":
-                continue
-            regions.append([i1, i2, j1, j2])
-        else:
-            regions[-1][1], regions[-1][3] = i2, j2
-    regions = [r for r in regions if r]
-    only_a = [(r[0], r[1]) for r in regions if r[3] - r[2] <= 2 < r[1] - r[0]]
-    only_b = [(r[2], r[3]) for r in regions if r[1] - r[0] <= 2 < r[3] - r[2]]
-    #: Moved passages: what one side lacks here it has elsewhere.
-    lacking_a = sum(hi - lo for lo, hi in only_a if ja[lo:hi] not in jb)
-    lacking_b = sum(hi - lo for lo, hi in only_b if jb[lo:hi] not in ja)
-    if lacking_a > 0.4 * len(ja) or lacking_b > 0.4 * len(jb) or lacking_a + lacking_b > 0.45 * max(len(ja), len(jb)):
+            elif x != y:
+                grams_x, grams_y = set(_grams(x)), set(_grams(y))
+                jx, jy = _jamo(x), _jamo(y)
+                if len(grams_x & grams_y) < least * max(1, min(len(grams_x), len(grams_y))) and not (x in jb or jx in jb):
+                    if sum(n for _, _, n in common_blocks(x, y) if n >= 2) < least * max(1, min(len(jx), len(jy))):
+                        return none
+    #: Regions that differ lie between blocks of at least three jamo.
+    edges = [(0, 0, 0), *(z for z in common_blocks("".join(words_a), "".join(words_b)) if z[2] >= 3), (len(ja), len(jb), 0)]
+    regions = [(i + n, k, j + n, m) for (i, j, n), (k, m, _) in zip(edges, edges[1:], strict=False) if k > i + n or m > j + n]
+    regions = _replacements(regions)
+    only_a = [(r[0], r[1]) for r in regions if _one_sided(r) == "a"]
+    only_b = [(r[2], r[3]) for r in regions if _one_sided(r) == "b"]
+    #: Moved passages: what one side lacks here it has elsewhere, small slips aside.
+    more_a = [x for x in only_a if not _held(ja[x[0] : x[1]], jb, runs_b)]
+    more_b = [x for x in only_b if not _held(jb[x[0] : x[1]], ja, runs_a)]
+    lacking_a, lacking_b = (sum(hi - lo for lo, hi in x) for x in (more_a, more_b))
+    if lacking_a > 0.4 * len(ja) or lacking_b > 0.4 * len(jb):
         return none
     inserted = " ".join([ja[lo:hi] for lo, hi in only_a] + [jb[lo:hi] for lo, hi in only_b])
     if sum(((na - nb) + (nb - na)).values()) and not all(n in inserted for n in (na - nb) + (nb - na)):
         return none
-    subs, mass = [], 0
+    #: What either side has more than the other stands for each other, wherever it is.
+    subs, mass = [], min(lacking_a, lacking_b)
+    uneven_a = [*more_a, *((r[0], r[1]) for r in regions if r[1] - r[0] > 2 * (r[3] - r[2]) > 4)]
+    uneven_b = [*more_b, *((r[2], r[3]) for r in regions if r[3] - r[2] > 2 * (r[1] - r[0]) > 4)]
+    lone_a = lambda spans: sorted({w for w in {words_a[k] for lo, hi in spans for k in owner_a[lo:hi]} if not _stem_in(w, jb)})
+    lone_b = lambda spans: sorted({w for w in {words_b[k] for lo, hi in spans for k in owner_b[lo:hi]} if not _stem_in(w, ja)})
+    subs += [lone_a(uneven_a), lone_b(uneven_b)]
     for i1, i2, j1, j2 in regions:
         u, v = ja[i1:i2], jb[j1:j2]
+        if mass > 0.25 * max(len(ja), len(jb)):
+            return none
         if min(len(u), len(v)) < 3 or max(len(u), len(v)) < 4:
             continue
+        #: Misspelt, or with letters in another order.
+        if sum((Counter(u) & Counter(v)).values()) >= 0.85 * max(len(u), len(v)):
+            continue
         same = sum(z.size for z in difflib.SequenceMatcher(None, u, v, autojunk=False).get_matching_blocks())
         if same >= 0.6 * max(len(u), len(v)):
             continue
         if u in jb and v in ja:
             continue
         mass += max(len(u), len(v))
-        subs.append([*{words_a[k] for k in owner_a[i1:i2]}, *{words_b[k] for k in owner_b[j1:j2]}])
+        subs += [lone_a([(i1, i2)]), lone_b([(j1, j2)])]
     if mass > 0.25 * max(len(ja), len(jb)):
         return none
-    equal = sum(z.size for z in sm.get_matching_blocks())
-    return True, equal / max(len(ja), len(jb)), subs
+    #: Regions without words of their own on one side need no judgement.
+    subs = [g for pair in zip(subs[::2], subs[1::2], strict=True) if all(pair) for g in pair]
+    return True, subs
 
 
 def _grams(text: str) -> list[str]:
@@ -276,32 +368,49 @@ def _grams(text: str) -> list[str]:
     return [j[i : i + 5] for i in range(len(j) - 4)] or [j]
 
 
-def same_exchanges(df: DataFrame, id_col: str = "rec_id", split_col: str = "split", fields: tuple[str, str, str] = ("instruction", "input", "output"), least_df: int = 20, usual_share: float = 5e-4) -> DataFrame:
-    """(e_id, r_id, overlap) of every evaluation record and training record that are the same exchange.
+def exchange_classes(
+    df: DataFrame, id_col: str = "rec_id", split_col: str = "split", fields: tuple[str, str, str] = ("instruction", "input", "output"), least_df: int = 20, usual_share: float = 5e-4, **candidate_settings: float
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes of equal records that are the same exchange, and the members of the classes.
 
-    A usual word stands in at least max(least_df, usual_share of all) records."""
+    (e, r, overlap): an evaluation and a training class; a class of both sides is a pair with itself. (id, train, cls): every
+    record. A usual word stands in at least max(least_df, usual_share of all) records. With threshold=0, whole=0 and least=0
+    every pair that shares a chunk is compared."""
     id_type = df.schema[id_col].dataType.simpleString()
     rows = materialize(chunk_table(df, id_col, split_col, fields), "split-records")
-    pairs = materialize(candidate_classes(rows), "split-candidates")
+    pairs = materialize(candidate_classes(rows, **candidate_settings), "split-candidates")
     texts = df.select(df[id_col].alias("id"), *[df[f].alias(f"f{i}") for i, f in enumerate(fields)])
     needed = pairs.select(F.col("e_id").alias("id")).union(pairs.select("r_id")).distinct()
     found = materialize(texts.join(materialize(needed, "split-needed"), "id"), "split-texts")
     side = lambda p, k: found.select(F.col("id").alias(k), *[F.col(f"f{i}").alias(f"{p}{i}") for i in range(3)])
-    both = pairs.join(side("a", "e_id"), "e_id").join(side("b", "r_id"), "r_id").select("e_id", "r_id", *[f"a{i}" for i in range(3)], *[f"b{i}" for i in range(3)])
+    both = pairs.join(side("a", "e_id"), "e_id").join(side("b", "r_id"), "r_id").select("e_id", "r_id", "overlap", *[f"a{i}" for i in range(3)], *[f"b{i}" for i in range(3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, overlaps, subs = [], [], []
-            for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)):
-                ok, overlap, words = compare([composed(t) for t in x[:3]], [composed(t) for t in x[3:]])
-                if ok:
-                    kept.append(i)
-                    overlaps.append(overlap)
-                    subs.append(words)
+            kept, subs = [], []
+            #: What is known of a text is kept for the pairs that follow, up to a bound of letters.
+            known: dict[tuple[str | None, ...], tuple[list[str], Counter[str], set[str]]] = {}
+            held = 0
+            for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)):
+                sides = []
+                for key in (x[:3], x[3:]):
+                    if (own := known.get(key)) is None:
+                        t = [composed(f) for f in key]
+                        whole = " ".join(t)
+                        own = known[key] = (t, _numbers(whole), runs(whole))
+                        held += len(whole)
+                    sides.append(own)
+                (a, na, ra), (b, nb, rb) = sides
+                if may_be_same(na, nb, ra, rb):
+                    ok, words = compare(a, b)
+                    if ok:
+                        kept.append(i)
+                        subs.append(words)
+                if held > 200_000:
+                    known.clear()
+                    held = 0
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(overlaps, pa.float64()), pa.array(subs, pa.list_(pa.list_(pa.string())))], names=["e_id", "r_id", "overlap", "subs"]
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(subs, pa.list_(pa.list_(pa.string())))], names=["e_id", "r_id", "overlap", "subs"])
 
     checked = materialize(both.mapInArrow(run, f"e_id {id_type}, r_id {id_type}, overlap double, subs array<array<string>>"), "split-checked")
     #: How many records hold each word that stands for another one; only those words are counted.
@@ -311,23 +420,31 @@ def same_exchanges(df: DataFrame, id_col: str = "rec_id", split_col: str = "spli
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
     groups = checked.where(F.size("subs") > 0).select("e_id", "r_id", F.posexplode("subs").alias("k", "g"))
-    judged = groups.select("e_id", "r_id", "k", F.explode("g").alias("w")).join(usual.withColumn("usual", F.lit(True)), "w", "left").groupBy("e_id", "r_id", "k").agg(F.max(F.coalesce("usual", F.lit(False))).alias("ok"))
-    bad = judged.where(~F.col("ok")).select("e_id", "r_id").distinct()
-    near = checked.join(bad, ["e_id", "r_id"], "left_anti").select("e_id", "r_id", "overlap")
-    #: Members of the classes come back: first the class of each representative, then all its records of that side.
-    near = materialize(near, "split-near")
+    #: A side with a word that is not usual may be a name; a name never stands for another one.
+    judged = groups.select("e_id", "r_id", "k", F.explode("g").alias("w")).join(usual.withColumn("usual", F.lit(True)), "w", "left").groupBy("e_id", "r_id", "k").agg(F.min(F.coalesce("usual", F.lit(False))).alias("ok"))
+    regions = judged.groupBy("e_id", "r_id", F.floor(F.col("k") / 2).alias("k")).agg(F.max("ok").alias("ok"))
+    bad = regions.where(~F.col("ok")).select("e_id", "r_id").distinct()
+    near = materialize(checked.join(bad, ["e_id", "r_id"], "left_anti").select("e_id", "r_id", "overlap"), "split-near")
+    #: Representatives give way to their classes.
     members = rows.select("id", "train", "cls")
-    e_members = members.where(~F.col("train")).select(F.col("id").alias("e_id"), F.col("cls").alias("e"))
-    r_members = members.where("train").select(F.col("id").alias("r_id"), F.col("cls").alias("r"))
-    classed = near.join(e_members, "e_id").join(r_members, "r_id").select("e", "r", "overlap")
-    equal = e_members.join(r_members.withColumnRenamed("r", "e"), "e").select("e_id", "r_id", F.lit(1.0).alias("overlap"))
-    classed = classed.drop("overlap").distinct()
-    #: The share of the evaluation record's chunk lengths that the training record has too.
-    lists = rows.groupBy("cls").agg(F.first("digests").alias("digests"), F.first("lens").alias("lens"))
-    e_lists = lists.select(F.col("cls").alias("e"), F.col("digests").alias("e_digests"), F.col("lens").alias("e_lens"))
-    both_lists = classed.join(e_lists, "e").join(lists.select(F.col("cls").alias("r"), F.col("digests").alias("r_digests")), "r")
-    lengths = F.transform("e_digests", lambda d, i: F.when(F.array_contains("r_digests", d), F.element_at("e_lens", i + 1)).otherwise(0))
-    add = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
-    classed = both_lists.select("e", "r", (add(lengths) / add(F.col("e_lens"))).alias("overlap"))
-    almost = classed.join(e_members, "e").join(r_members, "r").select("e_id", "r_id", "overlap")
-    return equal.unionByName(almost).select(F.col("e_id").cast(id_type).alias("e_id"), F.col("r_id").cast(id_type).alias("r_id"), "overlap")
+    near = near.join(members.select(F.col("id").alias("e_id"), F.col("cls").alias("e")), "e_id").join(members.select(F.col("id").alias("r_id"), F.col("cls").alias("r")), "r_id")
+    near = near.groupBy("e", "r").agg(F.max("overlap").alias("overlap"))
+    equal = members.groupBy("cls").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("only")).where(F.col("t") & ~F.col("only"))
+    return equal.select(F.col("cls").alias("e"), F.col("cls").alias("r"), F.lit(1.0).alias("overlap")).unionByName(near), members
+
+
+def same_exchanges(df: DataFrame, id_col: str = "rec_id", **settings: object) -> DataFrame:
+    """(e_id, r_id, overlap) of every evaluation record and training record that are the same exchange."""
+    classes, members = exchange_classes(df, id_col, **settings)  # type: ignore[arg-type]
+    e = members.where(~F.col("train")).select(F.col("id").alias("e_id"), F.col("cls").alias("e"))
+    r = members.where("train").select(F.col("id").alias("r_id"), F.col("cls").alias("r"))
+    return classes.join(e, "e").join(r, "r").select("e_id", "r_id", "overlap")
+
+
+def matched_records(df: DataFrame, id_col: str = "rec_id", **settings: object) -> DataFrame:
+    """(id, n_links, overlap) of every evaluation record that stands in train: how many training records are the same
+    exchange, and the largest overlap. Links are counted by class, so no pair of members is built."""
+    classes, members = exchange_classes(df, id_col, **settings)  # type: ignore[arg-type]
+    size = members.where("train").groupBy(F.col("cls").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    per_class = classes.join(size, "r").groupBy(F.col("e").alias("cls")).agg(F.sum("n").alias("n_links"), F.max("overlap").alias("overlap"))
+    return members.where(~F.col("train")).join(per_class, "cls").select(F.col("id").alias(id_col), "n_links", "overlap")

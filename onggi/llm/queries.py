@@ -81,11 +81,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source: records that stand in train too, pairs, and mean overlap."""
-    records = table(spark, sf_dir, "instructions")
-    pairs = crosssplit.same_exchanges(records)
-    per_record = pairs.groupBy("e_id").agg(F.count(F.lit(1)).alias("n"), F.max("overlap").alias("overlap"))
-    named = per_record.join(records.select(F.col("rec_id").alias("e_id"), "split", "source"), "e_id")
-    return named.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
+    records = spread(table(spark, sf_dir, "instructions"))
+    named = crosssplit.matched_records(records).join(records.select("rec_id", "split", "source"), "rec_id")
+    return named.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_links").alias("n_pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
 
 
 def _lookalike_parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, list[str], str]]:

@@ -73,8 +73,8 @@ def test_brute_force_finds_no_more(spark):
     for e in texts:
         for t in texts:
             if split[e] != "train" and split[t] == "train":
-                ok, _, subs = cs.compare(texts[e], texts[t])
-                if ok and all({"함께", "더불어"} & set(g) for g in subs):
+                ok, subs = cs.compare(texts[e], texts[t])
+                if ok and all({"함께", "더불어"} >= set(g) or {"함께", "더불어"} >= set(h) for g, h in zip(subs[::2], subs[1::2], strict=True)):
                     direct.add((min(e, t), max(e, t)))
     assert direct <= found(spark, rows) and len(direct) == 16
 
@@ -106,3 +106,23 @@ def test_overlap_is_the_share_of_chunk_lengths(spark):
         other = set(d[ends[1] :].tolist())
         assert abs(got[k] - sum(x for y, x in zip(d[: ends[1]].tolist(), n[: ends[1]].tolist()) if y in other) / len(texts[1])) < 1e-9
     assert got[2] == 1.0 and got[6] < 1.0
+
+
+def test_recall_of_the_candidates(spark):
+    """Against every pair that shares a chunk, on short edited records of one template."""
+    rng = random.Random(3)
+    w = lambda: "".join(chr(rng.randint(0xAC00, 0xD7A3)) for _ in range(3))
+    rows = []
+    for i in range(120):
+        a, b = f"{w()} 마을의 {w()}을 두 문장으로 설명하세요.", f"{w()}에는 {w()}이 {rng.randint(10, 999)}개 있으며 {w()}이 함께 {w()}했습니다. 하지만 {w()}은 없습니다."
+        rows += [(i, "train", a, None, b), (1000 + i, "test", a, None, b.replace("함께", rng.choice(["더불어", "함꼐", "다 함께"])))]
+    exact = {(r.e_id, r.r_id) for r in cs.same_exchanges(table(spark, rows), threshold=0.0, whole=0.0, least=0.0).collect()}
+    got = {(r.e_id, r.r_id) for r in cs.same_exchanges(table(spark, rows)).collect()}
+    assert got <= exact and len(exact) >= 110 and len(got) >= 0.95 * len(exact)
+
+
+def test_links_are_counted_by_class(spark):
+    a, b, c = A
+    rows = [(1, "test", a, b, c), (2, "test", a, b, c), (5, "test", "다른 것", None, "없는 답을 적었습니다."), *[(10 + i, "train", a, b, c) for i in range(7)], (30, "train", a, b, c.replace("함께", "더불어"))]
+    got = {r.rec_id: (r.n_links, r.overlap) for r in cs.matched_records(table(spark, rows + noise_rows())).collect()}
+    assert got == {1: (8, 1.0), 2: (8, 1.0)}
