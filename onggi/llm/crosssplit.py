@@ -27,14 +27,16 @@ import difflib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from onggi.llm import bloom
 from onggi.llm.lookalikes import skeleton
 from onggi.session import materialize
 
@@ -44,6 +46,8 @@ THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.5, 3.0
 LEAST = 0.3
 #: Records of one exchange share this part of the jamo runs of the shorter one; the comparison asks for it first.
 GRAM, GRAM_SHARE = 4, 0.35
+#: Stretches that both sides lack may make up this part of the longer one.
+APART_SHARE = 0.35
 #: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
 HOT = 20_000
 
@@ -128,30 +132,43 @@ def chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, str, str]) -> DataFrame:
-    """(id, train, cls, digests, lens) of every record of a known split that has a letter or digit."""
+    """(id, train, cls, digests, lens) of every record of a known split that has a letter or digit.
 
+    Evaluation records come first; of a training record only the chunks that some evaluation record may hold are kept, as
+    no other can be shared."""
+    split = F.lower(F.trim(df[split_col]))
+    part = lambda names: df.where(split.isin(*names)).select(df[id_col].alias("id"), (split == "train").alias("train"), *[df[f].alias(f"f{i}") for i, f in enumerate(fields)])
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>"
+    held_out = materialize(part(["validation", "test"]).mapInArrow(_chunker(None), schema), "split-evaluation")
+    sought = df.sparkSession.sparkContext.broadcast(bloom.build(held_out.select(F.explode("digests").alias("h")).distinct()))
+    return held_out.unionByName(part(["train"]).mapInArrow(_chunker(sought), schema))
+
+
+def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [letters("".join(map(composed, x))) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             for a in range(0, len(texts), 1000):
                 part = texts[a : a + 1000]
                 digests, lens, ends = chunk(part)
+                if sought is not None:
+                    wanted = bloom.contains(sought.value, digests)
+                    ends = np.concatenate(([0], np.cumsum(wanted)))[ends]
+                    digests, lens = digests[wanted], lens[wanted]
                 keep = pa.array([bool(t) for t in part], pa.bool_())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t)) for v, t in ((digests.view(np.int64), pa.int64()), (lens, pa.int32()))]
                 cls = pa.array([xxhash.xxh3_128_hexdigest(t) for t in part], pa.string())
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), batch.column(1).slice(a, len(part)), cls, *lists], names=["id", "train", "cls", "digests", "lens"])
                 yield rows.filter(keep)
 
-    split = F.lower(F.trim(df[split_col]))
-    part = df.where(split.isin("train", "validation", "test")).select(df[id_col].alias("id"), (split == "train").alias("train"), *[df[f].alias(f"f{i}") for i, f in enumerate(fields)])
-    return part.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>")
+    return run
 
 
 def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX, whole: float = WHOLE, least: float = LEAST) -> DataFrame:
     """(e_id, r_id, overlap): pairs of different classes, an evaluation one and a training one, that may be near copies."""
     per_class = rows.groupBy("cls").agg(
-        F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.first("digests").alias("digests"), F.first("lens").alias("lens")
-    )
+        F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.max(F.struct(~F.col("train"), "digests", "lens")).alias("x")
+    ).select("e_id", "r_id", "x.digests", "x.lens")
     #: A class is known by its least record of either side from here on.
     chunks = per_class.select("e_id", "r_id", F.explode(F.map_from_entries(F.array_distinct(F.arrays_zip("digests", "lens")))).alias("d", "n"))
     chunks = materialize(chunks, "split-chunks")
@@ -208,27 +225,43 @@ def _alike(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, _jamo(a), _jamo(b), autojunk=False).ratio()
 
 
-def _words_of(text: str) -> tuple[str, list[str], list[int]]:
-    """Letters and digits, the words, and the word of each jamo of the letters."""
-    words = [w for w in _REST.split(text) if w]
-    joined, owner = [], []
-    for i, w in enumerate(words):
-        j = _jamo(w)
-        joined.append(j)
-        owner += [i] * len(j)
-    return "".join(joined), words, owner
+class Known:
+    """What the comparison needs of the texts of one record, found once."""
+
+    def __init__(self, fields: list[str]):
+        self.fields = fields
+        whole = " ".join(fields)
+        self.numbers = _numbers(whole)
+        self.words = [w for w in _REST.split(whole) if w]
+        self.text = "".join(self.words)
+        self.at = _jamo_begins(self.text)
+        self.jamo = _jamo(self.text)
+        self.runs = _runs(self.jamo)
+        self.size = len(whole)
+        self._owner: list[int] = []
+
+    @property
+    def owner(self) -> list[int]:
+        """The word of each jamo."""
+        if not self._owner:
+            at = 0
+            for i, w in enumerate(self.words):
+                self._owner += [i] * (self.at[at + len(w)] - self.at[at])
+                at += len(w)
+        return self._owner
+
+
+def _jamo_begins(text: str) -> list[int]:
+    """Where the jamo of each letter begin, and where the last ends."""
+    out, n = [0], 0
+    for ch in text:
+        n += 1 if ch < "\u00c0" else (2 if (ord(ch) - 0xAC00) % 28 == 0 else 3) if "가" <= ch <= "힣" else len(_jamo(ch))
+        out.append(n)
+    return out
 
 
-def common_blocks(x: str, y: str) -> list[tuple[int, int, int]]:
+def common_blocks(x: str, y: str, at_x: list[int], at_y: list[int], jx: str, jy: str) -> list[tuple[int, int, int]]:
     """Equal blocks of the jamo of two texts, in order: runs of equal letters first, then jamo between those."""
-    #: Where each letter's jamo begin.
-    at_x, at_y = [0], [0]
-    for t, at in ((x, at_x), (y, at_y)):
-        n = 0
-        for ch in t:
-            n += len(_jamo(ch)) if ch > "\u00bf" else 1
-            at.append(n)
-    jx, jy = _jamo(x), _jamo(y)
     found: list[tuple[int, int, int]] = []
 
     def add(i: int, j: int, n: int) -> None:
@@ -250,22 +283,41 @@ def common_blocks(x: str, y: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def runs(text: str) -> set[str]:
-    """Runs of GRAM jamo of the letters of a text."""
-    j = _jamo(letters(text))
-    return {j[i : i + GRAM] for i in range(max(1, len(j) - GRAM + 1))}
+def _runs(jamo: str) -> list[str]:
+    return [jamo[i : i + GRAM] for i in range(max(1, len(jamo) - GRAM + 1))]
+
 
+def _apart(own: list[str], other: set[str], least: int = 9) -> int:
+    """Jamo that lie in no run of the other text, in stretches of at least `least`."""
+    total = 0
+    for m in _STRETCH.finditer("".join(["1" if x in other else "0" for x in own])):
+        n = m.end() - m.start() - GRAM + 1
+        if m.start() == 0 or m.end() == len(own):
+            n += GRAM - 1
+        if n >= least:
+            total += n
+    return total
 
-def may_be_same(numbers_a: Counter[str], numbers_b: Counter[str], runs_a: set[str], runs_b: set[str]) -> bool:
-    """What the comparison asks for first, from what is known of each text: numbers agree, and the shorter text shares runs."""
-    if numbers_a != numbers_b and (numbers_a - numbers_b) and (numbers_b - numbers_a):
+
+_STRETCH = re.compile("0+")
+
+
+def may_be_same(a: Known, b: Known) -> bool:
+    """What the comparison asks for first: numbers agree, the shorter text shares runs, and it is not the case that both
+    texts have long stretches that the other lacks."""
+    if a.numbers != b.numbers and (a.numbers - b.numbers) and (b.numbers - a.numbers):
         return False
-    return len(runs_a & runs_b) >= GRAM_SHARE * min(len(runs_a), len(runs_b))
+    if not a.jamo or not b.jamo:
+        return False
+    ra, rb = set(a.runs), set(b.runs)
+    if len(ra & rb) < GRAM_SHARE * min(len(ra), len(rb)):
+        return False
+    return min(_apart(a.runs, rb), _apart(b.runs, ra)) <= APART_SHARE * max(len(a.jamo), len(b.jamo))
 
 
 def _held(part: str, other: str, other_runs: set[str]) -> bool:
     """Whether a text holds a part elsewhere, small slips aside."""
-    own = {part[i : i + GRAM] for i in range(max(1, len(part) - GRAM + 1))}
+    own = set(_runs(part))
     return part in other or len(part) >= 12 and len(own & other_runs) >= 0.8 * len(own)
 
 
@@ -292,22 +344,17 @@ def _replacements(regions: list[Region], between: int = 6) -> list[Region]:
     return out
 
 
-def compare(a: list[str], b: list[str]) -> tuple[bool, list[list[str]]]:
+def compare(a: Known, b: Known) -> tuple[bool, list[list[str]]]:
     """(may be the same exchange, substitutions): of each region where words stand for other words, those of the one side
-    and those of the other; the pair is the same exchange if all words of one of the sides are usual. Texts are composed."""
-    ja, words_a, owner_a = _words_of(" ".join(a))
-    jb, words_b, owner_b = _words_of(" ".join(b))
+    and those of the other; the pair is the same exchange if all words of one of the sides are usual."""
     none: tuple[bool, list[list[str]]] = (False, [])
-    if not ja or not jb:
-        return none
-    na, nb = _numbers(" ".join(a)), _numbers(" ".join(b))
-    runs_a, runs_b = runs(" ".join(a)), runs(" ".join(b))
-    if not may_be_same(na, nb, runs_a, runs_b):
+    if not may_be_same(a, b):
         return none
+    ja, jb, na, nb = a.jamo, b.jamo, a.numbers, b.numbers
     #: The task and the answer, where both records have them in the same field.
     for k, least in ((0, 0.6), (2, 0.55)):
-        x, y = letters(a[k]), letters(b[k])
-        if x and y and letters(a[1]) + letters(a[2 - k]) and letters(b[1]) + letters(b[2 - k]):
+        x, y = letters(a.fields[k]), letters(b.fields[k])
+        if x and y and letters(a.fields[1] + a.fields[2 - k]) and letters(b.fields[1] + b.fields[2 - k]):
             if k == 2 and min(len(x), len(y)) <= 12:
                 jx, jy = _jamo(x), _jamo(y)
                 if not (jx in jy or jy in jx or _alike(x, y) >= 0.75):
@@ -316,15 +363,16 @@ def compare(a: list[str], b: list[str]) -> tuple[bool, list[list[str]]]:
                 grams_x, grams_y = set(_grams(x)), set(_grams(y))
                 jx, jy = _jamo(x), _jamo(y)
                 if len(grams_x & grams_y) < least * max(1, min(len(grams_x), len(grams_y))) and not (x in jb or jx in jb):
-                    if sum(n for _, _, n in common_blocks(x, y) if n >= 2) < least * max(1, min(len(jx), len(jy))):
+                    if sum(n for _, _, n in common_blocks(x, y, _jamo_begins(x), _jamo_begins(y), jx, jy) if n >= 2) < least * max(1, min(len(jx), len(jy))):
                         return none
     #: Regions that differ lie between blocks of at least three jamo.
-    edges = [(0, 0, 0), *(z for z in common_blocks("".join(words_a), "".join(words_b)) if z[2] >= 3), (len(ja), len(jb), 0)]
+    edges = [(0, 0, 0), *(z for z in common_blocks(a.text, b.text, a.at, b.at, ja, jb) if z[2] >= 3), (len(ja), len(jb), 0)]
     regions = [(i + n, k, j + n, m) for (i, j, n), (k, m, _) in zip(edges, edges[1:], strict=False) if k > i + n or m > j + n]
     regions = _replacements(regions)
     only_a = [(r[0], r[1]) for r in regions if _one_sided(r) == "a"]
     only_b = [(r[2], r[3]) for r in regions if _one_sided(r) == "b"]
     #: Moved passages: what one side lacks here it has elsewhere, small slips aside.
+    runs_a, runs_b = set(a.runs), set(b.runs)
     more_a = [x for x in only_a if not _held(ja[x[0] : x[1]], jb, runs_b)]
     more_b = [x for x in only_b if not _held(jb[x[0] : x[1]], ja, runs_a)]
     lacking_a, lacking_b = (sum(hi - lo for lo, hi in x) for x in (more_a, more_b))
@@ -337,8 +385,8 @@ def compare(a: list[str], b: list[str]) -> tuple[bool, list[list[str]]]:
     subs, mass = [], min(lacking_a, lacking_b)
     uneven_a = [*more_a, *((r[0], r[1]) for r in regions if r[1] - r[0] > 2 * (r[3] - r[2]) > 4)]
     uneven_b = [*more_b, *((r[2], r[3]) for r in regions if r[3] - r[2] > 2 * (r[1] - r[0]) > 4)]
-    lone_a = lambda spans: sorted({w for w in {words_a[k] for lo, hi in spans for k in owner_a[lo:hi]} if not _stem_in(w, jb)})
-    lone_b = lambda spans: sorted({w for w in {words_b[k] for lo, hi in spans for k in owner_b[lo:hi]} if not _stem_in(w, ja)})
+    lone_a = lambda spans: sorted({w for w in {a.words[k] for lo, hi in spans for k in a.owner[lo:hi]} if not _stem_in(w, jb)})
+    lone_b = lambda spans: sorted({w for w in {b.words[k] for lo, hi in spans for k in b.owner[lo:hi]} if not _stem_in(w, ja)})
     subs += [lone_a(uneven_a), lone_b(uneven_b)]
     for i1, i2, j1, j2 in regions:
         u, v = ja[i1:i2], jb[j1:j2]
@@ -388,24 +436,20 @@ def exchange_classes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, subs = [], []
-            #: What is known of a text is kept for the pairs that follow, up to a bound of letters.
-            known: dict[tuple[str | None, ...], tuple[list[str], Counter[str], set[str]]] = {}
+            #: What is known of a text is kept for the pairs that follow, up to a bound of characters.
+            known: dict[tuple[str | None, ...], Known] = {}
             held = 0
             for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)):
                 sides = []
                 for key in (x[:3], x[3:]):
                     if (own := known.get(key)) is None:
-                        t = [composed(f) for f in key]
-                        whole = " ".join(t)
-                        own = known[key] = (t, _numbers(whole), runs(whole))
-                        held += len(whole)
+                        own = known[key] = Known([composed(f) for f in key])
+                        held += own.size
                     sides.append(own)
-                (a, na, ra), (b, nb, rb) = sides
-                if may_be_same(na, nb, ra, rb):
-                    ok, words = compare(a, b)
-                    if ok:
-                        kept.append(i)
-                        subs.append(words)
+                ok, words = compare(*sides)
+                if ok:
+                    kept.append(i)
+                    subs.append(words)
                 if held > 200_000:
                     known.clear()
                     held = 0

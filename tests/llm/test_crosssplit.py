@@ -67,7 +67,7 @@ def test_brute_force_finds_no_more(spark):
     """All pairs of a small table are compared directly; chunks must lose none that the comparison accepts."""
     base = noise_rows(25)
     rows = base + [(1000 + r[0], "test", *r[2:]) for r in base[:8]] + [(2000 + r[0], "validation", r[2], None, r[4].replace("함께", "더불어")) for r in base[8:16]]
-    texts = {r[0]: [cs.composed(t) for t in r[2:5]] for r in rows}
+    texts = {r[0]: cs.Known([cs.composed(t) for t in r[2:5]]) for r in rows}
     split = {r[0]: r[1] for r in rows}
     direct = set()
     for e in texts:
@@ -91,7 +91,7 @@ def test_short_edited_records_of_a_large_group(spark):
     names = [w() for _ in range(150)]
     text = lambda name, usual: ["도서관의 하얀 창문을 천천히 소개해 주세요.", "", f"조용한 마을의 {name} {usual} 낡은 자전거를 고쳤습니다. 저녁에는 모두 돌아갔습니다."]
     rows = [(i, "train", *text(n, "함께")) for i, n in enumerate(names)] + [(1000 + i, "test", *text(n, "더불어")) for i, n in enumerate(names[:40])] + noise_rows(100)
-    mates = {(i, 1000 + i) for i in range(40) if cs.compare(*([cs.composed(t) for t in text(names[i], u)] for u in ("더불어", "함께")))[0]}
+    mates = {(i, 1000 + i) for i in range(40) if cs.compare(*(cs.Known([cs.composed(t) for t in text(names[i], u)]) for u in ("더불어", "함께")))[0]}
     assert len(mates) == 40
     assert len(mates & found(spark, rows)) >= 38
 
