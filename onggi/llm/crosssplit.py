@@ -45,9 +45,9 @@ THRESHOLD, PREFIX, WHOLE, RARITY_POWER = 0.4, 0.8, 0.5, 3.0
 #: The overlap fraction from which a pair is checked on its texts whatever the rarity of what it shares.
 LEAST = 0.3
 #: Records of one exchange share this part of the jamo runs of the shorter one; the comparison asks for it first.
-GRAM, GRAM_SHARE = 4, 0.35
+GRAM, GRAM_SHARE = 4, 0.4
 #: Stretches that both sides lack may make up this part of the longer one.
-APART_SHARE = 0.35
+APART_SHARE = 0.3
 #: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
 HOT = 20_000
 
@@ -206,7 +206,7 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     pairs = materialize(shared.where(by_weight | by_length).select("e_id", "r_id"), "split-bounded")
     #: The exact sums over all chunks that a pair shares. Only digests go along, no texts.
     lists = e_chunks.groupBy("e_id").agg(F.collect_list(F.struct("d", "n", "w")).alias("own"))
-    there = per_class.where("r_id IS NOT NULL").select("r_id", F.col("digests").alias("there"))
+    there = rows.where("train").select(F.col("id").alias("r_id"), F.col("digests").alias("there"))
     both = pairs.join(lists, "e_id").join(there, "r_id").withColumn("common", F.filter("own", lambda c: F.array_contains("there", c["d"])))
     add = lambda c, f: F.aggregate(c, F.lit(0.0), lambda x, y: x + y[f])
     both = both.select("e_id", "r_id", (add("common", "n") / add("own", "n")).alias("overlap"), (add("common", "w") >= threshold * add("own", "w") - 1e-9).alias("heavy"))
@@ -459,7 +459,8 @@ def exchange_classes(
     checked = materialize(both.mapInArrow(run, f"e_id {id_type}, r_id {id_type}, overlap double, subs array<array<string>>"), "split-checked")
     #: How many records hold each word that stands for another one; only those words are counted.
     words = materialize(checked.select(F.explode(F.flatten("subs")).alias("w")).distinct(), "split-words")
-    tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *[df[f] for f in fields])), r"[^\p{L}\p{N}]+"))
+    #: White space and the usual marks part words here; that is enough to tell how usual a word is.
+    tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *[df[f] for f in fields])), r"""[\s.,!?:;()\[\]"'`“”‘’。、！？「」~*#/|-]+"""))
     counts = df.select(F.explode(tokens).alias("w")).join(words, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
