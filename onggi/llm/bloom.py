@@ -19,14 +19,27 @@ def bits_for(n: int) -> int:
 
 
 def build(hashes: DataFrame, column: str = "h", bits: int | None = None) -> np.ndarray:
-    """The filter's bytes. Bits are combined by word on the executors; the driver gets at most one row per word of 64 bits."""
+    """The filter of a column of hashes."""
     bits = bits or bits_for(hashes.count())
     mask = bits - 1
     both = hashes.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 34).bitwiseAND(F.lit(mask)))).alias("b"))
-    words = both.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    return combined(both.select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v")), bits)
+
+
+def words(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a filter that some hashes set, and their bits."""
+    mask = np.uint64(bits - 1)
+    at = np.unique(np.concatenate((h & mask, (h >> np.uint64(34)) & mask)))
+    w, first = np.unique(at >> np.uint64(6), return_index=True)
+    return w.astype(np.int32), np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+
+
+def combined(table: DataFrame, bits: int) -> np.ndarray:
+    """The filter's bytes of (w, v). Words are combined on the executors; the driver gets at most one row per word of 64 bits."""
+    rows = table.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    if len(words):
-        out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    if len(rows):
+        out[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
     return out.view(np.uint8)
 
 
