@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from onggi.functions.hangul import let
 from onggi.functions.text import strip
-from onggi.operators.noise import once
+from onggi.operators.noise import BENCH_NOISES, bench_variants, once
 
 # The keys under which records hold a question, choices and an answer, in the order in which they count.
 QUESTION_KEYS = ("question", "query", "input", "premise", "sentence", "context", "paragraph", "passage")
@@ -52,8 +52,9 @@ def _python_text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def extract_items(raw: DataFrame, record: str = "record", task: str = "task", subset: str = "subset", index: str = "idx", source: str = "source") -> DataFrame:
-    """(id, task, subset, question, choices, answer, source) of raw JSON records; unusable records are left out.
+def extract_items(raw: DataFrame, record: str = "record", task: str = "task", subset: str = "subset", index: str = "idx", source: str = "source", with_index: bool = False) -> DataFrame:
+    """(id, task, subset, question, choices, answer, source) of raw JSON records, with `idx` if asked; unusable records are
+    left out.
 
     One pass of expressions over a variant: no schema is inferred, no record is parsed twice."""
     v = F.parse_json(F.col(record))
@@ -83,7 +84,31 @@ def extract_items(raw: DataFrame, record: str = "record", task: str = "task", su
         {"choices": F.when(is_named, F.col("__all")).otherwise(F.transform("__all", strip)), "id": F.coalesce(get("id"), F.concat_ws("-", F.col("subset"), F.col("idx").cast("string")))}
     )
     usable = F.col("answer").isNotNull() & (is_named | (F.col("question") != "")) & F.col("choices").isNotNull()
-    return rows.where(usable).select(*ID_FIELDS)
+    return rows.where(usable).select(*(["idx"] if with_index else []), *ID_FIELDS)
+
+
+def usable_items(raw: DataFrame, record: str = "record", task: str = "task", subset: str = "subset", index: str = "idx", source: str = "source") -> DataFrame:
+    """extract_items with `idx`; the records of a task whose first one is an item already are taken as they are.
+
+    Whether they are is told per task from its first record (one row per task)."""
+    v = F.try_parse_json(F.col(record))
+    has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+    done = has("question") & has("choices") & has("answer") & has("task")
+    first = raw.groupBy(F.col(task).alias("__task")).agg(F.min_by(done, F.col(index)).alias("__done"))
+    marked = raw.join(F.broadcast(first), F.col(task).eqNullSafe(F.col("__task"))).drop("__task")
+    ready = marked.where("__done").select(F.col(index).alias("idx"), F.col(task).alias("file_task"), v.alias("v"))
+    get = lambda k, kind="string": F.try_variant_get("v", f"$.{k}", kind)
+    ready = ready.select("idx", get("id").alias("id"), get("task").alias("task"), get("subset").alias("subset"), get("question").alias("question"), get("choices", "array<string>").alias("choices"), get("answer", "int").alias("answer"), get("source").alias("source"), "file_task")
+    parsed = extract_items(marked.where(~F.col("__done")), record, task, subset, index, source, with_index=True)
+    return parsed.withColumn("file_task", F.col("task")).unionByName(ready)
+
+
+def benchmark_chain(raw: DataFrame, noise_types: Sequence[str] = BENCH_NOISES, most: int | None = 2000, **settings: object) -> DataFrame:
+    """Raw records to variants: parse (or take as they are), keep the first of equal items in file order, at most `most`
+    items per task in that order, and each of these once per noise type."""
+    items = first_of_duplicates(usable_items(raw), ("file_task", "idx", "id"), ("file_task", "question", "choices", "answer"))
+    kept = limited(items, "idx", most, "rows", by=("file_task",))
+    return bench_variants(kept.drop("idx", "file_task"), noise_types, **settings)  # type: ignore[arg-type]
 
 
 def first_of_duplicates(items: DataFrame, order: Sequence[str] = ("id",), keys: Sequence[str] = ("question", "choices", "answer")) -> DataFrame:
@@ -105,7 +130,8 @@ def best_choice(scores: Column) -> Column:
 def limited(df: DataFrame, order: str, most: int | None, rule: str = "rows", keep: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Row limits of the record formats: `index` counts positions, `rows` rows that exist, `kept` rows that pass `keep`.
 
-    With `by` each group is limited; the rows of a group above the limit are filtered while they are ranked."""
+    With `by` each group is limited: ranks are bounded by the limit, so every task keeps at most `most` rows of a group
+    before they are shuffled and ranked."""
     if rule == "index":
         out = df if most is None else df.where(F.col(order) < most)
         return out if keep is None else out.where(keep)

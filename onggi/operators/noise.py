@@ -236,6 +236,16 @@ def bench_variants(items: DataFrame, noise_types: Sequence[str] = BENCH_NOISES,
     return rows.withColumns(new)
 
 
+def corrupt_records(df: DataFrame, fields: Sequence[str], noise_types: Sequence[str] = BENCH_NOISES, p: float = 0.12, seed: int = 42) -> DataFrame:
+    """bench_variants over the text fields that the records have; other fields, and choices, stay as they are.
+
+    Records need an id and a task; a missing task counts as empty."""
+    present = [f for f in fields if f in df.columns and df.schema[f].dataType.simpleString() == "string"]
+    rows = df if "task" in df.columns else df.withColumn("task", F.lit(""))
+    out = bench_variants(rows, noise_types, p, seed, text_fields=present)
+    return out if "task" in df.columns else out.drop("task")
+
+
 def _count_hits(ratio: float) -> Callable[[Column], Column]:
     return lambda x: F.size(F.filter(x["a"], lambda c, i: is_syllable(c) & (draws.draw(x["b"], i, 0) < draws.below(ratio)))).cast("bigint")
 

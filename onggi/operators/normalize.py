@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from onggi.functions.hangul import FINALS, INITIALS, VOWELS, compose_text
 
@@ -62,28 +65,76 @@ def normalize_compatibility(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def normalize_nested(df: DataFrame, protected: frozenset[str] = PROTECTED_FIELDS) -> DataFrame:
-    """Compose separate jamo in every string at any depth, but for protected keys: one expression from the schema."""
+    """compatibility_text of every string at any depth, but for protected keys (with all below them).
 
-    def walk(c: Column, kind: DataType) -> Column:
-        if isinstance(kind, StringType):
-            return compose_text(c)
-        if isinstance(kind, ArrayType):
-            return F.transform(c, lambda x: walk(x, kind.elementType)) if _has_text(kind.elementType) else c
-        if isinstance(kind, StructType):
-            fields = [(c[f.name] if f.name in protected else walk(c[f.name], f.dataType)).alias(f.name) for f in kind]
-            return F.when(c.isNotNull(), F.struct(*fields))
-        return c
+    One pass over Arrow batches, guided by the schema: the strings of a level are one flat array each, lists and structs are
+    rebuilt around them. Map keys are field names, so a map's values are kept where the key is protected."""
+    touched = {f.name for f in df.schema if f.name not in protected and _has_text(f.dataType)}
 
-    def of(f: StructField) -> Column:
-        c = F.col(f"`{f.name}`")
-        return (c if f.name in protected or not _has_text(f.dataType) else walk(c, f.dataType)).alias(f.name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [_normalized(a, protected) if n in touched else a for n, a in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _normalized(a: pa.Array, protected: frozenset[str]) -> pa.Array:
+    kind = a.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return pa.array(list(map(compatibility_text, a.to_pylist())), kind)
+    if pa.types.is_list(kind):
+        flat = _normalized(a.flatten(), protected)
+        sizes = [0 if n is None else n for n in pc.list_value_length(a).to_pylist()]
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), flat, type=kind, mask=pc.is_null(a))
+    if pa.types.is_struct(kind):
+        parts = [x if f.name in protected else _normalized(x, protected) for f, x in zip(kind, a.flatten(), strict=True)]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pc.is_null(a))
+    if pa.types.is_map(kind):
+        rows = [None if m is None else [(k, v if k in protected or not isinstance(v, str) else compatibility_text(v)) for k, v in m] for m in a.to_pylist()]
+        return pa.array(rows, kind)
+    return a
+
+
+def normalize_json(record: str | None, protected: frozenset[str] = PROTECTED_FIELDS) -> str | None:
+    """The same for one JSON record of unknown shape; null and malformed records are null."""
+
+    def walk(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: v if k in protected else walk(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return list(map(walk, x))
+        return compatibility_text(x) if isinstance(x, str) else x
+
+    try:
+        return None if record is None else json.dumps(walk(json.loads(record)), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
+def normalize_json_records(df: DataFrame, column: str, protected: frozenset[str] = PROTECTED_FIELDS) -> DataFrame:
+    """A column of JSON records normalised, with `changed`: whether a record's content is another one now."""
+    from pyspark.sql.types import BooleanType
+
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(names.index(column)).to_pylist()
+            new = [normalize_json(x, protected) for x in old]
+            changed = [y is not None and json.loads(y) != json.loads(x) for x, y in zip(old, new, strict=True)]
+            arrays = [pa.array(new, pa.string()) if n == column else a for n, a in zip(names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(changed, pa.bool_())], names=[*names, "changed"])
 
-    return df.select(*[of(f) for f in df.schema])
+    return df.mapInArrow(run, StructType([*df.schema, StructField("changed", BooleanType())]))
 
 
 def _has_text(kind: DataType) -> bool:
     if isinstance(kind, ArrayType):
         return _has_text(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_text(kind.valueType)
     if isinstance(kind, StructType):
         return any(_has_text(f.dataType) for f in kind)
     return isinstance(kind, StringType)

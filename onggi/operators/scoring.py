@@ -47,3 +47,15 @@ def unigram_scores(df: DataFrame, key: str, text: str, counts: DataFrame, tokeni
         F.col("key").alias(key), F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("n_tokens"), F.when(enough, F.col("s")).otherwise(F.lit(float("-inf"))).alias("sum_logprob"),
         F.when(enough, F.col("s") / F.col("n")).otherwise(F.lit(float("-inf"))).alias("avg_logprob"),
     )
+
+
+def block_losses(blocks: DataFrame, counts: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(block, n_tokens, loss): the summed loss of every token of a block but its first, under smoothed unigram counts.
+
+    The first token of a block has no context and is not predicted. Tokens of a block are counted first, so the join sees
+    one row per block and distinct token; a model goes in the same place through with_scores."""
+    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    seen = blocks.select("block", F.explode(F.slice(F.col(tokens), F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))).alias("token")).groupBy("block", "token").agg(F.count(F.lit(1)).alias("m"))
+    loss = -F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("kinds") + 1))
+    known = seen.join(counts, "token", "left").crossJoin(F.broadcast(total))
+    return known.groupBy("block").agg(F.sum("m").alias("n_tokens"), F.sum(F.col("m") * loss).alias("loss"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from onggi.functions import draws, hangul, text
 from onggi.operators import mcq, metrics, noise, normalize, pack, scoring, tokens
 from onggi.plans import oracle as o
-from onggi.session import spread, table
+from onggi.plans import pipeline
+from onggi.session import scratch, spread, table
+from onggi.sources import records as sources
+from onggi.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,14 +63,14 @@ def hangul_decompose(s: SparkSession, d: str) -> DataFrame:
 @query(
     o.with_(
         [_OUT, *o.plain_stage("r", "src", f"CASE WHEN {o.SYL} THEN {o.JAMO} ELSE c END"), *o.compose_stage("c", "r")],
-        "SELECT count(*) AS n, count(*) FILTER (WHERE c.t = src.t) AS n_same, md5(string_agg(md5(c.t), '' ORDER BY k)) AS digest FROM c JOIN src USING (k)",
+        "SELECT count(*) AS n, count(*) FILTER (WHERE c.t = src.t) AS n_same, sum(('0x' || substr(md5(k || ':' || c.t), 1, 8))::BIGINT)::BIGINT AS digest FROM c JOIN src USING (k)",
     )
 )
 def hangul_compose_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Texts that come back unchanged from separate jamo."""
+    """Texts that come back unchanged from separate jamo, with a digest that does not depend on the order of the rows."""
     old = text.as_text(F.col("output"))
     rows = records(s, d).select("rec_id", old.alias("old"), hangul.compose_text(hangul.decompose_text(old)).alias("new"))
-    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_id", F.md5("new").alias("m")))), lambda x: x["m"]), ""))
+    digest = F.sum(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rec_id").cast("string"), "new")), 1, 8), 16, 10).cast("bigint"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old") == F.col("new")).alias("n_same"), digest.alias("digest"))
 
 
@@ -82,7 +85,12 @@ def compose_normalize(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "noisy_pairs").select("pair_id", new.alias("composed"), (new != text.as_text(F.col("noisy_instruction"))).alias("changed"))
 
 
-@query()
+@query(
+    o.with_(
+        [o.compatibility_table(), "a AS MATERIALIZED (SELECT id, noise_type, row_number() OVER () AS k, coalesce(question, '') AS t, question FROM mcq_items)", *o.compatibility_stage("c", "a")],
+        "SELECT id, noise_type, CASE WHEN question IS NULL THEN NULL ELSE t END AS question FROM c",
+    )
+)
 def nfkc_normalize(s: SparkSession, d: str) -> DataFrame:
     items = table(s, d, "mcq_items").select("id", "noise_type", "question")
     return normalize.normalize_compatibility(items, ["question"])
@@ -98,13 +106,34 @@ def normalize_records(s: SparkSession, d: str) -> DataFrame:
     return normalize.normalize_record(table(s, d, "mcq_items")).select("id", "noise_type", "question", "normalized")
 
 
-@query()
+@query(
+    o.with_(
+        [
+            o.compatibility_table(), "a AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM mcq_items)",
+            "x AS MATERIALIZED (SELECT r * 100 AS k, coalesce(question, '') AS t, r, 0 AS j, question IS NULL AS no FROM a UNION ALL SELECT r * 100 + j, coalesce(c, ''), r, j, c IS NULL FROM (SELECT r, unnest(choices) AS c, generate_subscripts(choices, 1) AS j FROM a))",
+            *o.compatibility_stage("n", "x"), "l AS (SELECT r, max(CASE WHEN j = 0 AND NOT no THEN t END) AS q, list(CASE WHEN no THEN NULL ELSE t END ORDER BY j) FILTER (WHERE j > 0) AS cs FROM n GROUP BY r)",
+        ],
+        "SELECT id, noise_type, q AS question, CASE WHEN len(choices) = 0 THEN choices ELSE cs END AS choices, source FROM a JOIN l USING (r)",
+    )
+)
 def normalize_nested_records(s: SparkSession, d: str) -> DataFrame:
     items = table(s, d, "mcq_items")
     nested = items.select("id", "noise_type", F.struct("question", "choices", "source").alias("body"))
     return normalize.normalize_nested(nested).select("id", "noise_type", "body.question", "body.choices", "body.source")
 
 
+@query(
+    o.with_(
+        [o.compatibility_table(), "a AS MATERIALIZED (SELECT id, row_number() OVER () AS k, coalesce(question, '') AS t, question FROM mcq_items)", *o.compatibility_stage("c", "a")],
+        "SELECT count(*) AS n_records, count(*) FILTER (WHERE question IS NOT NULL AND question <> t) AS n_changed FROM c",
+    )
+)
+def normalize_json_changes(s: SparkSession, d: str) -> DataFrame:
+    """JSON records normalised at any depth: how many there are and how many changed."""
+    raw = table(s, d, "mcq_items").select(F.to_json(F.struct("id", F.struct("question").alias("body"))).alias("record"))
+    return normalize.normalize_json_records(raw, "record").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("changed").alias("n_changed"))
+
+
 @query(
     "WITH p AS (SELECT *, CASE WHEN {b} <> '' THEN {a} || chr(10) || chr(10) || {b} ELSE {a} END AS u FROM instructions), "
     "q AS (SELECT rec_id, '<|system|>' || chr(10) || {sys} || chr(10) || '<|user|>' || chr(10) || u || chr(10) || '<|assistant|>' || chr(10) AS s, "
@@ -178,9 +207,40 @@ def bench_variants(s: SparkSession, d: str) -> DataFrame:
     return noise.bench_variants(items).select("id", "task", "noise_type", "question")
 
 
-@query()
+def _choice_base(kind: str) -> Callable[[str], str]:
+    return lambda stage: o.base_sql("'42'", "task", "id", f"'{kind}'", "'choices'", "j::VARCHAR", f"'{stage}'")
+
+
+def _choices_sql(kind: str) -> str:
+    rows, choices = ("src", "chs") if kind == "clean" else (f"r_{kind}", f"c_{kind}")
+    return f"SELECT s.id, '{kind}' AS noise_type, s.t AS question, l.cs AS choices FROM {rows} s LEFT JOIN (SELECT r, list(CASE WHEN no THEN NULL ELSE t END ORDER BY j) AS cs FROM {choices} GROUP BY r) l ON l.r = s.k"
+
+
+@query(
+    o.with_(
+        [
+            "src AS MATERIALIZED (SELECT id, task, choices, row_number() OVER () AS k, coalesce(question, '') AS t FROM mcq_items WHERE noise_type IS NULL OR noise_type = 'clean')",
+            "chs AS MATERIALIZED (SELECT id, task, k AS r, k * 100 + j AS k, j - 1 AS j, coalesce(c, '') AS t, c IS NULL AS no FROM (SELECT id, task, k, unnest(choices) AS c, generate_subscripts(choices, 1) AS j FROM src))",
+            *[c for kind in noise.BENCH_NOISES[1:] for c in o.bench_noise(f"r_{kind}", "src", kind, _bench_base(kind, "question")) + o.bench_noise(f"c_{kind}", "chs", kind, _choice_base(kind))],
+        ],
+        " UNION ALL ".join(map(_choices_sql, noise.BENCH_NOISES)),
+    )
+)
 def bench_variants_with_choices(s: SparkSession, d: str) -> DataFrame:
-    return noise.bench_variants(clean_items(s, d), corrupt_choices=True).select("id", "noise_type", "question", "choices")
+    items = clean_items(s, d).withColumn("question", text.as_text(F.col("question")))
+    return noise.bench_variants(items, corrupt_choices=True).select("id", "noise_type", "question", "choices")
+
+
+@query(
+    o.with_(
+        [_ITEMS.replace("SELECT id, task,", "SELECT id, task, source,"), *[c for kind in noise.BENCH_NOISES[1:] for c in o.bench_noise(f"r_{kind}", "src", kind, _bench_base(kind, "context"))]],
+        "SELECT id, 'clean' AS noise_type, source, t AS context FROM src " + " ".join(f"UNION ALL SELECT id, '{kind}', source, t FROM r_{kind}" for kind in noise.BENCH_NOISES[1:]),
+    )
+)
+def corrupt_existing_fields(s: SparkSession, d: str) -> DataFrame:
+    """Records that have one of the seven text fields only: that one is corrupted, whatever else they hold stays."""
+    rows = clean_items(s, d).select("id", "task", "source", text.as_text(F.col("question")).alias("context"))
+    return noise.corrupt_records(rows, normalize.TEXT_FIELDS).select("id", "noise_type", "source", "context")
 
 
 _PAIR_SRC = (
@@ -276,7 +336,15 @@ def jamo_substitute_clean_copy(s: SparkSession, d: str) -> DataFrame:
     return noise.substitute_jamo(records(s, d), clean_copies=True).select("rec_id", "copy", "instruction", "jamo_substitution")
 
 
-@query()
+@query(
+    o.with_(
+        [
+            "src AS (SELECT rec_id::VARCHAR AS k, coalesce(instruction, '') AS t FROM instructions)", "srd AS (SELECT rec_id::VARCHAR AS k, coalesce(input, '') AS t FROM instructions)",
+            *o.jamo_stage("a", "src", _pair_base("instruction")("jamo"), 0.10), *o.jamo_stage("b", "srd", _pair_base("input")("jamo"), 0.10), *o.compose_stage("ca", "a"), *o.compose_stage("cb", "b"),
+        ],
+        "SELECT (SELECT round(avg((ca.t = src.t)::INT), 6) FROM ca JOIN src USING (k)) AS instruction_rate, (SELECT round(avg((cb.t = srd.t)::INT), 6) FROM cb JOIN srd USING (k)) AS input_rate",
+    )
+)
 def normalize_roundtrip_rate(s: SparkSession, d: str) -> DataFrame:
     """Per field: texts that composition brings back after jamo noise."""
     rows = noise.substitute_jamo(records(s, d), clean_fields=True)
@@ -307,6 +375,68 @@ def mcq_extract(s: SparkSession, d: str) -> DataFrame:
     return mcq.extract_items(raw_mcq(s, d))
 
 
+_NAMED = ("boolq", "copa", "hellaswag", "sentineg", "wic")
+
+
+def raw_named(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as records of the five named subsets; every seventh has no id."""
+    items = clean_items(s, d)
+    c = lambda i: F.get("choices", F.lit(i))
+    kind = F.pmod(F.length("id"), F.lit(5))
+    own = F.when(F.pmod(F.length("id"), F.lit(7)) != 0, F.col("id")).alias("id")
+    shapes = [
+        F.struct(own, F.col("question").alias("paragraph"), c(0).alias("question"), (F.col("answer") % 2).alias("label")),
+        F.struct(own, F.col("question").alias("premise"), c(1).alias("question"), c(0).alias("alternative_1"), c(1).alias("alternative_2"), (F.col("answer") % 2).alias("label")),
+        F.struct(own, F.col("question").alias("context"), *[c(i).alias(f"ending_{i + 1}") for i in range(4)], (F.col("answer") % 4).alias("label")),
+        F.struct(own, F.col("question").alias("sentence"), (F.col("answer") % 2).alias("label")),
+        F.struct(own, c(0).alias("word"), F.col("question").alias("context_1"), c(1).alias("context_2"), (F.col("answer") % 2).alias("label")),
+    ]
+    record, subset = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        record, subset = F.when(kind == k, F.to_json(shape)).otherwise(record), F.when(kind == k, F.lit(_NAMED[k])).otherwise(subset)
+    return items.select(F.lit("kobest").alias("task"), subset.alias("subset"), (F.length("id") * 1000 + F.coalesce("answer", F.lit(0))).alias("idx"), "source", record.alias("record"))
+
+
+@query(
+    "WITH m AS (SELECT *, length(id) % 5 AS kind, coalesce(question, '') AS q, coalesce(choices[1], '') AS c1, coalesce(choices[2], '') AS c2 FROM mcq_items WHERE (noise_type IS NULL OR noise_type = 'clean') AND answer IS NOT NULL), "
+    "n AS (SELECT *, ['boolq', 'copa', 'hellaswag', 'sentineg', 'wic'][kind + 1] AS sub, CASE kind WHEN 0 THEN '지문: ' || q || '질문: ' || c1 WHEN 1 THEN '전제: ' || q || '질문 유형: ' || c2 WHEN 2 THEN '문맥: ' || q || '다음에 이어질 가장 자연스러운 문장은?' "
+    "WHEN 3 THEN '문장: ' || q || '이 문장의 감성은?' ELSE '단어: ' || c1 || '문맥 1: ' || q || '문맥 2: ' || c2 || '두 문맥에서 단어 의미가 같은가?' END AS t FROM m) "
+    f"SELECT CASE WHEN length(id) % 7 <> 0 THEN id ELSE sub || '-' || (length(id) * 1000 + answer) END AS id, 'kobest' AS task, sub AS subset, {o.strip_sql('t')} AS question, "
+    "CASE kind WHEN 0 THEN ['아니오', '예'] WHEN 1 THEN [c1, c2] WHEN 2 THEN [c1, c2, coalesce(choices[3], ''), coalesce(choices[4], '')] WHEN 3 THEN ['부정', '긍정'] ELSE ['다르다', '같다'] END AS choices, "
+    "(answer % CASE WHEN kind = 2 THEN 4 ELSE 2 END)::INT AS answer, source FROM n"
+)
+def mcq_extract_named(s: SparkSession, d: str) -> DataFrame:
+    return mcq.extract_items(raw_named(s, d))
+
+
+def raw_chain(s: SparkSession, d: str) -> DataFrame:
+    """Raw records of one task beside a task whose records are items already, with their positions."""
+    from pyspark.sql import Window
+
+    items = clean_items(s, d).select("id", "subset", "question", "choices", "answer", "source").where("answer IS NOT NULL AND length(question) > 0 AND size(choices) >= 2")
+    rows = items.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("id"))))
+    ready = F.to_json(F.struct("id", F.lit("ready").alias("task"), "subset", "question", "choices", "answer", "source"))
+    raw = F.to_json(F.struct("id", F.col("question").alias("query"), F.col("choices").alias("options"), F.col("answer").alias("gold")))
+    out = rows.select(F.lit("raw").alias("task"), "subset", "idx", "source", raw.alias("record"))
+    return out.unionByName(rows.select(F.lit("ready").alias("task"), F.lit("none").alias("subset"), "idx", F.lit("none").alias("source"), ready.alias("record")))
+
+
+def _chain_sql() -> str:
+    base = "it AS (SELECT *, row_number() OVER (ORDER BY id DESC) AS idx FROM mcq_items WHERE (noise_type IS NULL OR noise_type = 'clean') AND answer IS NOT NULL AND length(question) > 0 AND len(choices) >= 2)"
+    both = f"ex AS (SELECT id, 'raw' AS task, subset, {o.strip_sql('question')} AS question, list_transform(choices, lambda c: {o.strip_sql('c')}) AS choices, answer, source, idx FROM it WHERE {o.strip_sql('question')} <> '' UNION ALL SELECT id, 'ready', subset, question, choices, answer, source, idx FROM it)"
+    first = "fi AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY task, question, choices, answer ORDER BY idx) = 1)"
+    most = "src AS MATERIALIZED (SELECT id, task, subset, question AS t, row_number() OVER () AS k FROM (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY task ORDER BY idx) <= 2000))"
+    kinds = noise.BENCH_NOISES[1:]
+    parts = "SELECT id, task, subset, 'clean' AS noise_type, t AS question FROM src " + " ".join(f"UNION ALL SELECT id, task, subset, '{k}', t FROM r_{k}" for k in kinds)
+    return o.with_([base, both, first, most, *[c for k in kinds for c in o.bench_noise(f"r_{k}", "src", k, _bench_base(k, "question"))]], parts)
+
+
+@query(_chain_sql())
+def benchmark_chain(s: SparkSession, d: str) -> DataFrame:
+    """From raw records to variants, with the limits of production."""
+    return mcq.benchmark_chain(raw_chain(s, d)).select("id", "task", "subset", "noise_type", "question")
+
+
 _ANSWERS = "(VALUES ('0'), ('1'), ('2'), ('4'), ('5'), ('9'), ('A'), ('b'), ('E'), ('x'), (' 3 '), ('')) v(a)"
 
 
@@ -470,10 +600,10 @@ def jamo_labels_sft(s: SparkSession, d: str) -> DataFrame:
     "WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS ts FROM documents), "
     "o AS (SELECT doc_id, ts, sum(len(ts) + 1) OVER (ORDER BY doc_id) - len(ts) - 1 AS off FROM l WHERE len(ts) > 0), "
     "p AS (SELECT off + unnest(range(len(ts) + 1)) AS g, unnest(list_append(ts, '</s>')) AS token FROM o), "
-    "b AS (SELECT (g // 128)::BIGINT AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY g)) AS digest FROM p GROUP BY 1) SELECT block, n, digest FROM b WHERE n >= 16"
+    "b AS (SELECT (g // 2048)::BIGINT AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY g)) AS digest FROM p GROUP BY 1) SELECT block, n, digest FROM b WHERE n >= 16"
 )
 def pack_blocks(s: SparkSession, d: str) -> DataFrame:
-    blocks = pack.pack_blocks(table(s, d, "documents"), "doc_id", tokens.word_tokens(F.col("text")), "</s>", 128, 16)
+    blocks = pack.pack_blocks(table(s, d, "documents"), "doc_id", tokens.word_tokens(F.col("text")), "</s>")
     return blocks.select("block", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -494,25 +624,25 @@ def _sft_sql(source: str, key: str, max_length: int, a: str, b: str) -> list[str
 
 @query(
     o.with_(
-        _sft_sql("instructions", "rec_id", 256, "instruction", "input"),
+        _sft_sql("instructions", "rec_id", 1024, "instruction", "input"),
         "SELECT k AS rec_id, skip_reason, CASE WHEN skip_reason IS NULL THEN list_transform(string_split(t, ''), lambda c: unicode(c)::INT) END AS input_ids, "
         "CASE WHEN skip_reason IS NULL THEN list_transform(string_split(t, ''), lambda c, i: CASE WHEN i <= plen THEN -100 ELSE unicode(c)::INT END) END AS labels FROM x",
     )
 )
 def sft_items(s: SparkSession, d: str) -> DataFrame:
-    return pack.sft_examples(records(s, d), eos="</s>", max_length=256).select("rec_id", "skip_reason", "input_ids", "labels")
+    return pack.sft_examples(records(s, d), eos="</s>", max_length=1024).select("rec_id", "skip_reason", "input_ids", "labels")
 
 
-@query(o.with_(_sft_sql("instructions", "rec_id", 128, "instruction", "input"), "SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n FROM x GROUP BY 1"))
+@query(o.with_(_sft_sql("instructions", "rec_id", 1024, "instruction", "input"), "SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n FROM x GROUP BY 1"))
 def sft_skip_reasons(s: SparkSession, d: str) -> DataFrame:
-    return pack.skip_counts(pack.sft_examples(records(s, d), eos="</s>", max_length=128))
+    return pack.skip_counts(pack.sft_examples(records(s, d), eos="</s>", max_length=1024))
 
 
 @query(
     o.with_(
         [
-            *_sft_sql("noisy_pairs", "pair_id", 256, "coalesce(clean_instruction, instruction)", "coalesce(clean_input, input)"),
-            *[c.replace("n AS (", "n2 AS (", 1).replace("q AS (", "q2 AS (", 1).replace("x AS (", "x2 AS (", 1).replace("FROM n)", "FROM n2)").replace("FROM q)", "FROM q2)") for c in _sft_sql("noisy_pairs", "pair_id", 256, "noisy_instruction", "noisy_input")],
+            *_sft_sql("noisy_pairs", "pair_id", 1024, "coalesce(clean_instruction, instruction)", "coalesce(clean_input, input)"),
+            *[c.replace("n AS (", "n2 AS (", 1).replace("q AS (", "q2 AS (", 1).replace("x AS (", "x2 AS (", 1).replace("FROM n)", "FROM n2)").replace("FROM q)", "FROM q2)") for c in _sft_sql("noisy_pairs", "pair_id", 1024, "noisy_instruction", "noisy_input")],
         ],
         "SELECT x.k AS pair_id, coalesce(noise_type, 'unknown') AS noise_type, CASE WHEN x.skip_reason = 'empty' THEN 'empty' WHEN x2.skip_reason = 'empty' THEN 'missing_pair' "
         "WHEN x.skip_reason IS NOT NULL OR x2.skip_reason IS NOT NULL THEN 'encoding' END AS skip_reason, CASE WHEN x.skip_reason IS NULL THEN length(x.t) END AS clean_n, CASE WHEN x2.skip_reason IS NULL THEN length(x2.t) END AS noisy_n "
@@ -520,24 +650,24 @@ def sft_skip_reasons(s: SparkSession, d: str) -> DataFrame:
     )
 )
 def paired_sft(s: SparkSession, d: str) -> DataFrame:
-    rows = pack.paired_examples(spread(table(s, d, "noisy_pairs")), eos="</s>", max_length=256)
+    rows = pack.paired_examples(spread(table(s, d, "noisy_pairs")), eos="</s>", max_length=1024)
     return rows.select("pair_id", "noise_type", "skip_reason", F.when(F.col("clean_input_ids").isNotNull(), F.size("clean_input_ids").cast("bigint")).alias("clean_n"), F.when(F.col("noisy_input_ids").isNotNull(), F.size("noisy_input_ids").cast("bigint")).alias("noisy_n"))
 
 
 @query(
     o.with_(
-        _sft_sql("instructions", "rec_id", 256, "instruction", "input"),
+        _sft_sql("instructions", "rec_id", 1024, "instruction", "input"),
         "SELECT k AS rec_id, CASE WHEN skip_reason IS NULL THEN length(t) - greatest(plen, 1) END AS n_supervised FROM x WHERE skip_reason IS NULL",
     )
 )
 def supervised_tokens(s: SparkSession, d: str) -> DataFrame:
-    rows = pack.sft_examples(records(s, d), eos="</s>", max_length=256).where("skip_reason IS NULL")
+    rows = pack.sft_examples(records(s, d), eos="</s>", max_length=1024).where("skip_reason IS NULL")
     return rows.select("rec_id", metrics.supervised_tokens(F.col("labels")).alias("n_supervised"))
 
 
 @query(
     o.with_(
-        _sft_sql("noisy_pairs", "pair_id", 256, "noisy_instruction", "noisy_input"),
+        _sft_sql("noisy_pairs", "pair_id", 1024, "noisy_instruction", "noisy_input"),
         "SELECT pair_id, pos, input_id, label FROM (SELECT k AS pair_id, unnest(range(20)) AS pos, t, plen FROM x WHERE skip_reason IS NULL), "
         "LATERAL (SELECT unicode(substr(t, pos::INT + 1, 1)) AS input_id, CASE WHEN pos < plen THEN -100 ELSE unicode(substr(t, pos::INT + 1, 1)) END AS label) WHERE pos < length(t)",
     )
@@ -545,11 +675,65 @@ def supervised_tokens(s: SparkSession, d: str) -> DataFrame:
 def alignment_rows(s: SparkSession, d: str) -> DataFrame:
     """The first 20 positions of every noisy example, for inspection."""
     noisy = spread(table(s, d, "noisy_pairs"))
-    rows = pack.sft_examples(noisy, "pair_id", eos="</s>", max_length=256, fields=("noisy_instruction", "noisy_input", "output")).where("skip_reason IS NULL")
+    rows = pack.sft_examples(noisy, "pair_id", eos="</s>", max_length=1024, fields=("noisy_instruction", "noisy_input", "output")).where("skip_reason IS NULL")
     out = pack.aligned_tokens(rows, "pair_id", 20, input_id=F.col("input_ids"), label=F.col("labels"))
     return out.select("pair_id", F.col("pos").cast("bigint").alias("pos"), "input_id", "label")
 
 
+def _char_labels(s: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    """(token_id, cho, jung, jong) of the distinct ids, under the vocabulary of the outputs' characters."""
+    texts = tokens.token_texts(ids, tokens.code_point_texts)
+    vocab = tokens.vocabulary(tokens.distinct_tokens(records(s, d), "output", tokens.character_tokens))
+    return tokens.jamo_labels(texts, tokens.label_ids(vocab), "cpt").join(texts, "token").select("token_id", "cho", "jung", "jong")
+
+
+def _char_label_sql() -> list[str]:
+    ctes = ["oc AS (SELECT DISTINCT unnest(string_split(output, '')) AS c FROM instructions)", f"os AS (SELECT {o.PARTS} FROM oc WHERE {o.SYL})"]
+    part = {"CHO": f"'<CHO:' || substr('{hangul.INITIALS}', ini::INT + 1, 1) || '>'", "JUNG": f"'<JUNG:' || substr('{hangul.VOWELS}', vow::INT + 1, 1) || '>'", "JONG": f"'<JONG:' || CASE WHEN fin = 0 THEN '_' ELSE substr('{''.join(hangul.FINALS)}', fin::INT, 1) END || '>'"}
+    union = " UNION ".join(f"SELECT {x} AS label FROM os" for x in part.values())
+    ctes.append(f"ids AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM ({union}))")
+    look = ", ".join(f"coalesce((SELECT id FROM ids WHERE label = {x}), -100) AS {k.lower()}" for k, x in part.items())
+    return [*ctes, f"syl AS (SELECT DISTINCT unicode(c) AS code, {o.PARTS} FROM ch WHERE {o.SYL})", f"lab AS (SELECT code, {look} FROM syl)"]
+
+
+@query(
+    o.with_(
+        [
+            *_sft_sql("instructions", "rec_id", 1024, "instruction", "input"), "ch AS (SELECT k, plen, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM x WHERE skip_reason IS NULL)", *_char_label_sql(),
+            "z AS (SELECT k, i, " + ", ".join(f"CASE WHEN i < plen THEN -100 ELSE coalesce({c}, -100) END AS {c}" for c in ("cho", "jung", "jong")) + " FROM ch LEFT JOIN lab ON code = unicode(c))",
+        ],
+        "SELECT k AS rec_id, " + ", ".join(f"md5(string_agg({c}::VARCHAR, ',' ORDER BY i)) AS {c}_md5" for c in ("cho", "jung", "jong")) + ", count(*) AS n FROM z GROUP BY k",
+    )
+)
+def sft_jamo_labels(s: SparkSession, d: str) -> DataFrame:
+    """Examples with the labels of the initial, vowel and final of each answer token."""
+    rows = pack.sft_examples(records(s, d), eos="</s>").where("skip_reason IS NULL")
+    labels = _char_labels(s, d, rows.select(F.explode("input_ids").alias("token_id")))
+    out = pack.with_jamo_labels(rows, labels, "rec_id")
+    return out.select("rec_id", *[F.md5(F.array_join(f"{c}_labels", ",")).alias(f"{c}_md5") for c in ("cho", "jung", "jong")], F.size("cho_labels").cast("bigint").alias("n"))
+
+
+@query(
+    o.with_(
+        [
+            *_sft_sql("noisy_pairs", "pair_id", 1024, "coalesce(clean_instruction, instruction)", "coalesce(clean_input, input)"),
+            *[c.replace("n AS (", "n2 AS (", 1).replace("q AS (", "q2 AS (", 1).replace("x AS (", "x2 AS (", 1).replace("FROM n)", "FROM n2)").replace("FROM q)", "FROM q2)") for c in _sft_sql("noisy_pairs", "pair_id", 1024, "noisy_instruction", "noisy_input")],
+            "b AS (SELECT x.k, length(x.t) AS cn, length(x2.t) AS nn, ((row_number() OVER (ORDER BY x.k) - 1) // 16)::BIGINT AS batch FROM x JOIN x2 ON x.k = x2.k WHERE x.skip_reason IS NULL AND x2.skip_reason IS NULL)",
+        ],
+        "SELECT k AS pair_id, batch, (ceil(max(cn) OVER (PARTITION BY batch) / 8) * 8)::BIGINT AS clean_width, (ceil(max(nn) OVER (PARTITION BY batch) / 8) * 8)::BIGINT AS noisy_width FROM b",
+    )
+)
+def paired_collate(s: SparkSession, d: str) -> DataFrame:
+    """Batches of pairs in which the clean and the noisy side have widths of their own."""
+    from pyspark.sql import Window
+
+    rows = pack.paired_examples(spread(table(s, d, "noisy_pairs")), eos="</s>").where("skip_reason IS NULL")
+    numbered = rows.select("pair_id").withColumn("pos", F.row_number().over(Window.orderBy("pair_id")).cast("bigint"))
+    out = pack.collate_pairs(rows.join(numbered, "pair_id"), "pos", 0, 16)
+    ids = numbered.select("pos", "pair_id")
+    return out.join(ids, "pos").select("pair_id", "batch", F.size("clean_input_ids").cast("bigint").alias("clean_width"), F.size("noisy_labels").cast("bigint").alias("noisy_width"))
+
+
 def _collate_sql(multiple: int) -> str:
     width = f"ceil(max(len(ids)) OVER (PARTITION BY batch) / {multiple})::INT * {multiple}"
     return (
@@ -620,6 +804,33 @@ def ppl(s: SparkSession, d: str) -> DataFrame:
     return out.select("dataset", "n_tokens", F.round("loss", 6).alias("loss"), F.round("ppl", 4).alias("ppl"))
 
 
+@query(f"WITH {_SCORED}, l AS (SELECT dataset, -sum(sc.s) / sum(sc.n) AS loss FROM d JOIN sc USING (rn) GROUP BY 1) SELECT dataset, round(exp(loss), 4) AS ppl, round(loss + 0.5 * loss * 2, 6) AS weighted FROM l")
+def loss_measures(s: SparkSession, d: str) -> DataFrame:
+    """Perplexity of a mean loss, and that loss with an auxiliary one; absent auxiliary losses count nothing."""
+    rows = scored_pairs(s, d).where("correct_tokens >= 2").withColumn("loss", -F.col("correct_sum"))
+    out = metrics.perplexity(rows, "loss", "correct_tokens", "dataset").withColumns({"aux": F.col("loss") * 2, "absent": F.lit(None).cast("double")})
+    return out.select("dataset", F.round(metrics.perplexity_of_loss(F.col("loss")), 4).alias("ppl"), F.round(metrics.weighted_loss(F.col("loss"), {"aux": 0.5, "absent": 3.0}), 6).alias("weighted"))
+
+
+@query(
+    "WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS ts FROM documents), "
+    "o AS (SELECT doc_id, ts, sum(len(ts) + 1) OVER (ORDER BY doc_id) - len(ts) - 1 AS off FROM l WHERE len(ts) > 0), "
+    "p AS (SELECT off + unnest(range(len(ts) + 1)) AS g, unnest(list_append(ts, '</s>')) AS token FROM o), "
+    "b AS (SELECT g // 2048 AS block, g % 2048 AS pos, token, count(*) OVER (PARTITION BY g // 2048) AS n FROM p), k AS (SELECT * FROM b WHERE n >= 16), "
+    "u AS (SELECT token, count(*) AS m FROM (SELECT unnest(ts) AS token FROM l) GROUP BY 1), tot AS (SELECT sum(m) AS total, count(*) AS kinds FROM u), "
+    "s AS (SELECT -ln((coalesce(m, 0) + 1) / (total + kinds + 1)) AS loss FROM k LEFT JOIN u USING (token), tot WHERE pos > 0) "
+    "SELECT (SELECT count(DISTINCT block) FROM k) AS n_blocks, count(*) AS n_tokens, round(sum(loss) / count(*), 6) AS loss, round(exp(sum(loss) / count(*)), 2) AS ppl FROM s"
+)
+def ppl_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Perplexity over packed blocks."""
+    docs = spread(table(s, d, "documents"))
+    blocks = pack.pack_blocks(docs, "doc_id", tokens.word_tokens(F.col("text")), "</s>")
+    losses = scoring.block_losses(blocks, scoring.unigram_counts(docs, "text", tokens.word_tokens))
+    whole = losses.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_tokens").alias("n"), F.sum("loss").alias("s"))
+    out = metrics.perplexity(whole, "s", "n", "n_blocks")
+    return out.select("n_blocks", "n_tokens", F.round("loss", 6).alias("loss"), F.round("ppl", 2).alias("ppl"))
+
+
 _PAIRED = (
     "r AS (SELECT id, subset, coalesce(noise_type, 'clean') AS noise, max(coalesce(gold = pred, false)::INT) AS ok FROM mcq_results GROUP BY ALL), "
     "j AS (SELECT n.subset, n.noise, c.ok AS base, n.ok AS other FROM r n JOIN r c ON c.id = n.id AND c.subset = n.subset AND c.noise = 'clean' WHERE n.noise <> 'clean'), "
@@ -648,11 +859,11 @@ def mcnemar(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {_PAIRED}, {_TERMS}, k AS (SELECT *, count(*) OVER () AS mm, row_number() OVER (ORDER BY p) AS rk FROM p), v AS (SELECT *, p * mm / rk AS v FROM k) "
-    "SELECT subset, noise, round(least(1.0, min(v) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 7) AS q FROM v"
+    "SELECT subset, noise, round(least(1.0, min(v) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 7) AS q, q < 0.05 AS significant FROM v"
 )
 def bh_fdr(s: SparkSession, d: str) -> DataFrame:
     out = metrics.false_discovery(metrics.paired_comparison(paired_results(s, d), "base", "other", "subset", "noise"))
-    return out.select("subset", "noise", F.round("q", 7).alias("q"))
+    return out.select("subset", "noise", F.round("q", 7).alias("q"), "significant")
 
 
 @query(
@@ -698,6 +909,93 @@ def source_counts(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+# --- files --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT rec_id, instruction, input, output, source FROM instructions")
+def jsonl_files(s: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines and read again, every field of every record."""
+    path = scratch(s, "jsonl")
+    sinks.write_jsonl(records(s, d).select("rec_id", "instruction", "input", "output", "source"), path)
+    rows = sources.jsonl(s, path)
+    return rows.select(sources.field(F.col("record"), "rec_id", "bigint").alias("rec_id"), *[sources.field(F.col("record"), c).alias(c) for c in ("instruction", "input", "output", "source")])
+
+
+@query("SELECT count(*) AS n, count(DISTINCT i) AS n_positions, min(i) AS first, max(i) AS last FROM (SELECT row_number() OVER (ORDER BY rec_id) - 1 AS i FROM instructions)")
+def jsonl_positions(s: SparkSession, d: str) -> DataFrame:
+    """Lines of one file are numbered from 0 without gaps, however it is split."""
+    path = scratch(s, "lines")
+    sinks.write_jsonl(table(s, d, "instructions").select("rec_id", "instruction").coalesce(1), path)
+    idx = F.col("idx").cast("bigint")
+    return sources.jsonl(s, path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(idx).alias("n_positions"), F.min(idx).alias("first"), F.max(idx).alias("last"))
+
+
+@query(
+    "SELECT id, dataset, error_type, nullif(error_sentence, '') AS error_sentence, nullif(correct_sentence, '') AS correct_sentence FROM typo_pairs"
+)
+def csv_files(s: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV and read with encoding and separator told from its first bytes; empty texts come back null."""
+    path, columns = scratch(s, "csv"), ["id", "dataset", "error_type", "error_sentence", "correct_sentence"]
+    sinks.write_csv(table(s, d, "typo_pairs"), path, columns)
+    return sources.sniffed_csv(s, sources.only_file(s, path)).select(*columns)
+
+
+@query(
+    "SELECT task, k AS noise_type, count(*) AS n_rows FROM mcq_items, (SELECT unnest(['clean', 'spacing', 'jamo', 'pronunciation', 'mixed']) AS k) WHERE noise_type IS NULL OR noise_type = 'clean' GROUP BY ALL"
+)
+def variant_files(s: SparkSession, d: str) -> DataFrame:
+    """Variants written as one folder per task and noise type; the rows that stand there."""
+    path = scratch(s, "variants")
+    sinks.write_variants(noise.bench_variants(clean_items(s, d)), path)
+    back = s.read.option("basePath", path).text(path)
+    return back.groupBy("task", "noise_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "WITH j AS (SELECT array_to_string(list_filter([coalesce(instruction, ''), coalesce(input, ''), coalesce(output, '')], lambda x: x <> ''), chr(10)) AS t FROM instructions), "
+    f"c AS (SELECT replace({o.strip_sql('t')}, chr(13) || chr(10), chr(10)) AS t FROM j WHERE {o.strip_sql('t')} <> '') "
+    f"SELECT l, count(*) AS n FROM (SELECT unnest(list_transform(regexp_split_to_array(replace(replace(t, chr(13), chr(10)), chr(65533), ''), chr(10)), lambda x: {o.strip_sql('x')})) AS l FROM c) WHERE l <> '' GROUP BY l"
+)
+def corpus_files(s: SparkSession, d: str) -> DataFrame:
+    """A corpus written as plain text and read line by line; equal lines are counted."""
+    path = scratch(s, "corpus")
+    sinks.write_corpus(records(s, d), path)
+    return sources.text_lines(s, path).groupBy(F.col("line").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT subset, count(*) AS n, avg({_RIGHT}) AS accuracy, sum({_RIGHT})::BIGINT AS n_correct FROM mcq_results WHERE subset IS NOT NULL GROUP BY subset")
+def result_files(s: SparkSession, d: str) -> DataFrame:
+    """Result files, one per subset, written and read again: their metrics and the correct examples in them."""
+    right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
+    rows = table(s, d, "mcq_results").where("subset IS NOT NULL").groupBy("subset").agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(right.cast("int")).alias("accuracy")).alias("metrics"), F.collect_list(F.struct(right.alias("correct"))).alias("examples"))
+    path = scratch(s, "results")
+    rows.select("subset", F.to_json(F.struct("metrics", "examples")).alias("value")).write.partitionBy("subset").text(path)
+    back = sources.results(s, path)
+    name = F.regexp_extract("path", "subset=([^/]+)/", 1)
+    return back.groupBy(name.alias("subset")).agg(F.max("n").cast("bigint").alias("n"), F.max("accuracy").alias("accuracy"), F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
+
+
+@query(
+    "SELECT rate, seed, 'cpt_m_lr' || replace(replace(rate, '-', 'm'), '.', '') || '_seed' || seed AS run FROM (SELECT unnest(['1e-5', '2e-5', '5.5e-6']) AS rate), (SELECT unnest([42, 43])::INT AS seed)"
+)
+def sweep_runs(s: SparkSession, d: str) -> DataFrame:
+    """The grid of a learning-rate sweep with the names of its runs."""
+    return pipeline.sweep(s, "cpt_m", ["1e-5", "2e-5", "5.5e-6"], [42, 43])
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT unnest(string_split(output, '')) AS c FROM instructions WHERE output <> '') SELECT count(*) AS n_tokens, 100000::BIGINT AS n_model_rows, count(*) = 100000 AS sizes_agree, list_sort(list_filter(['ㄱ', '쀏'], lambda x: NOT list_contains(list(c), x))) AS missing FROM v"
+)
+def vocabulary_check(s: SparkSession, d: str) -> DataFrame:
+    vocab = tokens.distinct_tokens(records(s, d), "output", tokens.character_tokens)
+    return tokens.check_vocabulary(vocab, 100_000, ("ㄱ", "쀏"))
+
+
+@query("SELECT date_trunc('day', event_time) AS day, event_type, count(*) AS n FROM (SELECT ts AS event_time, event_type FROM events) GROUP BY ALL")
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_pairs(spark, sf_dir)
 

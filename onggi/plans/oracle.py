@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from onggi.functions.hangul import FINALS, INITIALS, VOWELS
 from onggi.functions.text import WHITE
 from onggi.operators import noise as n
@@ -183,3 +185,20 @@ def plain_stage(name: str, source: str, out: str) -> list[str]:
 
 def with_(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+def compatibility_table() -> str:
+    """A CTE of the characters that the compatibility form replaces, from the Unicode tables."""
+    chars = [chr(o) for o in range(0xA0, 0x20000) if not 0xD800 <= o < 0xE000 and not 0xAC00 <= o <= 0xD7A3]
+    pairs = [(c, d) for c in chars if (d := unicodedata.normalize("NFKD", c)) != unicodedata.normalize("NFD", c)]
+    code = lambda t: "[" + ", ".join(str(ord(c)) for c in t) + "]"
+    return f"nf AS MATERIALIZED (SELECT chr(unnest({code(''.join(c for c, _ in pairs))})) AS from_c, array_to_string(list_transform(unnest([{', '.join(code(d) for _, d in pairs)}]), lambda x: chr(x)), '') AS to_c)"
+
+
+def compatibility_stage(name: str, source: str) -> list[str]:
+    """Compatibility forms replaced, composed, white space folded; needs compatibility_table."""
+    folded = strip_sql(f"regexp_replace(nfc_normalize(coalesce(o.t2, s.t)), '{SPACE_CLASS}+', ' ', 'g')")
+    return [
+        f"{name}_e AS (SELECT k, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM {source} WHERE t <> '')",
+        f"{name} AS (SELECT s.* EXCLUDE (t), {folded} AS t FROM {source} s LEFT JOIN (SELECT k, string_agg(coalesce(to_c, c), '' ORDER BY i) AS t2 FROM {name}_e LEFT JOIN nf ON from_c = c GROUP BY k) o USING (k))",
+    ]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onggi.functions.text import corpus_text, infer_template
+from onggi.functions.text import corpus_text, infer_template, rate_tag
 from onggi.operators import noise, pack, tokens
 from onggi.sources.records import stored
 
@@ -51,3 +52,9 @@ def run(spark: SparkSession, records: DataFrame, name: str, settings: PipelineSe
     template = infer_template(s.template, s.model_name)
     examples = keep("examples", lambda: pack.sft_examples(substituted, key, template, s.eos, s.max_length, s.skip_long_prompts))
     return {"substituted": substituted, "corpus": corpus, "vocabulary": vocab, "blocks": blocks, "examples": examples}
+
+
+def sweep(spark: SparkSession, name: str, rates: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """(rate, seed, run): every combination of a sweep with the name of its run."""
+    grid = spark.createDataFrame([(r, s) for r in rates for s in seeds], "rate string, seed int")
+    return grid.withColumn("run", F.concat(F.lit(f"{name}_lr"), rate_tag(F.col("rate")), F.lit("_seed"), F.col("seed").cast("string")))

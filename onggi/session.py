@@ -37,8 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of fewer parts than there are cores a part per core, ahead of costly work on each row.
 
-    A file with few row groups is one task however large the cluster is; tables of many parts stay as they are, so this
-    never shuffles a large table. Filters and column pruning still reach the scan below."""
+    A file with few row groups is one task however large the cluster is. A scan of at least as many parts as cores stays as
+    it is; a smaller one is at most one part per core (maxPartitionBytes each), which bounds what is shuffled here. Filters
+    and column pruning still reach the scan below."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if parts >= cores or parts == 0 else df.repartition(cores)
@@ -72,24 +73,16 @@ def checkpoint_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: it is used several times and outlives executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage is cut, its files outlive executors, and its
     size is known to the optimizer, which then chooses the join (a broadcast only below the session's threshold)."""
     spark = df.sparkSession
-    checkpoint_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_enough(path: str, limit_bytes: int) -> bool:
-    """Whether a local file or folder is within a byte bound (used before a table is sent to every task)."""
-    if os.path.isfile(path):
-        return os.path.getsize(path) <= limit_bytes
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs) <= limit_bytes

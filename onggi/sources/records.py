@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import hashlib
+import io
 import json
 from collections.abc import Callable, Sequence
 
@@ -56,36 +58,44 @@ def text_lines(spark: SparkSession, path: str | list[str], most: int | None = No
     return lines.withColumn("line", strip(F.regexp_replace("line", "�", ""))).where("line <> ''")
 
 
-def sniffed_csv(spark: SparkSession, path: str, sample_chars: int = 4096) -> DataFrame:
-    """A CSV file as strings. Encoding and separator are told from its first characters; an unreadable file is empty."""
-    local = path.removeprefix("file://")
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file on any file system that the cluster reaches."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def sniffed_csv(spark: SparkSession, path: str, sample_bytes: int = 16_384) -> DataFrame:
+    """A CSV file as strings. Encoding and separator are told from its first bytes; a file in none of the encodings is
+    empty. The file is read where it lies, by the executors."""
+    head = first_bytes(spark, path, sample_bytes)
     for encoding in ENCODINGS:
         try:
-            with open(local, encoding=encoding, newline="") as f:
-                sample = f.read(sample_chars)
+            #: A character may be cut at the end of the sample.
+            sample = codecs.getincrementaldecoder(encoding)().decode(head, final=len(head) < sample_bytes)
             break
         except UnicodeDecodeError:
             continue
     else:
         return spark.createDataFrame([], "empty string")
     try:
-        separator = csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
+        separator = csv.Sniffer().sniff(sample[:4096], delimiters=",;\t|").delimiter
     except csv.Error:
         separator = ","
     if encoding == "cp949":
-        return _decoded_csv(spark, path, separator, encoding)
+        return _decoded_csv(spark, path, separator, encoding, next(csv.reader(io.StringIO(sample, newline=""), delimiter=separator), []))
     df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
 
 
-def _decoded_csv(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
+def _decoded_csv(spark: SparkSession, path: str, separator: str, encoding: str, names: list[str]) -> DataFrame:
     """A CSV file in an encoding that the built-in reader does not take; a file is one task, as with multi-line CSV."""
-    with open(path.removeprefix("file://"), encoding=encoding, newline="") as f:
-        names = next(csv.reader(f, delimiter=separator), [])
 
     def run(batches):  # type: ignore[no-untyped-def]
-        import io
-
         import pyarrow as pa
 
         for batch in batches:
@@ -97,20 +107,43 @@ def _decoded_csv(spark: SparkSession, path: str, separator: str, encoding: str)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def _file_system(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def only_file(spark: SparkSession, folder: str) -> str:
+    """The path of the first data file in a folder that a sink has written."""
+    fs, p = _file_system(spark, folder)
+    return min(str(x.getPath()) for x in fs.listStatus(p) if x.isFile() and not x.getPath().getName().startswith(("_", ".")))
+
+
 def first_split(spark: SparkSession, folder: str, split: str = "test", exists: Callable[[str], bool] | None = None) -> DataFrame | None:
-    """The first split of an ordered list that a folder has, each as <folder>/<split>."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs  # type: ignore[union-attr]
+    """The first split of an ordered list that a folder has, each as <folder>/<split>; with `split`, its name."""
 
     def on_file_system(p: str) -> bool:
-        q = fs.Path(p)
-        return bool(q.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(q))
+        fs, q = _file_system(spark, p)
+        return bool(fs.exists(q))
 
     for name in dict.fromkeys((split, "validation", "test", "dev", "train")):
         if (exists or on_file_system)(f"{folder}/{name}"):
-            return jsonl(spark, f"{folder}/{name}")
+            return jsonl(spark, f"{folder}/{name}").withColumn("split", F.lit(name))
     return None
 
 
+def all_configurations(spark: SparkSession, folder: str, name: str, split: str = "test") -> DataFrame | None:
+    """(path, idx, record, split, subset, source) of every configuration <folder>/<configuration>/<split> of a data set,
+    each by its first split; source is name:configuration:split. Configurations without a split are left out."""
+    fs, p = _file_system(spark, folder)
+    out = None
+    for c in sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()):
+        rows = first_split(spark, f"{folder}/{c}", split)
+        if rows is not None:
+            rows = rows.withColumns({"subset": F.lit(c), "source": F.concat_ws(":", F.lit(name), F.lit(c), F.col("split"))})
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def corpus_texts(df: DataFrame, include_prompt: bool = False) -> DataFrame:
     """(text) for vocabulary building: the output, or all fields that are not null joined by line ends; empty ones leave."""
     text = F.concat_ws("\n", "instruction", "input", "output") if include_prompt else F.col("output")
@@ -131,10 +164,9 @@ def metric_table(spark: SparkSession, path: str, names: Sequence[str], key: str
     return wanted.join(found.select(name.alias("name"), F.col(key).alias("value")), "name", "left")
 
 
-def pointed(path: str) -> str:
-    """The path that a pointer file holds."""
-    with open(path, encoding="utf-8") as f:
-        return f.read().strip()
+def pointed(spark: SparkSession, path: str) -> str:
+    """The path that a pointer file holds, on any file system."""
+    return first_bytes(spark, path, 65_536).decode("utf-8").strip()
 
 
 def stored(spark: SparkSession, name: str, settings: dict[str, object], build: Callable[[], DataFrame], folder: str | None = None, overwrite: bool = False) -> DataFrame:
@@ -149,4 +181,4 @@ def stored(spark: SparkSession, name: str, settings: dict[str, object], build: C
     return spark.read.parquet(path)
 
 
-__all__ = ["as_text", "corpus_texts", "field", "first_split", "indexed_lines", "jsonl", "metric_table", "pointed", "results", "sniffed_csv", "stored", "text_lines"]
+__all__ = ["all_configurations", "as_text", "corpus_texts", "field", "first_bytes", "first_split", "indexed_lines", "jsonl", "metric_table", "only_file", "pointed", "results", "sniffed_csv", "stored", "text_lines"]

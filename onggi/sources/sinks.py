@@ -30,12 +30,19 @@ def write_stats(stats: DataFrame, path: str) -> None:
     as_json(stats).coalesce(1).write.mode("overwrite").text(f"{path}.stats")
 
 
+def write_token_list(tokens: DataFrame, path: str, token: str = "token") -> None:
+    """A vocabulary as one JSON list in order. The list is one value, so it is for vocabularies, not for texts."""
+    one = tokens.agg(F.to_json(F.array_sort(F.collect_set(token))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_corpus(df: DataFrame, path: str, fields: Sequence[str] = ("instruction", "input", "output")) -> None:
     df.select(corpus_text(*[F.col(f) for f in fields]).alias("value")).where("value IS NOT NULL").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out = df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def markdown(df: DataFrame, cells: Sequence[tuple[str, Column]], numeric: Sequence[str] = ()) -> DataFrame:

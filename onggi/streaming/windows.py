@@ -1,21 +1,10 @@
-"""Row-wise operators on streams. They keep no state, so a streaming table goes through them unchanged."""
+"""Operators with state on streams. Row-wise operators (noise, normalisation, examples) take a stream as it is."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onggi.operators.noise import noisy_pairs
-from onggi.operators.normalize import normalize_record
-
-
-def stream_noisy_pairs(stream: DataFrame, **settings: object) -> DataFrame:
-    return noisy_pairs(stream, **settings)  # type: ignore[arg-type]
-
-
-def stream_normalized(stream: DataFrame) -> DataFrame:
-    return normalize_record(stream)
-
 
 def windowed_accuracy(stream: DataFrame, time: str = "scored_at", window: str = "1 day", late: str = "21 days", gold: str = "gold", pred: str = "pred", by: str = "noise_type") -> DataFrame:
     """Accuracy per window of event time; rows later than the watermark are dropped, repeated deliveries count once.

@@ -27,7 +27,17 @@ def test_compatibility_normalisation_keeps_finals_apart(spark):
 def test_nested_normalisation_protects_keys(spark):
     df = spark.createDataFrame([(("ㅎㅏㄴ", ["ㄱㅡㄹ"], "ㅎㅏ"), "ㅎㅏ")], "body struct<question: string, choices: array<string>, source: string>, source string")
     r = normalize.normalize_nested(df).first()
-    assert (r.body.question, r.body.choices, r.body.source, r.source) == ("한", ["글"], "ㅎㅏ", "ㅎㅏ")
+    assert (r.body.question, r.body.choices, r.body.source, r.source) == ("하ᄂ", ["그ᄅ"], "ㅎㅏ", "ㅎㅏ")
+
+
+def test_nested_normalisation_of_all_shapes(spark):
+    schema = "id string, a array<struct<t: string, answer: string>>, m map<string, string>, n int, s struct<x: struct<y: string>>"
+    rows = [("Ａ", [("Ｂ　 c", "Ｄ"), None, (None, "e")], {"question": "Ｆ", "label": "Ｇ"}, 1, (("  ｈ ",),)), (None, None, None, None, None), ("x", [], {}, 2, (None,))]
+    got = normalize.normalize_nested(spark.createDataFrame(rows, schema)).collect()
+    assert got[0].id == "Ａ" and [x and tuple(x) for x in got[0].a] == [("B c", "Ｄ"), None, (None, "e")] and got[0].m == {"question": "F", "label": "Ｇ"} and got[0].s.x.y == "h"
+    assert tuple(got[1]) == (None,) * 5 and got[2].a == [] and got[2].m == {} and got[2].s.x is None
+    assert normalize.normalize_json('{"question": "Ａ", "answer": "Ｂ", "c": ["Ｃ", 1, null]}') == '{"question": "A", "answer": "Ｂ", "c": ["C", 1, null]}'
+    assert normalize.normalize_json("{") is None and normalize.normalize_json(None) is None
 
 
 ANSWERS = [("0", 0), ("1", 1), ("3", 2), ("4", None), ("B", 1), ("b", 1), ("E", None), (" 둘 ", 1), ("x", None), (None, None), ("", None)]
@@ -55,6 +65,40 @@ def test_extraction_of_many_shapes(spark):
     assert got["x-4"].choices == ["다", "라"] and got["x-4"].answer == 1 and len(got) == 5
 
 
+def test_benchmark_chain_takes_items_as_they_are_and_limits_each_task(spark):
+    item = lambda i, q: json.dumps({"id": f"i{i}", "task": "t", "subset": "s", "question": q, "choices": ["가", "나"], "answer": 1, "source": "x"}, ensure_ascii=False)
+    rows = [("done", i, item(i, f" 물음 {i // 2}")) for i in range(10)] + [("raw", i, json.dumps({"query": f"물음 {i}", "A": "가", "B": "나", "label": "B"})) for i in range(10)]
+    raw = spark.createDataFrame([(t, "s", i, "src", r) for t, i, r in rows], "task string, subset string, idx int, source string, record string")
+    got = mcq.benchmark_chain(raw, ("clean", "jamo"), most=3).collect()
+    clean = sorted((r.id, r.question) for r in got if r.noise_type == "clean")
+    assert clean == [("i0", " 물음 0"), ("i2", " 물음 1"), ("i4", " 물음 2"), ("s-0", "물음 0"), ("s-1", "물음 1"), ("s-2", "물음 2")] and len(got) == 12
+
+
+def test_dropout_is_keyed_and_off_at_zero(spark):
+    pieces = {c: i for i, c in enumerate(["a", "b", "ab", "abab"])}
+    plain = tokens.dropout(pieces, 0.0)(["ababab", ""])
+    assert plain == [[3, 2], []] and tokens.dropout(pieces, 1.0)(["abab"]) == [[0, 1, 0, 1]]
+    df = spark.createDataFrame([(i, "abab" * 20) for i in range(6)], "i int, t string").repartition(3)
+    got = {tuple(r.ids) for r in tokens.with_tokenizer(df, "t", "ids", tokens.dropout(pieces, 0.5)).collect()}
+    assert len(got) == 1 and len(next(iter(got))) > 20
+
+
+def test_jamo_labels_of_examples_are_masked_with_the_prompt(spark):
+    df = spark.createDataFrame([(1, "질문", None, "가a나"), (2, "질문", None, "")], "rec_id int, instruction string, input string, output string")
+    ex = pack.sft_examples(df, max_length=500)
+    labels = spark.createDataFrame([(ord("가"), 5, 6, 7), (ord("질"), 1, 2, 3)], "token_id int, cho int, jung int, jong int")
+    got = {r.rec_id: r for r in pack.with_jamo_labels(ex, labels, "rec_id").collect()}
+    assert got[1].cho_labels[: got[1].prompt_len] == [-100] * got[1].prompt_len and got[1].cho_labels[got[1].prompt_len :] == [5, -100, -100] and got[1].jong_labels[-3] == 7 and got[2].cho_labels is None
+    text = tokens.token_texts(labels.select("token_id"), tokens.code_point_texts).collect()
+    assert {r.token for r in text} == {"가", "질"}
+
+
+def test_no_answer_is_left_when_the_answer_has_no_token(spark):
+    df = spark.createDataFrame([(1, "질문", None, "답")], "rec_id int, instruction string, input string, output string")
+    only = lambda c: F.filter(tokens.character_tokens(c), lambda x: x != "답")
+    assert pack.sft_examples(df, max_length=500, tokenizer=only).first().skip_reason == "no_answer"
+
+
 def test_first_of_duplicates_and_ties(spark):
     df = spark.createDataFrame([("b", "q", ["x"], 0), ("a", "q", ["x"], 0), ("c", "q", ["x"], 1)], "id string, question string, choices array<string>, answer int")
     assert sorted(r.id for r in mcq.first_of_duplicates(df).collect()) == ["a", "c"]

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from onggi.operators import noise
 from onggi.operators.noise import bench_variants
 from onggi.sources import records, sinks
-from onggi.streaming import rowwise
+from onggi.streaming import windows
 
 
 def test_line_positions_and_limits(spark, tmp_path):
@@ -58,9 +59,42 @@ def test_streams_give_the_same_rows(spark, tmp_path):
     src = spark.createDataFrame([(i, f"안녕하세요 세계 {i}", None, "답") for i in range(20)], "rec_id int, instruction string, input string, output string")
     src.write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(src.schema).parquet(f"file://{tmp_path}/in")
-    q = rowwise.stream_noisy_pairs(stream).writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
+    q = noise.noisy_pairs(stream).writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
     q.awaitTermination(120)
     from onggi.operators.noise import noisy_pairs
 
     expected = {(r.pair_id, r.noisy_instruction) for r in noisy_pairs(src).collect()}
     assert {(r.pair_id, r.noisy_instruction) for r in spark.table("pairs").collect()} == expected
+
+
+def test_accuracy_per_window_counts_deliveries_once(spark, tmp_path):
+    rows = [("r", "a", "jamo", 1, 1, "2024-01-01 01:00:00"), ("r", "a", "jamo", 1, 1, "2024-01-01 01:00:00"), ("r", "b", "jamo", 1, 0, "2024-01-01 02:00:00"), ("r", "c", "jamo", 1, None, "2024-01-02 02:00:00")]
+    df = spark.createDataFrame(rows, "run_id string, id string, noise_type string, gold int, pred int, t string").selectExpr("run_id", "id", "noise_type", "gold", "pred", "cast(t AS timestamp) AS scored_at")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = windows.windowed_accuracy(stream).writeStream.format("memory").queryName("acc").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.n, r.accuracy) for r in spark.table("acc").collect()) == [(1, 0.0), (2, 0.5)]
+
+
+def test_configurations_and_pointers(spark, tmp_path):
+    for c, split in (("a", "test"), ("b", "dev"), ("c", "other")):
+        (tmp_path / c / split).mkdir(parents=True)
+        (tmp_path / c / split / "x.jsonl").write_text(f'{{"q": "{c}"}}\n\n', encoding="utf-8")
+    got = records.all_configurations(spark, f"file://{tmp_path}", "set").collect()
+    assert sorted((r.subset, r.source) for r in got) == [("a", "set:a:test"), ("b", "set:b:dev")]
+    assert records.first_split(spark, f"file://{tmp_path}/c") is None
+    (tmp_path / "latest").write_text("/data/run-1\n")
+    assert records.pointed(spark, f"file://{tmp_path}/latest") == "/data/run-1"
+
+
+def test_metric_files_and_token_lists(spark, tmp_path):
+    for n, v in (("one", 1.5), ("two", 2.5)):
+        (tmp_path / f"{n}.json").write_text(f'{{"ppl": {v}}}')
+    got = {r.name: r.value for r in records.metric_table(spark, f"file://{tmp_path}/*.json", ["one", "two", "three"]).collect()}
+    assert got == {"one": 1.5, "two": 2.5, "three": None}
+    sinks.write_token_list(spark.createDataFrame([("b",), ("a",)], "token string"), f"file://{tmp_path}/v")
+    assert spark.read.text(f"file://{tmp_path}/v").first()[0] == '["a","b"]'
+    m, g, e = spark.createDataFrame([(2, 0.5)], "n int, accuracy double"), spark.createDataFrame([("s", 0.5)], "subset string, accuracy double"), spark.createDataFrame([(2, "b"), (1, "a")], "i int, t string")
+    doc = sinks.metric_document(m, g, e, "i", 1).first()[0]
+    assert '"metrics": {"n":2,"accuracy":0.5}' in doc and '"examples": [{"i":1,"t":"a"}]' in doc
