@@ -3,11 +3,13 @@
 A document above the capacity is cut into full containers and a rest; no other document is cut. Blocks of a bounded
 number of pieces are packed in parallel by best-fit decreasing. Dual feasible functions give each block a number of
 containers that no packing of it can beat; a block that reaches it is done. The others have gaps: they give up their
-emptiest containers, whose pieces are exchanged (regrouped across blocks) and packed again. The new packing of a group
-replaces the old containers only where it needs fewer of them.
+emptiest containers, whose pieces are exchanged (regrouped across blocks) and packed again. The new packing of what one
+capacity gave up replaces the old containers only where it needs fewer of them. The same functions over the counts of all
+sizes certify the whole packing (certificates).
 
 Defined results: documents of 0 tokens (null and empty texts) need no container and have none; repeated documents are
-packed each; ties of sizes go by document id; an empty table gives no container; capacities must be positive.
+packed each; ties of sizes go by document id; an empty table gives no container; capacities must be positive, and more
+than MOST_PACKS of them are an error, as their list goes to every task.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from onggi.session import materialize
 
 BLOCK_PIECES = 20_000
+MOST_PACKS = 10_000
 
 
 def pieces(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(pack_name, capacity, id, piece_no, size): what is to be packed; full pieces of long documents come first."""
     caps = packs.select("pack_name", F.col("capacity").cast("bigint").alias("capacity")).where("capacity > 0")
-    rows = sizes.where("n_tokens > 0").select(F.col(id_col).alias("id"), "n_tokens").crossJoin(F.broadcast(caps.limit(1000)))
+    if caps.limit(MOST_PACKS + 1).count() > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} capacities")
+    rows = sizes.where("n_tokens > 0").select(F.col(id_col).alias("id"), "n_tokens").crossJoin(F.broadcast(caps))
     last = ((F.col("n_tokens") - 1) / F.col("capacity")).cast("bigint")
     return rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).select(
         "pack_name", "capacity", "id", "piece_no", F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece_no") * F.col("capacity")).alias("size")
@@ -63,24 +68,27 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The largest number of containers that a dual feasible function proves necessary."""
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The largest number of containers that a dual feasible function proves necessary; `counts`: how often each size is."""
     if not len(sizes):
         return 0
-    x = np.sort(sizes.astype(np.int64))
-    total = np.concatenate(([0], np.cumsum(x)))
+    order = np.argsort(sizes, kind="stable")
+    x = sizes[order].astype(np.int64)
+    c = np.ones(len(x), np.int64) if counts is None else counts[order].astype(np.int64)
+    number = np.concatenate(([0], np.cumsum(c)))
+    total = np.concatenate(([0], np.cumsum(c * x)))
     best = -(-int(total[-1]) // capacity)
     #: u_e: sizes above capacity - e count as a whole container, sizes below e as nothing.
     for e in np.unique(x[x <= capacity // 2]):
-        big = len(x) - int(np.searchsorted(x, capacity - e, side="right"))
-        lo, hi = int(np.searchsorted(x, e, side="left")), len(x) - big
+        lo, hi = int(np.searchsorted(x, e, side="left")), int(np.searchsorted(x, capacity - e, side="right"))
+        big = int(number[-1] - number[hi])
         best = max(best, big + -(-int(total[hi] - total[lo]) // capacity))
     #: f_k: sizes are rounded to multiples of 1 / k, and multiples of 1 / (k + 1) stay as they are.
     for k in range(1, 21):
         y = (k + 1) * x
         whole = y % capacity == 0
         value = np.where(whole, x * k, (y // capacity) * capacity)
-        best = max(best, -(-int(value.sum()) // (k * capacity)))
+        best = max(best, -(-int((value * c).sum()) // (k * capacity)))
     return best
 
 
@@ -107,15 +115,15 @@ def _packed(rows: DataFrame, id_type: str) -> DataFrame:
 def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", block_pieces: int = BLOCK_PIECES, rounds: int = 2, release: int = 12) -> DataFrame:
     """(pack_name, capacity, id, piece_no, size, container, fill) of every piece.
 
-    `release`: containers that a block gives up per container above its bound. The table of capacities is a list of
-    settings of at most 1,000 rows, which bounds what is sent to every task."""
+    `release`: containers that a block gives up per container above its bound. What is sent to every task has a row per
+    capacity, of which there are at most MOST_PACKS."""
     id_type = sizes.schema[id_col].dataType.simpleString()
     todo = pieces(sizes, packs, id_col)
     #: Full pieces fill a container each and need no packing.
     full = todo.where("size = capacity").select("pack_name", "capacity", "id", "piece_no", "size", F.concat_ws(":", F.lit("full"), F.col("id").cast("string"), F.col("piece_no").cast("string")).alias("container"), F.col("size").alias("fill"))
     rest = materialize(todo.where("size < capacity"), "pack-pieces")
     number = rest.groupBy("pack_name").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_pieces)).cast("bigint").alias("n_blocks"))
-    current = rest.join(F.broadcast(number.limit(1000)), "pack_name").withColumn("block", F.pmod(F.xxhash64("id", "piece_no"), F.col("n_blocks")))
+    current = rest.join(F.broadcast(number), "pack_name").withColumn("block", F.pmod(F.xxhash64("id", "piece_no"), F.col("n_blocks")))
     done: list[DataFrame] = []
     name = lambda k: F.concat_ws(":", F.lit(f"r{k}"), F.col("block").cast("string"), F.col("bin").cast("string"))
     keep = ["pack_name", "capacity", "id", "piece_no", "size", "container", "fill"]
@@ -127,14 +135,14 @@ def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", block_piece
         per_pack = given.groupBy("pack_name").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("container").alias("had"))
         #: Pieces of containers that blocks gave up meet those of other blocks.
         regroup = given.drop("n_bins", "bound", "emptiness", "bin").withColumnRenamed("block", "old_block").withColumnRenamed("container", "old_container").withColumnRenamed("fill", "old_fill")
-        regroup = materialize(regroup.join(F.broadcast(per_pack.limit(1000)), "pack_name").withColumn("block", F.pmod(F.xxhash64("id", "piece_no", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("m") / block_pieces)).cast("bigint"))), f"pack-given-{k}")
+        regroup = materialize(regroup.join(F.broadcast(per_pack), "pack_name").withColumn("block", F.pmod(F.xxhash64("id", "piece_no", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("m") / block_pieces)).cast("bigint"))), f"pack-given-{k}")
         again = materialize(_packed(regroup, id_type), f"pack-round-{k}").withColumn("container", name(k))
         need = again.groupBy("pack_name").agg(F.countDistinct("container").alias("need"))
         had = regroup.groupBy("pack_name").agg(F.max("had").alias("had"))
         better = had.join(need, "pack_name").where("need < had").select("pack_name")
-        old = regroup.join(F.broadcast(better.limit(1000)), "pack_name", "left_anti").select("pack_name", "capacity", "id", "piece_no", "size", F.col("old_container").alias("container"), F.col("old_fill").alias("fill"))
+        old = regroup.join(F.broadcast(better), "pack_name", "left_anti").select("pack_name", "capacity", "id", "piece_no", "size", F.col("old_container").alias("container"), F.col("old_fill").alias("fill"))
         done.append(old)
-        state = again.join(F.broadcast(better.limit(1000)), "pack_name", "left_semi")
+        state = again.join(F.broadcast(better), "pack_name", "left_semi")
     done.append(state.select(*keep))
     out = full
     for d in done:
@@ -147,3 +155,19 @@ def container_fills(packed: DataFrame) -> DataFrame:
     return packed.groupBy("pack_name", "container").agg(
         F.max("capacity").alias("capacity"), F.count(F.lit(1)).alias("n_pieces"), F.sum("size").alias("used"), F.round(F.sum("size") / F.max("capacity"), 6).alias("fill_share")
     )
+
+
+def certificates(packed: DataFrame) -> DataFrame:
+    """(pack_name, capacity, n_containers, bound, n_above): containers in use, the number that no packing can beat, and how
+    many are above it. Sizes are counted first, so a capacity has at most as many rows as it has tokens."""
+    counts = packed.groupBy("pack_name", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(table: pa.Table) -> pa.Table:
+        capacity = table.column("capacity")[0]
+        bound = lower_bound(table.column("size").to_numpy(), int(capacity.as_py()), table.column("n").to_numpy())
+        return pa.table({"pack_name": table.column("pack_name")[:1], "capacity": pa.array([capacity.as_py()], pa.int64()), "bound": pa.array([bound], pa.int64())})
+
+    bounds = counts.groupBy("pack_name", "capacity").applyInArrow(run, "pack_name string, capacity bigint, bound bigint")
+    #: A container is counted by its first piece; no two-column distinct over all pieces.
+    used = packed.groupBy("pack_name", "container").agg(F.lit(1).alias("one")).groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_containers"))
+    return bounds.join(used, "pack_name").select("pack_name", "capacity", "n_containers", "bound", (F.col("n_containers") - F.col("bound")).alias("n_above"))
