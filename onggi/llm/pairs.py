@@ -6,7 +6,8 @@ echo            only repeats the instruction, the input or both. Responses of an
                 prompt's parts, form and small slips aside.
 refusal         declines to answer, by dictionaries of four languages, whatever the length; one that is only quoted is none,
                 and neither is one whose other sentences, by and large, answer.
-wrong_language  mainly in another language than the prompt and than the one that is asked for; code has no language.
+wrong_language  mainly in another language than the prompt and than the one that is asked for, by scripts and dictionaries of
+                frequent words of 14 languages; code has no language.
 truncated       breaks off inside a sentence, list or code. Whether a text may end where it ends is told by a model of
                 terminal contexts: how often, over all responses, a sentence ends after a word (or a syllable pair).
 
@@ -28,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onggi.llm.lookalikes import PROTOTYPES, latin_words
 from onggi.session import materialize
 
 # Placeholders (form aside), and words of refusals.
@@ -56,13 +58,36 @@ COPY_ASKED = re.compile(
     re.IGNORECASE,
 )
 CORRECTION_ASKED = re.compile(r"맞춤법|교정|오타|바로잡|띄어쓰기|철자|고쳐|correct|proofread|spelling|korrigier|berichtig|校正|訂正|直して", re.IGNORECASE)
-# Names of languages in the four languages.
+# Names of languages, in Korean, English, German and Japanese.
 LANGUAGE_NAMES = {
     "en": re.compile(r"영어|영문|영역|english|englisch|英語|英文", re.IGNORECASE),
     "ja": re.compile(r"일본어|일어|일문|japanese|japanisch|日本語|和訳", re.IGNORECASE),
     "de": re.compile(r"독일어|독어|german(?!y)|deutsch|ドイツ語|独訳", re.IGNORECASE),
     "ko": re.compile(r"한국어|국어로|한글로|우리말|korean|koreanisch|韓国語", re.IGNORECASE),
+    "fr": re.compile(r"프랑스어|불어|불문|french|französisch|フランス語|仏訳", re.IGNORECASE),
+    "es": re.compile(r"스페인어|에스파냐어|spanish|spanisch|スペイン語", re.IGNORECASE),
+    "it": re.compile(r"이탈리아어|italian|italienisch|イタリア語", re.IGNORECASE),
+    "pt": re.compile(r"포르투갈어|portuguese|portugiesisch|ポルトガル語", re.IGNORECASE),
+    "nl": re.compile(r"네덜란드어|dutch|niederländisch|オランダ語", re.IGNORECASE),
+    "zh": re.compile(r"중국어|중문|한문|chinese|mandarin|chinesisch|中国語|漢文|中訳", re.IGNORECASE),
+    "ru": re.compile(r"러시아어|노어|russian|russisch|ロシア語|露訳", re.IGNORECASE),
+    "el": re.compile(r"그리스어|greek|griechisch|ギリシャ語", re.IGNORECASE),
+    "ar": re.compile(r"아랍어|arabic|arabisch|アラビア語", re.IGNORECASE),
+    "he": re.compile(r"히브리어|hebrew|hebräisch|ヘブライ語", re.IGNORECASE),
+    "th": re.compile(r"태국어|타이어로|\bthai|thailändisch|タイ語", re.IGNORECASE),
+    "hi": re.compile(r"힌디어|hindi|ヒンディー語", re.IGNORECASE),
 }
+# Scripts that tell a language by themselves (first and last letter).
+SCRIPTS = {"ru": ("\u0400", "\u052f"), "el": ("\u0370", "\u03ff"), "ar": ("\u0600", "\u06ff"), "he": ("\u0590", "\u05ff"), "th": ("\u0e00", "\u0e7f"), "hi": ("\u0900", "\u097f")}
+# Frequent words of further languages in Latin letters, and frequent characters of Chinese.
+LATIN_WORDS = {
+    "fr": frozenset("le la les des une est et dans pour que qui sur avec pas plus sont ce cette au aux du elle nous vous ils être avoir fait mais comme par leur".split()),
+    "es": frozenset("el los las una es y para que con por no más del al lo su se como pero este esta son está fue han hay muy también porque cuando".split()),
+    "it": frozenset("il gli le una è e per che con non di del della nel nella sono più anche come ma questo questa si ha hanno perché quando alla".split()),
+    "pt": frozenset("o os as uma é e para que com não de do da no na são mais também como mas este esta se foi tem têm porque quando ao pelo".split()),
+    "nl": frozenset("de het een en is van dat niet met voor zijn op te aan ook maar als bij er naar uit deze wordt werd hebben kan".split()),
+}
+CHINESE = frozenset("的是了在不我有这他们为和说就吗也会对要把被让着过")
 # Words that tell German from English.
 GERMAN = frozenset("der die das und nicht ein eine einen einer eines zu von haben hat wurde war mit sie aber dass noch man den dem des im ist sind auf für wie wird nach zum zur über weil es ich kann leider diese dieser dieses was warum blieben gibt bitte keine sich oder als auch davon doch jede außerdem leute tage stunden".split())
 ENGLISH = frozenset("the of and a is was it to that not for with are be we an from there had they so if will most more still then only by on or but has have his her their what who why how when where which because after before does do don't didn't can could should this i'm you your my".split())
@@ -75,10 +100,9 @@ _STOPPED = re.compile(r"[.!?。！？．][\"'”’」』)\]）*_`]*$")
 _PREDICATE = re.compile(r"(?:[다요죠까네]|[음함임됨]|니다|세요)$")
 _JA_END = re.compile(r"(?:です|ます|ました|した|せん|ない|った|いる|ある|する|なる|さい|だ|か|よ|ね)[」』）)]*$")
 _PARTICLE = re.compile(r"[가-힣A-Za-z0-9)](?:은|는|이|가|을|를|에|의|로|으로|와|과|도|에서|에게|까지|부터|보다)$")
-_HOMOGLYPH = str.maketrans("аеорсухіѕјһԁαοАВЕКМНОРСТУХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxisjhdaoABEKMHOPCTYXISJABEZHIKMNOPTYX")
 _WIDE = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | dict.fromkeys((0xA0, 0x2007, 0x2009, 0x202F, 0x3000), " ")
-_LOOKS = re.compile("[аеорсухіѕјһԁαοАВЕКМНОРСТУХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]")
-_WORDS = re.compile(r"[a-zäöüß']+")
+_LOOKS = re.compile("[" + "".join(map(chr, PROTOTYPES)) + "]")
+_WORDS = re.compile(r"[a-zß-öø-ÿ']+")
 
 
 def plain(text: str | None) -> str:
@@ -89,7 +113,7 @@ def plain(text: str | None) -> str:
     if not t.isascii():
         t = unicodedata.normalize("NFC", t).translate(_WIDE)
         if _LOOKS.search(t):
-            t = re.sub(r"[A-Za-zͰ-ӿ]+", lambda m: m.group().translate(_HOMOGLYPH) if re.search("[A-Za-z]", m.group()) else m.group(), t)
+            t = latin_words(t)
     return t
 
 
@@ -99,8 +123,12 @@ def _bare(text: str) -> str:
 
 
 def language(text: str) -> str | None:
-    """ko, ja, en or de: the main language of a text; None if it has too few letters to tell."""
+    """The main language of a text; None if it has too few letters to tell.
+
+    Scripts tell most languages; Chinese is Han without kana and with its own frequent characters; languages in Latin letters
+    are told by their frequent words."""
     hangul = kana = han = latin = 0
+    other: dict[str, int] = {}
     for ch in text:
         if "가" <= ch <= "힣" or "ㄱ" <= ch <= "ㅣ" or "\u1100" <= ch <= "\u11ff":
             hangul += 1
@@ -109,19 +137,32 @@ def language(text: str) -> str | None:
         elif "一" <= ch <= "鿿":
             han += 1
         elif ch.isalpha():
-            latin += 1
+            if ch >= "\u0370" and (name := next((k for k, (lo, hi) in SCRIPTS.items() if lo <= ch <= hi), None)):
+                other[name] = other.get(name, 0) + 1
+            else:
+                latin += 1
     east = kana + (han if kana else 0)
-    if hangul + east + latin < 6:
+    chinese = han if not kana and han >= 8 and sum(ch in CHINESE for ch in text) * 12 >= han else 0
+    name, most = max(other.items(), key=lambda x: x[1], default=("", 0))
+    if hangul + east + chinese + latin + most < 6:
         return None
     #: A syllable or a kana says about as much as two and a half Latin letters.
-    k, j, lat = 2.5 * hangul, 2.0 * east, float(latin)
-    if k >= max(j, lat):
+    k, j, z, lat = 2.5 * hangul, 2.0 * east, 2.0 * chinese, float(latin)
+    if most > max(k, j, z, lat):
+        return name
+    if k >= max(j, z, lat):
         return "ko"
+    if z > max(j, lat):
+        return "zh"
     if j >= lat:
         return "ja"
-    words = _WORDS.findall(text.lower())
+    lower = text.lower()
+    words = _WORDS.findall(lower)
     de, en = sum(w in GERMAN for w in words), sum(w in ENGLISH for w in words)
-    de += sum(c in "äöüß" for c in text.lower()) * 0.5
+    de += sum(c in "äöüß" for c in lower) * 0.5
+    further, n = max(((x, sum(w in known for w in words)) for x, known in LATIN_WORDS.items()), key=lambda x: x[1])
+    if n >= 2 and n > max(de, en):
+        return further
     return "de" if de > en else "en" if en or latin > 12 else None
 
 

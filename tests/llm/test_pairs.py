@@ -67,3 +67,14 @@ def test_contexts_do_not_depend_on_the_size(spark):
     df = spark.createDataFrame(rows, "rec_id bigint, instruction string, output string").selectExpr("*", "CAST(NULL AS string) AS input")
     got = {(r.rec_id, r.defect) for r in pairs.broken_pairs(df).collect()}
     assert (99, "truncated") not in got and (99, "wrong_language") in got
+
+
+@pytest.mark.parametrize(("lang", "output"), [
+    ("fr", "Le chat dort dans la maison parce qu'il fait froid. Les enfants jouent avec leurs amis."), ("es", "El gato duerme en la casa porque hace frío. Los niños juegan con sus amigos y no quieren volver."),
+    ("zh", "猫在房子里睡觉，因为天气很冷。孩子们在公园里和朋友们一起玩。"), ("ru", "Кошка спит в доме, потому что на улице холодно."),
+])
+def test_further_languages(lang, output):
+    assert pairs.language(output) == lang
+    assert pairs.defects_of("Explain why the cat sleeps in the house.", None, output, CTX) == pairs.defects_of("고양이가 왜 집에서 자는지 설명하세요.", None, output, CTX) == ["wrong_language"]
+    asked = {"fr": "프랑스어로", "es": "Translate into Spanish:", "zh": "중국어로", "ru": "Übersetze ins Russische, russisch:"}[lang]
+    assert pairs.defects_of(f"{asked} the cat sleeps in the house", None, output, CTX) == []
