@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onggi.llm.lookalikes import PROTOTYPES, latin_words
+
 KINDS = ("prose", "list", "table", "junk")
 
 #: Shares of the structural forms (sentence, entry, row, noise) of each kind.
@@ -32,10 +34,11 @@ CHAR_CLASSES = ("common syllable", "rare syllable", "jamo", "kana", "han", "vowe
 PROSE_CHARS = {
     "ko": (0.745, 0.003, 0.003, 0.0, 0.002, 0.003, 0.004, 0.003, 0.0, 0.017, 0.197, 0.018, 0.004, 0.001),
     "ja": (0.0, 0.0, 0.0, 0.74, 0.17, 0.0, 0.0, 0.0, 0.0, 0.03, 0.01, 0.03, 0.02, 0.0),
+    "zh": (0.0, 0.0, 0.0, 0.0, 0.86, 0.0, 0.0, 0.0, 0.0, 0.02, 0.01, 0.04, 0.07, 0.0),
     "latin": (0.0, 0.0, 0.0, 0.0, 0.0, 0.305, 0.45, 0.025, 0.006, 0.012, 0.17, 0.014, 0.012, 0.006),
 }
 #: Word forms (function word, other word, number, fused string, mark) in prose.
-PROSE_WORDS = {"ko": (0.62, 0.33, 0.04, 0.005, 0.005), "ja": (0.8, 0.18, 0.01, 0.005, 0.005), "latin": (0.42, 0.55, 0.02, 0.005, 0.005)}
+PROSE_WORDS = {"ko": (0.62, 0.33, 0.04, 0.005, 0.005), "ja": (0.8, 0.18, 0.01, 0.005, 0.005), "zh": (0.02, 0.94, 0.02, 0.01, 0.01), "latin": (0.42, 0.55, 0.02, 0.005, 0.005)}
 #: Divergences (base 2) up to which characters and words count as prose of their script.
 CHAR_LIMIT, WORD_LIMIT = 0.2, 0.5
 
@@ -47,6 +50,9 @@ _CLASS |= {chr(o): 2 for o in [*range(0x3131, 0x318F), *range(0x1100, 0x1200)]}
 _CLASS |= {chr(o): 3 for o in [*range(0x3041, 0x3100), *range(0xFF66, 0xFF9E)]} | {"ー": 3}
 _CLASS |= {chr(o): 4 for o in [*range(0x4E00, 0xA000), *range(0xF900, 0xFB00)]}
 _CLASS |= {c: 5 for c in "aeiouyäöüéèêáàóòúíì"} | {c: 6 for c in "bcdfghjklmnpqrstvwxzßñç"}
+#: Letters of other alphabets count as vowels, consonants and capitals too.
+_CLASS |= {chr(o): 5 if chr(o) in "аеёиоуыэюяіїєαεηιουωάέήίόύώ" else 6 for o in [*range(0x3B1, 0x3CF), *range(0x430, 0x460)]} | {chr(o): 7 for o in [*range(0x391, 0x3AA), *range(0x400, 0x430)]}
+_CLASS |= {c: 5 for c in "âêîôûëïÿãõåøæœ"}
 _CLASS |= {chr(o): 7 for o in range(65, 91)} | {c: 7 for c in "ÄÖÜÉ"} | {c: 9 for c in "0123456789"} | {c: 10 for c in " \t\n\r\u3000\u00a0"}
 _CLASS |= {c: 11 for c in ".!?。！？…~"} | {c: 12 for c in "\"',、，“”‘’「」()"}
 for _o in [*range(0x80, 0xA0), *range(0xA1, 0x180)]:
@@ -54,9 +60,8 @@ for _o in [*range(0x80, 0xA0), *range(0xA1, 0x180)]:
 #: Marks that show nothing and full-width letters count as what they stand for.
 _IGNORED = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\ufe0f\u0000]")
 _WIDE = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | {0xFF0E: ".", 0x3000: " ", 0x00A0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x3164: " "}
-# Letters of other scripts that look like a Latin one.
-_WIDE |= str.maketrans("аеорсухіѕјһԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕКМНОРСТУХІЅЈ", "aeopcyxisjhdABEZHIKMNOPTYXoABEKMHOPCTYXISJ")
 _TRANSLATED = re.compile("[" + "".join(map(chr, _WIDE)) + "]")
+_LOOKS = re.compile("[" + "".join(map(chr, PROTOTYPES)) + "]")
 
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣○●■□▶▷※☞✓+→]|\(?\d{1,3}[.)]|[①-⑳]|[가-힣][.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s+")
@@ -78,13 +83,19 @@ _HIRAGANA = re.compile("[ぁ-ゟ]")
 
 # Korean words that stand alone without a particle.
 KO_FUNCTION_WORDS = frozenset("그 이 더 안 뒤 수 모두 그리고 하지만 특히 결국 다만 또한 만약".split())
-# Frequent function words of English and German.
+# Frequent function words of English and German, then of French, Spanish, Italian, Portuguese, Dutch and Russian.
 FUNCTION_WORDS = frozenset(
     """the of and a in is was it to that not for with are be we an from there had they so if will again most more still then only as at by on or but his
     her he she you i this which their has have were when what who why how because however after before do does did don't didn't they'd heard can could would
     should over into no like even its no one out up also than them my our your each until while please some any all been about between under through
     die der das und nicht eine ein zu von haben hat wurde war es mit sie aber dass noch man mehr den dem des im am ist sind auf für an doch nur davon weil
-    blieben als auch wenn wie wird werden bei nach aus zum zur über jede jeder einen einem einer nichts gibt warum bitte ich wir ihr sich oder so seit""".split()
+    blieben als auch wenn wie wird werden bei nach aus zum zur über jede jeder einen einem einer nichts gibt warum bitte ich wir ihr sich oder so seit
+    le la les des une un est et dans pour que qui sur avec pas plus sont ce cette au aux du de en elle il nous vous ils être fait mais comme par leur se
+    el los las es y con por más del al lo su como pero este esta fue han hay muy también cuando
+    il gli è e per che non di della nel nella sono anche ma questo questa si ha hanno perché
+    o os as um uma é para não do da na são também mas foi tem
+    het een van dat niet met voor zijn op te aan ook maar als bij er naar uit deze wordt werd hebben kan
+    и в во не на я он она они мы вы что это как с со а но к у из за по от о для был была было были есть так же его её их только еще уже или если когда чтобы при до""".split()
 )
 
 
@@ -106,7 +117,9 @@ def _char_shares(text: str) -> tuple[dict[str, float], list[float]]:
     get = _CLASS.get
     for ch, n in Counter(text).items():
         counts[get(ch, 13)] += n
-    letters = {"ko": counts[0] + counts[1] + counts[2], "ja": counts[3] + counts[4], "latin": counts[5] + counts[6] + counts[7] + counts[8]}
+    #: Han almost without kana is Chinese.
+    chinese = counts[3] * 20 < counts[4]
+    letters = {"ko": counts[0] + counts[1] + counts[2], "ja": 0 if chinese else counts[3] + counts[4], "zh": counts[3] + counts[4] if chinese else 0, "latin": counts[5] + counts[6] + counts[7] + counts[8]}
     n, m = max(1, len(text)), sum(letters.values())
     return {k: v / m if m else k == "latin" for k, v in letters.items()}, [c / n for c in counts]
 
@@ -183,6 +196,8 @@ def _form(line: str, script: str) -> int:
         if share >= 0.18 and len(words) >= 4:
             return 0
         return 1 if len(rest) <= 60 else 3
+    if script == "zh":
+        return 1 if len(rest) <= 40 else 3
     if script == "ja":
         hira = len(_HIRAGANA.findall(rest))
         if hira * 4 >= len(rest) and len(rest) > 12:
@@ -205,6 +220,8 @@ def _ends(text: str, script: str) -> bool:
         if not bare:
             return bool(text)
         return bool(_PREDICATE.search(bare)) and (len(last) > 1) and (len(bare) > 14 or bool(_STOP.search(text)) or bare[-1] in "다요죠까")
+    if script == "zh":
+        return len(text) > 6 and bool(re.search(r"[。！？!?…][」』”\"）)]*$", text))
     if script == "ja":
         return bool(re.search(r"(?:[。！？!?]|です|ます|した|せん|ない|った|さい)[」』\"）)]*$", text))
     if not _STOP.search(text):
@@ -219,6 +236,8 @@ def kind_of(text: str | None) -> str | None:
         return None
     if _TRANSLATED.search(t):
         t = t.translate(_WIDE)
+    if _LOOKS.search(t):
+        t = latin_words(t)
     if not unicodedata.is_normalized("NFC", t):
         t = unicodedata.normalize("NFC", t)
     scripts, chars = _char_shares(t)

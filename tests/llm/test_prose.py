@@ -29,3 +29,21 @@ def test_tables(spark):
     stats = {r.doc_id: r for r in prose.text_statistics(df, words).collect()}
     assert stats[14].n_words == 0 and stats[14].mean_word_len is None and stats[0].common_share > 0
     assert prose.structural_kinds(df.limit(0)).count() == 0
+
+
+OTHER = {
+    "es": "El gato duerme en la casa porque hace mucho frío. Los niños juegan en el parque con sus amigos y no quieren volver. Mañana iremos al mercado para comprar pan.",
+    "fr": "Le chat dort dans la maison parce qu'il fait froid. Les enfants jouent avec leurs amis et ne veulent pas rentrer. Demain nous irons au marché pour acheter du pain.",
+    "zh": "猫在房子里睡觉，因为天气很冷。孩子们在公园里和朋友们一起玩，他们不想回家。明天我们要去市场买面包。",
+    "ru": "Кошка спит в доме, потому что на улице холодно. Дети играют в парке с друзьями и не хотят идти домой. Завтра мы пойдём на рынок, чтобы купить хлеб.",
+    "nl": "De kat slaapt in het huis omdat het koud is. De kinderen spelen met hun vrienden en willen niet naar huis. Morgen gaan we naar de markt om brood te kopen.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(OTHER))
+def test_prose_of_further_languages(lang):
+    assert prose.kind_of(OTHER[lang]) == "prose"
+
+
+def test_lists_of_further_languages():
+    assert prose.kind_of("苹果\n香蕉\n橙子\n葡萄\n西瓜\n") == prose.kind_of("pan\nleche\nhuevos\naceite\nsal\n") == "list"
