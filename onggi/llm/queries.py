@@ -25,6 +25,20 @@ def p5_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.TokenBudget.in_checkpoint_folder(spark).update(_budget_documents(spark, sf_dir))
 
 
+def p5_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per slice after an update of an earlier state, in which late documents were missing, some had another text or
+    another source, and some stood that are gone now."""
+    now = _budget_documents(spark, sf_dir)
+    kind = F.pmod(F.xxhash64("key"), F.lit(10))
+    old = now.where(kind != 0).select(
+        "key", F.when(kind == 1, F.reverse("text")).otherwise(F.col("text")).alias("text"), F.when(kind == 2, F.lit("moved")).otherwise(F.col("source")).alias("source"), "lang", "domain_name"
+    )
+    gone = now.where(kind == 3).select(F.concat(F.lit("x"), F.col("key")).alias("key"), "text", "source", "lang", "domain_name")
+    kept = budget.TokenBudget.in_checkpoint_folder(spark)
+    kept.update(old.unionByName(gone))
+    return kept.update(now).select("source", "lang", "domain_name", "n_docs")
+
+
 def p5_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and characters of the same slices, which SQL can tell."""
     docs = _budget_documents(spark, sf_dir)
@@ -63,6 +77,11 @@ def p8_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fills(_packed(spark, sf_dir))
 
 
+def p8_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers in use and the number that no packing can beat."""
+    return packing.certificates(_packed(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_documents(spread(table(spark, sf_dir, "documents")))
 
@@ -123,7 +142,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects per source: the narrow result joined back by id, counted before the shuffle."""
-    records = table(spark, sf_dir, "instructions")
+    records = spread(table(spark, sf_dir, "instructions"))
     return pairs.broken_pairs(records).join(records.select("rec_id", "source"), "rec_id").groupBy("source", "defect").agg(F.count(F.lit(1)).alias("n_records"))
 
 
@@ -136,10 +155,16 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_budget": p5_budget, "p5_slices": p5_slices, "p6_mix": p6_mix, "p6_shares": p6_shares, "p6_plan": p6_plan, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_containers": p8_containers, "p8_fills": p8_fills, "p9_found": p9_found, "p9_stats": p9_stats}
+    return {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_budget": p5_budget, "p5_update": p5_update, "p5_slices": p5_slices, "p6_mix": p6_mix, "p6_shares": p6_shares, "p6_plan": p6_plan, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_containers": p8_containers, "p8_fills": p8_fills, "p8_certificates": p8_certificates, "p9_found": p9_found, "p9_stats": p9_stats}
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _sql()
+    sql["p5_update"] = f"SELECT source, lang, domain_name, n_docs FROM ({sql['p5_slices']})"
+    return sql
+
+
+def _sql() -> dict[str, str]:
     return {
         "p5_slices": r"""
             WITH d AS (SELECT concat_ws(chr(10), instruction, input, output) AS t, nullif(regexp_replace(lower(regexp_replace(source, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '[- ]+', '_', 'g'), '') AS source, CASE nullif(regexp_extract(lower(regexp_replace(lang, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '^[a-z]+', 0), '')

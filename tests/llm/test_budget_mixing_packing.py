@@ -103,3 +103,27 @@ def test_packing_tables(spark):
     assert {(r.pack_name, r.container): r.used for r in fills} == {(r.pack_name, r.container): r.fill for r in got}
     assert packing.pack(sizes.limit(0), packs).count() == 0
     assert packed.select(F.countDistinct("pack_name", "doc_id", "piece_no")).first()[0] == len(got)
+
+
+def test_every_capacity_is_packed(spark):
+    sizes = spark.createDataFrame([(i, 3 + i % 5) for i in range(6)], "doc_id bigint, n_tokens bigint")
+    packs = spark.range(1500).selectExpr("concat('p', id) AS pack_name", "cast(8 + id % 7 AS int) AS capacity")
+    got = packing.pack(sizes, packs).groupBy("pack_name").agg(F.count_distinct("doc_id").alias("n"), F.sum("size").alias("s")).collect()
+    assert len(got) == 1500 and {(r.n, r.s) for r in got} == {(6, sum(3 + i % 5 for i in range(6)))}
+
+
+def test_too_many_capacities_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PACKS", 2)
+    with pytest.raises(ValueError):
+        packing.pieces(spark.createDataFrame([(1, 2)], "doc_id bigint, n_tokens bigint"), spark.range(3).selectExpr("cast(id AS string) AS pack_name", "4 AS capacity"))
+
+
+def test_certificates_of_the_whole_packing(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(1, 140)) for i in range(2000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), spark.createDataFrame([("a", 100)], "pack_name string, capacity int"), block_pieces=300)
+    r = packing.certificates(packed).first()
+    sizes = np.array([x.size for x in packed.collect()])
+    assert r.bound == packing.lower_bound(sizes, 100) and r.n_containers == len({x.container for x in packed.collect()}) and 0 <= r.n_above <= 0.02 * r.bound
+    c = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(c[0], 100, c[1]) == r.bound

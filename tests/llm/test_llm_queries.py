@@ -19,4 +19,4 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
 def test_query_runs(spark, name):
-    assert q.queries()[name](spark, SF).columns
+    assert q.queries()[name](spark, SF).count() > 0
