@@ -48,8 +48,6 @@ LEAST = 0.3
 GRAM, GRAM_SHARE = 4, 0.4
 #: Stretches that both sides lack may make up this part of the longer one.
 APART_SHARE = 0.3
-#: Characters that part words.
-MARKS = "\t\n\r.,!?:;()[]\"'`“”‘’。、！？「」~*#/|-"
 #: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
 HOT = 20_000
 
@@ -153,6 +151,13 @@ def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.Reco
             for a in range(0, len(texts), 1000):
                 part = texts[a : a + 1000]
                 digests, lens, ends = chunk(part)
+                #: A chunk counts once in a record.
+                owner = np.repeat(np.arange(len(part)), np.diff(ends))
+                order = np.lexsort((digests, owner))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+                ends = np.concatenate(([0], np.cumsum(~again)))[ends]
+                digests, lens = digests[~again], lens[~again]
                 if sought is not None:
                     wanted = bloom.contains(sought.value, digests)
                     ends = np.concatenate(([0], np.cumsum(wanted)))[ends]
@@ -172,7 +177,7 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
         F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.max(F.struct(~F.col("train"), "digests", "lens")).alias("x")
     ).select("e_id", "r_id", "x.digests", "x.lens")
     #: A class is known by its least record of either side from here on.
-    chunks = per_class.select("e_id", "r_id", F.explode(F.map_from_entries(F.array_distinct(F.arrays_zip("digests", "lens")))).alias("d", "n"))
+    chunks = per_class.select("e_id", "r_id", F.inline(F.arrays_zip("digests", "lens")).alias("d", "n"))
     chunks = materialize(chunks, "split-chunks")
     df = chunks.groupBy("d").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("e_id").isNotNull()).alias("in_e"), F.max(F.col("r_id").isNotNull()).alias("in_r"))
     df = df.where("in_e").drop("in_e")
@@ -207,12 +212,13 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     by_length = F.col("n") + F.col("beyond_n") >= whole * F.col("all_n")
     pairs = materialize(shared.where(by_weight | by_length).select("e_id", "r_id"), "split-bounded")
     #: The exact sums over all chunks that a pair shares. Only digests go along, no texts.
-    lists = e_chunks.groupBy("e_id").agg(F.collect_list(F.struct("d", "n", "w")).alias("own"))
+    lists = e_chunks.groupBy("e_id").agg(F.collect_list(F.struct("d", "n", "w")).alias("own"), F.sum("n").alias("own_n"), F.sum("w").alias("own_w"))
     there = rows.where("train").select(F.col("id").alias("r_id"), F.col("digests").alias("there"))
-    both = pairs.join(lists, "e_id").join(there, "r_id").withColumn("common", F.filter("own", lambda c: F.array_contains("there", c["d"])))
-    add = lambda c, f: F.aggregate(c, F.lit(0.0), lambda x, y: x + y[f])
-    both = both.select("e_id", "r_id", (add("common", "n") / add("own", "n")).alias("overlap"), (add("common", "w") >= threshold * add("own", "w") - 1e-9).alias("heavy"))
-    return both.where(F.col("heavy") | (F.col("overlap") >= least)).select("e_id", "r_id", "overlap")
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("w"))
+    add = lambda acc, c: F.when(F.array_contains("there", c["d"]), F.struct((acc["n"] + c["n"]).alias("n"), (acc["w"] + c["w"]).alias("w"))).otherwise(acc)
+    both = pairs.join(lists, "e_id").join(there, "r_id").select("e_id", "r_id", "own_n", "own_w", F.aggregate("own", zero, add).alias("x"))
+    heavy, overlap = F.col("x.w") >= threshold * F.col("own_w") - 1e-9, F.col("x.n") / F.col("own_n")
+    return both.select("e_id", "r_id", overlap.alias("overlap"), heavy.alias("heavy")).where(F.col("heavy") | (F.col("overlap") >= least)).select("e_id", "r_id", "overlap")
 
 
 def _jamo(text: str) -> str:
@@ -461,9 +467,8 @@ def exchange_classes(
     checked = materialize(both.mapInArrow(run, f"e_id {id_type}, r_id {id_type}, overlap double, subs array<array<string>>"), "split-checked")
     #: How many records hold each word that stands for another one; only those words are counted.
     words = materialize(checked.select(F.explode(F.flatten("subs")).alias("w")).distinct(), "split-words")
-    #: White space and the usual marks part words here; that is enough to tell how usual a word is, and needs no pattern.
-    spaced = F.translate(F.lower(F.concat_ws(" ", *[df[f] for f in fields])), MARKS, " " * len(MARKS))
-    tokens = F.array_distinct(F.split(spaced, " "))
+    #: Words are what stands between blanks here; that is enough to tell how usual a word is, and needs no pattern.
+    tokens = F.array_distinct(F.split(F.concat_ws(" ", *[df[f] for f in fields]), " "))
     counts = df.select(F.explode(tokens).alias("w")).join(words, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
