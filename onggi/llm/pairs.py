@@ -79,6 +79,7 @@ LANGUAGE_NAMES = {
 }
 # Scripts that tell a language by themselves (first and last letter).
 SCRIPTS = {"ru": ("\u0400", "\u052f"), "el": ("\u0370", "\u03ff"), "ar": ("\u0600", "\u06ff"), "he": ("\u0590", "\u05ff"), "th": ("\u0e00", "\u0e7f"), "hi": ("\u0900", "\u097f")}
+_SCRIPT_RUNS = {k: re.compile(f"[{a}-{b}]+") for k, (a, b) in SCRIPTS.items()}
 # Frequent words of further languages in Latin letters, and frequent characters of Chinese.
 LATIN_WORDS = {
     "fr": frozenset("le la les des une est et dans pour que qui sur avec pas plus sont ce cette au aux du elle nous vous ils être avoir fait mais comme par leur".split()),
@@ -101,7 +102,9 @@ _PREDICATE = re.compile(r"(?:[다요죠까네]|[음함임됨]|니다|세요)$")
 _JA_END = re.compile(r"(?:です|ます|ました|した|せん|ない|った|いる|ある|する|なる|さい|だ|か|よ|ね)[」』）)]*$")
 _PARTICLE = re.compile(r"[가-힣A-Za-z0-9)](?:은|는|이|가|을|를|에|의|로|으로|와|과|도|에서|에게|까지|부터|보다)$")
 _WIDE = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | dict.fromkeys((0xA0, 0x2007, 0x2009, 0x202F, 0x3000), " ")
+_HAS_WIDE = re.compile("[" + "".join(map(chr, _WIDE)) + "]")
 _LOOKS = re.compile("[" + "".join(map(chr, PROTOTYPES)) + "]")
+_HANGUL, _KANA, _HAN, _OTHER_LETTERS = (re.compile(f"[{x}]+") for x in ("가-힣ㄱ-ㅣ\u1100-\u11ff", "ぁ-ヿ", "一-鿿", r"^\W\d_가-힣ㄱ-ㅣ\u1100-\u11ffぁ-ヿ一-鿿"))
 _WORDS = re.compile(r"[a-zß-öø-ÿ']+")
 
 
@@ -111,7 +114,9 @@ def plain(text: str | None) -> str:
         return ""
     t = _HIDDEN.sub("", text)
     if not t.isascii():
-        t = unicodedata.normalize("NFC", t).translate(_WIDE)
+        t = unicodedata.normalize("NFC", t)
+        if _HAS_WIDE.search(t):
+            t = t.translate(_WIDE)
         if _LOOKS.search(t):
             t = latin_words(t)
     return t
@@ -127,20 +132,10 @@ def language(text: str) -> str | None:
 
     Scripts tell most languages; Chinese is Han without kana and with its own frequent characters; languages in Latin letters
     are told by their frequent words."""
-    hangul = kana = han = latin = 0
-    other: dict[str, int] = {}
-    for ch in text:
-        if "가" <= ch <= "힣" or "ㄱ" <= ch <= "ㅣ" or "\u1100" <= ch <= "\u11ff":
-            hangul += 1
-        elif "ぁ" <= ch <= "ヿ":
-            kana += 1
-        elif "一" <= ch <= "鿿":
-            han += 1
-        elif ch.isalpha():
-            if ch >= "\u0370" and (name := next((k for k, (lo, hi) in SCRIPTS.items() if lo <= ch <= hi), None)):
-                other[name] = other.get(name, 0) + 1
-            else:
-                latin += 1
+    hangul, kana, han = (sum(map(len, x.findall(text))) for x in (_HANGUL, _KANA, _HAN))
+    rest = "".join(_OTHER_LETTERS.findall(text))
+    other = {k: n for k, x in _SCRIPT_RUNS.items() if (n := sum(map(len, x.findall(rest))))} if rest and max(rest) >= "\u0370" else {}
+    latin = len(rest) - sum(other.values())
     east = kana + (han if kana else 0)
     chinese = han if not kana and han >= 8 and sum(ch in CHINESE for ch in text) * 12 >= han else 0
     name, most = max(other.items(), key=lambda x: x[1], default=("", 0))
