@@ -48,6 +48,8 @@ LEAST = 0.3
 GRAM, GRAM_SHARE = 4, 0.4
 #: Stretches that both sides lack may make up this part of the longer one.
 APART_SHARE = 0.3
+#: Marks at the ends of words.
+MARKS = ".,!?:;()[]\"'。、！？「」“”‘’\n"
 #: Training records of one chunk that are joined in one place; a chunk of more is spread by record.
 HOT = 20_000
 
@@ -467,9 +469,10 @@ def exchange_classes(
     checked = materialize(both.mapInArrow(run, f"e_id {id_type}, r_id {id_type}, overlap double, subs array<array<string>>"), "split-checked")
     #: How many records hold each word that stands for another one; only those words are counted.
     words = materialize(checked.select(F.explode(F.flatten("subs")).alias("w")).distinct(), "split-words")
-    #: Words are what stands between blanks here; that is enough to tell how usual a word is, and needs no pattern.
+    #: Here words are what stands between blanks, without the marks at its ends, in small letters or with a capital first.
     tokens = F.array_distinct(F.split(F.concat_ws(" ", *[df[f] for f in fields]), " "))
-    counts = df.select(F.explode(tokens).alias("w")).join(words, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    forms = words.select("w", F.explode(F.array_distinct(F.array("w", F.initcap("w")))).alias("form"))
+    counts = df.select(F.explode(tokens).alias("t")).select(F.btrim("t", F.lit(MARKS)).alias("form")).join(forms, "form").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
     groups = checked.where(F.size("subs") > 0).select("e_id", "r_id", F.posexplode("subs").alias("k", "g"))
