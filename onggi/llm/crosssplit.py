@@ -134,13 +134,13 @@ def chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, str, str]) -> DataFrame:
-    """(id, train, cls, digests, lens) of every record of a known split that has a letter or digit.
+    """(id, train, cls, digests, lens, numbers) of every record of a known split that has a letter or digit.
 
     Evaluation records come first; of a training record only the chunks that some evaluation record may hold are kept, as
     no other can be shared."""
     split = F.lower(F.trim(df[split_col]))
     part = lambda names: df.where(split.isin(*names)).select(df[id_col].alias("id"), (split == "train").alias("train"), *[df[f].alias(f"f{i}") for i, f in enumerate(fields)])
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>"
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, train boolean, cls string, digests array<bigint>, lens array<int>, numbers bigint"
     held_out = materialize(part(["validation", "test"]).mapInArrow(_chunker(None), schema), "split-evaluation")
     sought = df.sparkSession.sparkContext.broadcast(bloom.build(held_out.select(F.explode("digests").alias("h")).distinct()))
     return held_out.unionByName(part(["train"]).mapInArrow(_chunker(sought), schema))
@@ -149,7 +149,8 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
 def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [letters("".join(map(composed, x))) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            wholes = [" ".join(map(composed, x)) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = list(map(letters, wholes))
             for a in range(0, len(texts), 1000):
                 part = texts[a : a + 1000]
                 digests, lens, ends = chunk(part)
@@ -167,19 +168,30 @@ def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.Reco
                 keep = pa.array([bool(t) for t in part], pa.bool_())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t)) for v, t in ((digests.view(np.int64), pa.int64()), (lens, pa.int32()))]
                 cls = pa.array([xxhash.xxh3_128_hexdigest(t) for t in part], pa.string())
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), batch.column(1).slice(a, len(part)), cls, *lists], names=["id", "train", "cls", "digests", "lens"])
+                numbers = pa.array([number_bits(t) for t in wholes[a : a + len(part)]], pa.int64())
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), batch.column(1).slice(a, len(part)), cls, *lists, numbers], names=["id", "train", "cls", "digests", "lens", "numbers"])
                 yield rows.filter(keep)
 
     return run
 
 
+def number_bits(text: str) -> int:
+    """A bit for each number of a text, and another one each time that it comes again. If the numbers of one text are all in
+    another, so are its bits."""
+    bits, seen = 0, Counter()
+    for n in re.findall(r"\d+", text):
+        seen[n] += 1
+        bits |= 1 << (xxhash.xxh3_64_intdigest(f"{n} {seen[n]}") & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: float = PREFIX, whole: float = WHOLE, least: float = LEAST) -> DataFrame:
     """(e_id, r_id, overlap): pairs of different classes, an evaluation one and a training one, that may be near copies."""
     per_class = rows.groupBy("cls").agg(
-        F.min(F.when(~F.col("train"), F.col("id"))).alias("e_id"), F.min(F.when(F.col("train"), F.col("id"))).alias("r_id"), F.max(F.struct(~F.col("train"), "digests", "lens")).alias("x")
-    ).select("e_id", "r_id", "x.digests", "x.lens")
+        F.min(F.when(~F.col("train"), F.struct("id", "numbers"))).alias("e"), F.min(F.when(F.col("train"), F.struct("id", "numbers"))).alias("r"), F.max(F.struct(~F.col("train"), "digests", "lens")).alias("x")
+    ).select(F.col("e.id").alias("e_id"), F.col("r.id").alias("r_id"), F.col("e.numbers").alias("e_numbers"), F.col("r.numbers").alias("r_numbers"), "x.digests", "x.lens")
     #: A class is known by its least record of either side from here on.
-    chunks = per_class.select("e_id", "r_id", F.inline(F.arrays_zip("digests", "lens")).alias("d", "n"))
+    chunks = per_class.select("e_id", "r_id", "e_numbers", "r_numbers", F.inline(F.arrays_zip("digests", "lens")).alias("d", "n"))
     chunks = materialize(chunks, "split-chunks")
     df = chunks.groupBy("d").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("e_id").isNotNull()).alias("in_e"), F.max(F.col("r_id").isNotNull()).alias("in_r"))
     df = df.where("in_e").drop("in_e")
@@ -187,27 +199,31 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
     rarity = F.pow(F.greatest(F.lit(0.0), F.log(F.greatest(F.col("m"), F.lit(2)) / F.col("df")) / F.log(F.greatest(F.col("m"), F.lit(2)))), F.lit(RARITY_POWER))
     #: A chunk that train lacks tells little: it weighs half.
     weight = F.col("n") * rarity * F.when(F.col("in_r"), 1.0).otherwise(0.5)
-    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "d", "n").join(df, "d").crossJoin(F.broadcast(total))
-    e_chunks = materialize(e_chunks.select("e_id", "d", "n", "df", "in_r", weight.alias("w")), "split-weights")
+    e_chunks = chunks.where("e_id IS NOT NULL").select("e_id", "e_numbers", "d", "n").join(df, "d").crossJoin(F.broadcast(total))
+    e_chunks = materialize(e_chunks.select("e_id", "e_numbers", "d", "n", "df", "in_r", weight.alias("w")), "split-weights")
     #: The rarest chunks first, up to the prefix of the weight, and at least so many that a pair which shares `whole` of
     #: the characters shares one of them (near copies of which there are very many have only common chunks).
     order = Window.partitionBy("e_id").orderBy("df", "d")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy("e_id")
     sums = e_chunks.select(
-        "e_id", "d", "n", "w", "df", "in_r", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"),
+        "e_id", "e_numbers", "d", "n", "w", "df", "in_r", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"),
         F.sum("w").over(all_rows).alias("all_w"), F.sum("n").over(all_rows).alias("all_n"),
     )
     taken = sums.where((F.col("before_w") <= prefix * F.col("all_w")) | (F.col("before_n") <= (1 - whole) * F.col("all_n")))
     taken = taken.withColumn("beyond_n", F.col("all_n") - F.sum("n").over(all_rows))
     salts = F.ceil(F.col("df") / HOT).cast("int").alias("salts")
-    e_prefix = materialize(taken.where("in_r").select("d", "e_id", "n", "w", "all_w", "all_n", "beyond_n", salts), "split-prefix")
+    e_prefix = materialize(taken.where("in_r").select("d", "e_id", "e_numbers", "n", "w", "all_w", "all_n", "beyond_n", salts), "split-prefix")
     #: Postings without a partner leave before the shuffle where the digests sought fit a filter.
     sought = e_prefix.select("d", "salts").distinct()
-    postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", F.col("e_id").alias("own")).join(sought, "d")
-    postings = postings.select("d", "r_id", "own", F.pmod(F.xxhash64("r_id"), "salts").cast("int").alias("salt"))
+    postings = chunks.where("r_id IS NOT NULL").select("d", "r_id", "r_numbers", F.col("e_id").alias("own")).join(sought, "d")
+    postings = postings.select("d", "r_id", "r_numbers", "own", F.pmod(F.xxhash64("r_id"), "salts").cast("int").alias("salt"))
     salted = e_prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    joined = salted.join(postings, ["d", "salt"]).where(~F.col("e_id").eqNullSafe(F.col("own")))
+    #: The comparison asks that one side have all numbers of the other. Records of one template differ in theirs, so most
+    #: pairs that share only a template leave here, before they are summed; bits that fall together only keep a pair.
+    both_numbers = F.col("e_numbers").bitwiseAND(F.col("r_numbers"))
+    agree = (both_numbers == F.col("e_numbers")) | (both_numbers == F.col("r_numbers"))
+    joined = salted.join(postings, ["d", "salt"]).where(~F.col("e_id").eqNullSafe(F.col("own")) & agree)
     shared = joined.groupBy("e_id", "r_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("all_w", "all_n", "beyond_n")])
     #: What lies beyond the prefix can add at most its own weight, or its own characters.
     by_weight = F.col("w") >= (threshold - (1 - prefix)) * F.col("all_w") - 1e-9

@@ -126,3 +126,15 @@ def test_links_are_counted_by_class(spark):
     rows = [(1, "test", a, b, c), (2, "test", a, b, c), (5, "test", "다른 것", None, "없는 답을 적었습니다."), *[(10 + i, "train", a, b, c) for i in range(7)], (30, "train", a, b, c.replace("함께", "더불어"))]
     got = {r.rec_id: (r.n_links, r.overlap) for r in cs.matched_records(table(spark, rows + noise_rows())).collect()}
     assert got == {1: (8, 1.0), 2: (8, 1.0)}
+
+
+def test_pairs_whose_numbers_differ_leave_before_they_are_summed(spark):
+    """Records of one template that each have a number of their own are no candidates; more numbers on one side are none against."""
+    said = "이 마을의 창고에는 지난 가을에 거둔 쌀이 {} 가마 있으며 주민들은 이를 겨울까지 나누어 쓰기로 했다".format
+    rows = [(k, "train" if k % 2 else "test", said(1000 + k), "", "") for k in range(60)]
+    rows += [(100, "test", said(7), "모두 옳다", ""), (101, "train", said(7), "모두 옳다고 한다", "2024년 3월에 쓴 글")]
+    df = spark.createDataFrame(rows, "rec_id bigint, split string, instruction string, input string, output string")
+    pairs = {(r.e_id, r.r_id) for r in cs.candidate_classes(cs.chunk_table(df, "rec_id", "split", ("instruction", "input", "output")), threshold=0.0, whole=0.0, least=0.0).collect()}
+    assert (100, 101) in pairs and len(pairs) < 100
+    bits = [cs.number_bits(t) for t in ("3 4 3", "3 3", "4 없음", "없음")]
+    assert all(bits[0] & b == b for b in bits) and bits[1] & bits[2] != bits[2] and bits[3] == 0
