@@ -23,14 +23,16 @@ read, so others may have any name. Texts are read whole.
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -79,6 +81,24 @@ def letters(text: str) -> str:
     return _REST.sub("", text)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    """Of each code point below 2^17: 1 if it is a letter or a digit, 3 if it is a decimal digit."""
+    return np.fromiter((c.isalnum() + 2 * c.isdecimal() for c in map(chr, range(1 << 17))), np.uint8, 1 << 17)
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    table = _kinds()
+    out = table[np.minimum(codes, len(table) - 1)]
+    for k in np.flatnonzero(codes >= len(table)).tolist():
+        out[k] = (c := chr(codes[k])).isalnum() + 2 * c.isdecimal()
+    return out
+
+
 def coarse(codes: np.ndarray) -> np.ndarray:
     """Code points with Hangul syllables replaced by the class of their initial."""
     out = codes.astype(np.uint64)
@@ -104,17 +124,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests and lengths of the chunks of all texts, and the number of chunks up to the end of each text.
+    """Digests and lengths of the chunks of all texts, and the number of chunks up to the end of each text."""
+    return chunk_codes(code_points("".join(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def chunk_codes(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts that stand one after the other, by their sizes.
 
     All texts are cut at once: a position is a border if the hash of the characters around it is a multiple of the
     divisor, so equal passages are cut alike wherever they stand. Digests come from one prefix sum of a polynomial."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    n = int(ends[-1]) if len(texts) else 0
+    n = len(codes)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    codes = coarse(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(sizes) + 1, np.int64)
+    codes = coarse(codes)
     is_border = np.zeros(n + 1, bool)
     if n >= WINDOW:
         h = np.zeros(n - WINDOW + 1, np.uint64)
@@ -149,13 +173,20 @@ def chunk_table(df: DataFrame, id_col: str, split_col: str, fields: tuple[str, s
 def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes = [" ".join(map(composed, x)) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            texts = list(map(letters, wholes))
-            for a in range(0, len(texts), 1000):
-                part = texts[a : a + 1000]
-                digests, lens, ends = chunk(part)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                wholes = whole_texts(*part.columns[2:5])
+                #: Letters and digits of all texts, and the numbers, are told by one look at the code points.
+                whole = "".join(wholes)
+                codes = code_points(whole)
+                kinds = kinds_of(codes)
+                stops = np.cumsum(np.fromiter(map(len, wholes), np.int64, len(wholes)))
+                numbers = pa.array(map(_number_bits, _numbers_of(whole, kinds == 3, stops)), pa.int64())
+                codes = codes[kinds > 0]
+                sizes = np.diff(np.concatenate(([0], np.cumsum(kinds > 0)))[np.concatenate(([0], stops))])
+                digests, lens, ends = chunk_codes(codes, sizes)
                 #: A chunk counts once in a record.
-                owner = np.repeat(np.arange(len(part)), np.diff(ends))
+                owner = np.repeat(np.arange(len(sizes)), np.diff(ends))
                 order = np.lexsort((digests, owner))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
@@ -165,23 +196,49 @@ def _chunker(sought: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.Reco
                     wanted = bloom.contains(sought.value, digests)
                     ends = np.concatenate(([0], np.cumsum(wanted)))[ends]
                     digests, lens = digests[wanted], lens[wanted]
-                keep = pa.array([bool(t) for t in part], pa.bool_())
+                keep = pa.array(sizes > 0, pa.bool_())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t)) for v, t in ((digests.view(np.int64), pa.int64()), (lens, pa.int32()))]
-                cls = pa.array([xxhash.xxh3_128_hexdigest(t) for t in part], pa.string())
-                numbers = pa.array([number_bits(t) for t in wholes[a : a + len(part)]], pa.int64())
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), batch.column(1).slice(a, len(part)), cls, *lists, numbers], names=["id", "train", "cls", "digests", "lens", "numbers"])
+                at, view = np.concatenate(([0], np.cumsum(sizes))).tolist(), memoryview(codes)
+                cls = pa.array([xxhash.xxh3_128_hexdigest(view[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.string())
+                rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), cls, *lists, numbers], names=["id", "train", "cls", "digests", "lens", "numbers"])
                 yield rows.filter(keep)
 
     return run
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def whole_texts(*fields: pa.Array) -> list[str]:
+    """The composed fields of each record, with blanks between them."""
+    joined = pc.binary_join_element_wise(*fields, " ", null_handling="replace", null_replacement="")
+    return [t.casefold() if _EASY.fullmatch(t) else " ".join(composed(f[i].as_py()) for f in fields) for i, t in enumerate(strings(joined))]
+
+
+def _numbers_of(whole: str, is_digit: np.ndarray, stops: np.ndarray) -> list[list[str]]:
+    """The numbers of each of the texts that stand one after the other in `whole`, up to their stops."""
+    at = np.flatnonzero(is_digit)
+    owner = np.searchsorted(stops, at, side="right")
+    first = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner) != 0)))[: len(at)]
+    last = np.concatenate((first[1:], [True]))[: len(at)]
+    out: list[list[str]] = [[] for _ in range(len(stops))]
+    for k, i, j in zip(owner[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True):
+        out[k].append(whole[i : j + 1])
+    return out
+
+
 def number_bits(text: str) -> int:
     """A bit for each number of a text, and another one each time that it comes again. If the numbers of one text are all in
     another, so are its bits."""
-    bits, seen = 0, Counter()
-    for n in re.findall(r"\d+", text):
-        seen[n] += 1
-        bits |= 1 << (xxhash.xxh3_64_intdigest(f"{n} {seen[n]}") & 63)
+    return _number_bits(re.findall(r"\d+", text))
+
+
+def _number_bits(numbers: list[str]) -> int:
+    bits, seen = 0, {}
+    for n in numbers:
+        seen[n] = k = seen.get(n, 0) + 1
+        bits |= 1 << (xxhash.xxh3_64_intdigest(f"{n} {k}") & 63)
     return bits - (1 << 64) if bits >> 63 else bits
 
 
@@ -191,11 +248,11 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD, prefix: flo
         F.min(F.when(~F.col("train"), F.struct("id", "numbers"))).alias("e"), F.min(F.when(F.col("train"), F.struct("id", "numbers"))).alias("r"), F.max(F.struct(~F.col("train"), "digests", "lens")).alias("x")
     ).select(F.col("e.id").alias("e_id"), F.col("r.id").alias("r_id"), F.col("e.numbers").alias("e_numbers"), F.col("r.numbers").alias("r_numbers"), "x.digests", "x.lens")
     #: A class is known by its least record of either side from here on.
+    per_class = materialize(per_class, "split-classes")
     chunks = per_class.select("e_id", "r_id", "e_numbers", "r_numbers", F.inline(F.arrays_zip("digests", "lens")).alias("d", "n"))
-    chunks = materialize(chunks, "split-chunks")
     df = chunks.groupBy("d").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("e_id").isNotNull()).alias("in_e"), F.max(F.col("r_id").isNotNull()).alias("in_r"))
     df = df.where("in_e").drop("in_e")
-    total = rows.agg(F.approx_count_distinct("cls", 0.01).alias("m"))
+    total = per_class.agg(F.count(F.lit(1)).alias("m"))
     rarity = F.pow(F.greatest(F.lit(0.0), F.log(F.greatest(F.col("m"), F.lit(2)) / F.col("df")) / F.log(F.greatest(F.col("m"), F.lit(2)))), F.lit(RARITY_POWER))
     #: A chunk that train lacks tells little: it weighs half.
     weight = F.col("n") * rarity * F.when(F.col("in_r"), 1.0).otherwise(0.5)
@@ -247,12 +304,45 @@ def _numbers(text: str) -> Counter[str]:
     return Counter(re.findall(r"\d+", text))
 
 
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """The blocks that difflib's matcher finds without junk: the longest common one, the first of equals, then what is
+    beside it. Substrings are sought instead of counting along all equal pairs, which is quicker for texts."""
+    found: list[tuple[int, int, int]] = []
+    todo, find = [(0, len(a), 0, len(b))], b.find
+    while todo:
+        i, hi, blo, bhi = todo.pop()
+        lo, n, at, there = i, 0, 0, 0
+        while i + n < hi:
+            j = find(a[i : i + n + 1], blo, bhi)
+            if j < 0:
+                i += 1
+                continue
+            n += 1
+            while i + n < hi and j + n < bhi and a[i + n] == b[j + n]:
+                n += 1
+            at, there = i, j
+        if n:
+            found.append((at, there, n))
+            if lo < at and blo < there:
+                todo.append((lo, at, blo, there))
+            if at + n < hi and there + n < bhi:
+                todo.append((at + n, hi, there + n, bhi))
+    found.sort()
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in found:
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            i, j, n = out[-1][0], out[-1][1], out.pop()[2] + n
+        out.append((i, j, n))
+    return [*out, (len(a), len(b), 0)]
+
+
 def _alike(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, _jamo(a), _jamo(b), autojunk=False).ratio()
+    x, y = _jamo(a), _jamo(b)
+    return 2 * sum(n for _, _, n in matching_blocks(x, y)) / (len(x) + len(y)) if x or y else 1.0
 
 
 class Known:
-    """What the comparison needs of the texts of one record, found once."""
+    """What the comparison needs of the texts of one record, each found once and when it is needed."""
 
     def __init__(self, fields: list[str]):
         self.fields = fields
@@ -260,30 +350,68 @@ class Known:
         self.numbers = _numbers(whole)
         self.words = [w for w in _REST.split(whole) if w]
         self.text = "".join(self.words)
-        self.at = _jamo_begins(self.text)
         self.jamo = _jamo(self.text)
-        self.runs = _runs(self.jamo)
         self.size = len(whole)
-        self._owner: list[int] = []
 
-    @property
+    @cached_property
+    def at(self) -> list[int]:
+        return _jamo_begins(self.text)
+
+    @cached_property
+    def runs(self) -> list[str]:
+        return _runs(self.jamo)
+
+    @cached_property
+    def run_set(self) -> set[str]:
+        return set(self.runs)
+
+    @cached_property
+    def parts(self) -> list["Part"]:
+        return [Part(letters(f)) for f in self.fields]
+
+    @cached_property
     def owner(self) -> list[int]:
         """The word of each jamo."""
-        if not self._owner:
-            at = 0
-            for i, w in enumerate(self.words):
-                self._owner += [i] * (self.at[at + len(w)] - self.at[at])
-                at += len(w)
-        return self._owner
+        out, at = [], 0
+        for i, w in enumerate(self.words):
+            out += [i] * (self.at[at + len(w)] - self.at[at])
+            at += len(w)
+        return out
+
+
+class Part:
+    """The letters of one field."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def jamo(self) -> str:
+        return _jamo(self.text)
+
+    @cached_property
+    def at(self) -> list[int]:
+        return _jamo_begins(self.text)
+
+    @cached_property
+    def grams(self) -> set[str]:
+        return set(_grams(self.jamo))
+
+
+class _Sizes(dict[str, int]):
+    """How many jamo a letter has."""
+
+    def __missing__(self, ch: str) -> int:
+        n = self[ch] = len(_jamo(ch))
+        return n
+
+
+_SIZES = _Sizes()
 
 
 def _jamo_begins(text: str) -> list[int]:
     """Where the jamo of each letter begin, and where the last ends."""
-    out, n = [0], 0
-    for ch in text:
-        n += 1 if ch < "\u00c0" else (2 if (ord(ch) - 0xAC00) % 28 == 0 else 3) if "가" <= ch <= "힣" else len(_jamo(ch))
-        out.append(n)
-    return out
+    return list(accumulate(map(_SIZES.__getitem__, text), initial=0))
 
 
 def common_blocks(x: str, y: str, at_x: list[int], at_y: list[int], jx: str, jy: str) -> list[tuple[int, int, int]]:
@@ -297,13 +425,13 @@ def common_blocks(x: str, y: str, at_x: list[int], at_y: list[int], jx: str, jy:
             found.append((i, j, n))
 
     i = j = 0
-    for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-        a, b, n = at_x[m.a], at_y[m.b], at_x[m.a + m.size] - at_x[m.a]
+    for p, q, size in matching_blocks(x, y):
+        a, b, n = at_x[p], at_y[q], at_x[p + size] - at_x[p]
         if 0 < n < 5:
             continue
         if a > i and b > j:
-            for z in difflib.SequenceMatcher(None, jx[i:a], jy[j:b], autojunk=False).get_matching_blocks():
-                add(i + z.a, j + z.b, z.size)
+            for p, q, size in matching_blocks(jx[i:a], jy[j:b]):
+                add(i + p, j + q, size)
         add(a, b, n)
         i, j = a + n, b + n
     return found
@@ -316,7 +444,7 @@ def _runs(jamo: str) -> list[str]:
 def _apart(own: list[str], other: set[str], least: int = 9) -> int:
     """Jamo that lie in no run of the other text, in stretches of at least `least`."""
     total = 0
-    for m in _STRETCH.finditer("".join(["1" if x in other else "0" for x in own])):
+    for m in _STRETCH.finditer(bytes(map(other.__contains__, own))):
         n = m.end() - m.start() - GRAM + 1
         if m.start() == 0 or m.end() == len(own):
             n += GRAM - 1
@@ -325,7 +453,7 @@ def _apart(own: list[str], other: set[str], least: int = 9) -> int:
     return total
 
 
-_STRETCH = re.compile("0+")
+_STRETCH = re.compile(b"\0+")
 
 
 def may_be_same(a: Known, b: Known) -> bool:
@@ -335,10 +463,11 @@ def may_be_same(a: Known, b: Known) -> bool:
         return False
     if not a.jamo or not b.jamo:
         return False
-    ra, rb = set(a.runs), set(b.runs)
+    ra, rb = a.run_set, b.run_set
     if len(ra & rb) < GRAM_SHARE * min(len(ra), len(rb)):
         return False
-    return min(_apart(a.runs, rb), _apart(b.runs, ra)) <= APART_SHARE * max(len(a.jamo), len(b.jamo))
+    most = APART_SHARE * max(len(a.jamo), len(b.jamo))
+    return _apart(a.runs, rb) <= most or _apart(b.runs, ra) <= most
 
 
 def _held(part: str, other: str, other_runs: set[str]) -> bool:
@@ -379,17 +508,14 @@ def compare(a: Known, b: Known) -> tuple[bool, list[list[str]]]:
     ja, jb, na, nb = a.jamo, b.jamo, a.numbers, b.numbers
     #: The task and the answer, where both records have them in the same field.
     for k, least in ((0, 0.6), (2, 0.55)):
-        x, y = letters(a.fields[k]), letters(b.fields[k])
-        if x and y and letters(a.fields[1] + a.fields[2 - k]) and letters(b.fields[1] + b.fields[2 - k]):
-            if k == 2 and min(len(x), len(y)) <= 12:
-                jx, jy = _jamo(x), _jamo(y)
-                if not (jx in jy or jy in jx or _alike(x, y) >= 0.75):
+        x, y = a.parts[k], b.parts[k]
+        if x.text and y.text and (a.parts[1].text or a.parts[2 - k].text) and (b.parts[1].text or b.parts[2 - k].text):
+            if k == 2 and min(len(x.text), len(y.text)) <= 12:
+                if not (x.jamo in y.jamo or y.jamo in x.jamo or _alike(x.text, y.text) >= 0.75):
                     return none
-            elif x != y:
-                grams_x, grams_y = set(_grams(x)), set(_grams(y))
-                jx, jy = _jamo(x), _jamo(y)
-                if len(grams_x & grams_y) < least * max(1, min(len(grams_x), len(grams_y))) and not (x in jb or jx in jb):
-                    if sum(n for _, _, n in common_blocks(x, y, _jamo_begins(x), _jamo_begins(y), jx, jy) if n >= 2) < least * max(1, min(len(jx), len(jy))):
+            elif x.text != y.text:
+                if len(x.grams & y.grams) < least * max(1, min(len(x.grams), len(y.grams))) and not (x.text in jb or x.jamo in jb):
+                    if sum(n for _, _, n in common_blocks(x.text, y.text, x.at, y.at, x.jamo, y.jamo) if n >= 2) < least * max(1, min(len(x.jamo), len(y.jamo))):
                         return none
     #: Regions that differ lie between blocks of at least three jamo.
     edges = [(0, 0, 0), *(z for z in common_blocks(a.text, b.text, a.at, b.at, ja, jb) if z[2] >= 3), (len(ja), len(jb), 0)]
@@ -398,9 +524,8 @@ def compare(a: Known, b: Known) -> tuple[bool, list[list[str]]]:
     only_a = [(r[0], r[1]) for r in regions if _one_sided(r) == "a"]
     only_b = [(r[2], r[3]) for r in regions if _one_sided(r) == "b"]
     #: Moved passages: what one side lacks here it has elsewhere, small slips aside.
-    runs_a, runs_b = set(a.runs), set(b.runs)
-    more_a = [x for x in only_a if not _held(ja[x[0] : x[1]], jb, runs_b)]
-    more_b = [x for x in only_b if not _held(jb[x[0] : x[1]], ja, runs_a)]
+    more_a = [x for x in only_a if not _held(ja[x[0] : x[1]], jb, b.run_set)]
+    more_b = [x for x in only_b if not _held(jb[x[0] : x[1]], ja, a.run_set)]
     lacking_a, lacking_b = (sum(hi - lo for lo, hi in x) for x in (more_a, more_b))
     if lacking_a > 0.4 * len(ja) or lacking_b > 0.4 * len(jb):
         return none
@@ -423,7 +548,7 @@ def compare(a: Known, b: Known) -> tuple[bool, list[list[str]]]:
         #: Misspelt, or with letters in another order.
         if sum((Counter(u) & Counter(v)).values()) >= 0.85 * max(len(u), len(v)):
             continue
-        same = sum(z.size for z in difflib.SequenceMatcher(None, u, v, autojunk=False).get_matching_blocks())
+        same = sum(n for _, _, n in matching_blocks(u, v))
         if same >= 0.6 * max(len(u), len(v)):
             continue
         if u in jb and v in ja:
@@ -437,11 +562,33 @@ def compare(a: Known, b: Known) -> tuple[bool, list[list[str]]]:
     return True, subs
 
 
-def _grams(text: str) -> list[str]:
-    j = _jamo(text)
+def _grams(j: str) -> list[str]:
     return [j[i : i + 5] for i in range(len(j) - 4)] or [j]
 
 
+def _form_counter(sought: Broadcast[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(form, n): of each batch, how many times the texts have a form that may be sought; a token counts once in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column(0), " ")
+            tokens, text = split.flatten().dictionary_encode(), pc.list_parent_indices(split).to_numpy()
+            forms = pc.utf8_trim(tokens.dictionary, characters=MARKS)
+            wanted = bloom.contains(sought.value, spark_hashes(strings(forms)))
+            which = tokens.indices.to_numpy()
+            at = np.flatnonzero(wanted[which])
+            n = np.bincount(np.unique(text[at].astype(np.int64) * len(wanted) + which[at]) % max(1, len(wanted)), minlength=len(wanted))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([forms.take(pa.array(some)), pa.array(n[some], pa.int64())], names=["form", "n"])
+
+    return run
+
+
+def spark_hashes(texts: Iterable[str]) -> np.ndarray:
+    """xxhash64 of Spark."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64)
+
+
 def exchange_classes(
     df: DataFrame, id_col: str = "rec_id", split_col: str = "split", fields: tuple[str, str, str] = ("instruction", "input", "output"), least_df: int = 20, usual_share: float = 5e-4, **candidate_settings: float
 ) -> tuple[DataFrame, DataFrame]:
@@ -465,7 +612,7 @@ def exchange_classes(
             #: What is known of a text is kept for the pairs that follow, up to a bound of characters.
             known: dict[tuple[str | None, ...], Known] = {}
             held = 0
-            for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)):
+            for i, x in enumerate(zip(*(strings(batch.column(k)) for k in range(3, 9)), strict=True)):
                 sides = []
                 for key in (x[:3], x[3:]):
                     if (own := known.get(key)) is None:
@@ -486,9 +633,10 @@ def exchange_classes(
     #: How many records hold each word that stands for another one; only those words are counted.
     words = materialize(checked.select(F.explode(F.flatten("subs")).alias("w")).distinct(), "split-words")
     #: Here words are what stands between blanks, without the marks at its ends, in small letters or with a capital first.
-    tokens = F.array_distinct(F.split(F.concat_ws(" ", *[df[f] for f in fields]), " "))
     forms = words.select("w", F.explode(F.array_distinct(F.array("w", F.initcap("w")))).alias("form"))
-    counts = df.select(F.explode(tokens).alias("t")).select(F.btrim("t", F.lit(MARKS)).alias("form")).join(forms, "form").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    sought = df.sparkSession.sparkContext.broadcast(bloom.build(forms.select(F.xxhash64("form").alias("h")).distinct()))
+    tokens = df.select(F.concat_ws(" ", *[df[f] for f in fields]).alias("t")).mapInArrow(_form_counter(sought), "form string, n bigint")
+    counts = tokens.join(forms, "form").groupBy("w").agg(F.sum("n").alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("m"))
     usual = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(float(least_df)), F.col("m") * usual_share)).select("w")
     groups = checked.where(F.size("subs") > 0).select("e_id", "r_id", F.posexplode("subs").alias("k", "g"))

@@ -1,7 +1,11 @@
+import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from onggi.llm import bloom
 from onggi.llm import crosssplit as cs
 from onggi.llm import queries as q
 
@@ -138,3 +142,48 @@ def test_pairs_whose_numbers_differ_leave_before_they_are_summed(spark):
     assert (100, 101) in pairs and len(pairs) < 100
     bits = [cs.number_bits(t) for t in ("3 4 3", "3 3", "4 없음", "없음")]
     assert all(bits[0] & b == b for b in bits) and bits[1] & bits[2] != bits[2] and bits[3] == 0
+
+
+def test_matching_blocks_are_those_of_difflib():
+    rng = random.Random(2)
+    w = lambda k, n: "".join(rng.choice("가나다라마바사아자차"[:k]) for _ in range(rng.randint(0, n)))
+    for k in range(600):
+        a, b = w(1 + k % 10, 50), w(1 + k % 10, 50)
+        b = b if k % 3 else a[k % 7 :] + b[:9] + a[: k % 20]
+        theirs = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert cs.matching_blocks(a, b) == [tuple(m) for m in theirs.get_matching_blocks()] and abs(cs._alike(a, b) - difflib.SequenceMatcher(None, cs._jamo(a), cs._jamo(b), autojunk=False).ratio()) < 1e-12
+
+
+def test_a_batch_is_cut_as_each_of_its_records():
+    """Records side by side in a batch: numbers end with their record, and letters are those of the definition."""
+    odd = [None, "", " _ ", "가1 2\u0663 12", "\uff11\uff12 a", "\uff48ello 1", "\U00020000字 5\U0001d7d9", "Ⅻ ½ 2", "12", "3", "\U0001f600 9", "ß İ", "\u1100\u1161\u11a8 7"]
+    rows = [(odd[i], odd[(i * 5 + j) % 13], odd[(2 * i + j) % 13]) for i in range(13) for j in range(13)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(169)), pa.array([False] * 169), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], names=list("abcde"))
+    got = {r["id"]: r for part in cs._chunker(None)([batch]) for r in part.to_pylist()}
+    wholes = [" ".join(map(cs.composed, r)) for r in rows]
+    texts = list(map(cs.letters, wholes))
+    assert set(got) == {i for i, t in enumerate(texts) if t}
+    for i, r in got.items():
+        d, n, _ = cs.chunk([texts[i]])
+        assert r["numbers"] == cs.number_bits(wholes[i]) and dict(zip(r["digests"], r["lens"], strict=True)) == dict(zip(d.view(np.int64).tolist(), n.tolist(), strict=True))
+    assert all((got[i]["cls"] == got[j]["cls"]) == (texts[i] == texts[j]) for i in got for j in got)
+
+
+def test_only_sought_forms_leave_the_count_of_words(spark):
+    texts = ["함께 갔다. 함께 함께, 왔다", "더불어 (함께)", None, "", "새로 왔다"]
+    hashes = spark.createDataFrame([("함께",), ("왔다",)], "w string").select(F.xxhash64("w").alias("h"))
+    assert sorted(cs.spark_hashes(["함께", "왔다"]).view(np.int64).tolist()) == sorted(r.h for r in hashes.collect())
+
+    class Sought:
+        value = bloom.build(hashes)
+
+    counts: dict[str, int] = {}
+    for part in cs._form_counter(Sought())([pa.RecordBatch.from_arrays([pa.array(texts[a : a + 2], pa.string())], names=["t"]) for a in (0, 2, 4)]):
+        for r in part.to_pylist():
+            counts[r["form"]] = counts.get(r["form"], 0) + r["n"]
+    assert counts == {"함께": 3, "왔다": 2}
+
+
+def test_nothing_is_found_that_the_comparison_does_not_need():
+    a, b = (cs.Known([cs.composed(t) for t in (f"마을에 쌀이 {n} 가마 있다", "", "그렇다")]) for n in (3, 4))
+    assert cs.compare(a, b) == (False, []) and not {"runs", "at", "parts"} & (vars(a).keys() | vars(b).keys())
