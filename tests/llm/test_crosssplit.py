@@ -151,7 +151,11 @@ def test_matching_blocks_are_those_of_difflib():
         a, b = w(1 + k % 10, 50), w(1 + k % 10, 50)
         b = b if k % 3 else a[k % 7 :] + b[:9] + a[: k % 20]
         theirs = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        assert cs.matching_blocks(a, b) == [tuple(m) for m in theirs.get_matching_blocks()] and abs(cs._alike(a, b) - difflib.SequenceMatcher(None, cs._jamo(a), cs._jamo(b), autojunk=False).ratio()) < 1e-12
+        blocks = [tuple(m) for m in theirs.get_matching_blocks()]
+        assert cs.matching_blocks(a, b) == blocks and all(cs._alike(a, b, x) == (theirs.ratio() >= x) for x in (0.3, 0.6, 0.75) if a or b)
+        #: The bounds are none below what they bound.
+        pairs = [{t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b)]
+        assert sum(n for _, _, n in blocks) <= cs._in_common(a, b) and sum(n for _, _, n in blocks if n >= 2) <= min(cs._covered(a, pairs[1]), cs._covered(b, pairs[0]))
 
 
 def test_a_batch_is_cut_as_each_of_its_records():
